@@ -70,11 +70,11 @@ def label_questions(spark: SparkSession, folder: str) -> DataFrame:
     label, class_ = F.col("label"), F.col("class")
     means = (
         table(spark, folder, "embeddings")
-        .select(label, (F.col("vec_id") % 4 + 5).alias("class"), F.posexplode("embedding").alias("at", "x"))
-        .groupBy("label", "class", "at")
+        .select(label, (F.col("vec_id") % 4 + 5).alias("class"), F.posexplode("embedding").alias("axis", "x"))
+        .groupBy("label", "class", "axis")
         .agg(F.avg(F.col("x").cast("double")).cast("float").alias("x"))
         .groupBy("label", "class")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("parts"))
+        .agg(F.sort_array(F.collect_list(F.struct("axis", "x"))).alias("parts"))
     )
     subject = F.when(label % 3 == 0, "All").when(label % 3 == 1, F.concat(F.lit("S"), label))
     wanted = F.when(class_ == 5, None).when(class_ == 6, "").otherwise(class_.cast("string"))

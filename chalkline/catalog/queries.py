@@ -129,8 +129,8 @@ def embeddings_table(spark, folder):
         F.concat(F.lit("v"), "vec_id").alias("chunk_id"), "embedding"
     )
     tables.write_table(given, path)
-    return tables.read_embeddings(spark, path).select("chunk_id", F.posexplode("embedding").alias("at", "x")).select(
-        "chunk_id", "at", F.round(F.col("x").cast("double"), 6).alias("x")
+    return tables.read_embeddings(spark, path).select("chunk_id", F.posexplode("embedding").alias("axis", "x")).select(
+        "chunk_id", "axis", F.round(F.col("x").cast("double"), 6).alias("x")
     )
 
 
@@ -210,8 +210,8 @@ def l2_normalize(spark, folder):
     """Vectors stretched by a factor that is zero for some."""
     stretched = F.transform("embedding", lambda x: (x * (F.col("vec_id") % 7)).cast("float"))
     table = fx.table(spark, folder, "embeddings").withColumn("embedding", stretched)
-    return index.normalized(table).select("vec_id", F.posexplode("embedding").alias("at", "x")).select(
-        "vec_id", "at", F.round(F.col("x").cast("double"), 6).alias("x")
+    return index.normalized(table).select("vec_id", F.posexplode("embedding").alias("axis", "x")).select(
+        "vec_id", "axis", F.round(F.col("x").cast("double"), 6).alias("x")
     )
 
 
@@ -270,7 +270,7 @@ def retrieve(spark, folder):
 def embed_chunks(spark, folder):
     """Per chunk: dimensions, filled positions, and two sums that depend on value and position."""
     chunks = chunking.chunk_table(fx.cleaned_pages(spark, folder))
-    filled = F.posexplode("embedding").alias("at", "x")
+    filled = F.posexplode("embedding").alias("axis", "x")
     value = F.col("x").cast("double")
     return (
         embedding.embed(chunks)
@@ -279,7 +279,7 @@ def embed_chunks(spark, folder):
         .agg(
             F.count_if(F.col("x") > 0).alias("filled"),
             F.round(F.sum(value), 4).alias("total"),
-            F.round(F.sum(value * F.col("at")), 4).alias("weighted"),
+            F.round(F.sum(value * F.col("axis")), 4).alias("weighted"),
         )
     )
 

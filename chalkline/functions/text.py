@@ -107,7 +107,7 @@ def safe_text(value: Column, kind: str) -> Column:
     """
     if kind in ("double", "float"):
         value = F.when(~F.isnan(value), _float_text(value.cast("double")))
-    elif kind == "timestamp":
+    elif kind in ("timestamp", "timestamp_ntz"):
         whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
         value = F.concat(whole, F.regexp_replace(F.date_format(value, ".SSSSSS"), r"^\.0{6}$", ""))
     elif kind == "boolean":
@@ -119,26 +119,20 @@ def safe_text(value: Column, kind: str) -> Column:
 
 def _float_text(value: Column) -> Column:
     """Spark writes 1.25E10 and 1.0E-4 where Python writes 12500000000.0 and 0.0001."""
-    text = value.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    mantissa = F.regexp_extract(text, r"^-?([0-9.]+)E", 1)
-    exponent = F.regexp_extract(text, r"E(-?[0-9]+)$", 1).try_cast("int")
-    digits = F.regexp_replace(F.replace(mantissa, F.lit("."), F.lit("")), "(?<=.)0+$", "")
-    whole = F.concat(F.rpad(F.substr(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0")))
-    rest = F.substr(digits, exponent + 2)
-    expanded = F.concat(sign, whole, F.lit("."), F.when(rest == "", "0").otherwise(rest))
-    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    size = F.abs(value)
+    plain = F.rtrim(value.try_cast("decimal(38,21)").cast("string"), F.lit("0"))
+    plain = F.concat(plain, F.when(plain.endswith("."), "0").otherwise(""))
+    parts = F.split(value.cast("string"), "E")
+    exponent = F.get(parts, F.lit(1)).try_cast("int")
     scientific = F.concat(
-        F.regexp_replace(F.regexp_extract(text, r"^([^E]+)E", 1), r"\.0$", ""),
+        F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", ""),
         F.when(exponent < 0, "e-").otherwise("e+"),
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
     return (
-        F.when(value == float("inf"), "inf")
-        .when(value == float("-inf"), "-inf")
-        .when(exponent.isNull(), text)
-        .when((exponent >= 0) & (exponent < 16), expanded)
-        .when((exponent < 0) & (exponent >= -4), small)
+        F.when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))
+        .when((size >= 1e-4) & (size < 1e16), plain)
+        .when(size == 0, value.cast("string"))
         .otherwise(scientific)
     )
 

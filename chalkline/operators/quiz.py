@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,11 @@ NOT_ANSWERED = "Not answered"
 _STRICT = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false"}
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of the value, which is worked out once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def json_slice(reply: Column) -> Column:
     """From the first ``[`` to the last ``]``; null when either is missing, empty when they are
     the wrong way round."""
@@ -37,7 +44,7 @@ def _elements(text: Column) -> Column:
     outer one or adds a second element.
     """
     outer = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", _STRICT)
-    return F.when(F.size(outer) == 1, F.get(outer, F.lit(0)))
+    return _let(outer, lambda arrays: F.when(F.size(arrays) == 1, F.get(arrays, F.lit(0))))
 
 
 def parse_questions(text: Column) -> Column:
@@ -67,25 +74,34 @@ def _first_fault(questions: Column) -> Column:
     return F.get(F.filter(faults, lambda text: text.isNotNull()), F.lit(0))
 
 
+def _outcome(text: Column, questions: Column, fault: Column) -> Column:
+    error = (
+        F.when(text.isNull(), OTHER_ERROR + NO_ARRAY)
+        .when(questions.isNull(), PARSE_ERROR)
+        .when(fault.isNotNull(), F.concat(F.lit(OTHER_ERROR), fault))
+    )
+    return F.struct(error.alias("error"), F.when(error.isNull(), questions).alias("questions"))
+
+
 def read_quizzes(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """Adds ``success``, ``error`` and ``questions``; a faulty reply gives an error, not a failure.
 
     One faulty question fails its whole quiz. An empty array is a valid quiz without questions.
     """
-    text, questions = F.col("_json"), F.col("_questions")
-    fault = _first_fault(questions)
-    error = (
-        F.when(text.isNull(), OTHER_ERROR + NO_ARRAY)
-        .when(questions.isNull(), PARSE_ERROR)
-        .when(fault.isNotNull(), F.concat(F.lit(OTHER_ERROR), fault))
+    outcome = _let(
+        json_slice(F.col(reply)),
+        lambda text: _let(
+            parse_questions(text),
+            lambda questions: _let(
+                _first_fault(questions), lambda fault: _outcome(text, questions, fault)
+            ),
+        ),
     )
     return (
-        replies.withColumn("_json", json_slice(F.col(reply)))
-        .withColumn("_questions", parse_questions(text))
-        .withColumn("error", error)
+        replies.withColumn("_outcome", outcome)
+        .withColumns({"error": F.col("_outcome.error"), "questions": F.col("_outcome.questions")})
         .withColumn("success", F.col("error").isNull())
-        .withColumn("questions", F.when(F.col("success"), questions))
-        .drop("_json", "_questions")
+        .drop("_outcome")
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chalkline.functions.filename import filename_fields
 from chalkline.operators.ingest import clean_pages
 from chalkline.schemas import RAW_PAGES
+from chalkline.session import checkpoint_root
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,7 +67,11 @@ def corpus_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_questions(spark: SparkSession, folder: str) -> DataFrame:
-    """One question per label and class: the mean of all their vectors, with varied targets."""
+    """One question per label and class: the mean of all their vectors, with varied targets.
+
+    The few rows are checkpointed, so that a query that names them often reads the vectors once.
+    """
+    checkpoint_root(spark)
     label, class_ = F.col("label"), F.col("class")
     means = (
         table(spark, folder, "embeddings")
@@ -84,7 +89,7 @@ def label_questions(spark: SparkSession, folder: str) -> DataFrame:
         F.transform("parts", lambda part: part.x).alias("embedding"),
         subject.otherwise(F.concat(F.lit("s"), label)).alias("target_subject"),
         wanted.alias("target_class"),
-    )
+    ).checkpoint()
 
 
 def text_questions(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from chalkline.catalog import fixtures as fx
 from chalkline.functions import language, responses, text, vectors
-from chalkline.operators import chunking, conversation, embedding, index, ingest, prompts, quiz
-from chalkline.operators import retrieval, search
+from chalkline.operators import chunking, conversation, embedding, index, ingest, joins, prompts
+from chalkline.operators import quiz, retrieval, search
 from chalkline.plans.library import ask, build_library
 from chalkline.session import scratch_path
 from chalkline.sources import listing, tables
@@ -224,7 +224,7 @@ def cosine_pairs(spark, folder):
     unit = vectors.l2_normalize
     product = vectors.inner_product(unit(F.col("embedding")), unit(F.col("mean")))
     distance = vectors.squared_distance(F.col("embedding"), F.col("mean"))
-    return table.join(means, "query_id").select(
+    return joins.join_small(table, means, "query_id").select(
         "vec_id", "query_id", F.round(product, 6).alias("cosine"), F.round(distance, 6).alias("distance")
     )
 

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chalkline.functions.binding import let
+
 # The characters that count as white space when text is stripped.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
     "        　"
 )
 
-# Page clean-up patterns and replacements, in order. A lone blank is left alone, which
-# gives the same text as rewriting every run of blanks and is much cheaper on prose.
+# Page clean-up patterns and replacements, in order, each with the texts that show that
+# there is something to replace. A lone blank needs no rewriting.
 PAGE_RULES = [
-    (r"\n{3,}", "\n\n"),
-    (r"[ \t]{2,}|\t", " "),
+    (r"\n{3,}", "\n\n", ["\n\n\n"]),
+    (r"[ \t]+", " ", ["  ", "\t"]),
 ]
 
 # Speech clean-up rules, in order. "m" marks rules whose ^ matches at every line.
@@ -67,11 +71,16 @@ def is_blank(text: Column) -> Column:
 
 
 def clean_page(text: Column) -> Column:
-    for pattern, replacement in PAGE_RULES:
-        text = F.regexp_replace(text, pattern, replacement)
+    """Most pages need no pattern at all, and a plain search for the signs is far cheaper than one."""
+    for pattern, replacement, signs in PAGE_RULES:
+        text = let(text, lambda t: F.when(_has_any(t, signs), F.regexp_replace(t, pattern, replacement)).otherwise(t))
     return strip(text)
 
 
+def _has_any(text: Column, signs: list[str]) -> Column:
+    return reduce(Column.__or__, [F.contains(text, F.lit(sign)) for sign in signs])
+
+
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 

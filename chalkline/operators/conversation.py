@@ -99,17 +99,18 @@ def transcript_segments(
 
 
 def answered_or(transcript: DataFrame, conversations: DataFrame, sample: str) -> DataFrame:
-    """Every conversation's transcript; one without any exchange shows the sample text."""
-    return (
+    """The transcripts, and the sample text for each conversation without any exchange."""
+    bare = (
         conversations.select("conv_id")
         .distinct()
-        .join(transcript, "conv_id", "left")
-        .withColumns(
-            {
-                "segment": F.coalesce("segment", F.lit(0)),
-                "n_pairs": F.coalesce("n_pairs", F.lit(0)),
-                "text": F.coalesce("text", F.lit(sample)),
-            }
+        .join(transcript.select("conv_id").distinct(), "conv_id", "left_anti")
+    )
+    return transcript.unionByName(
+        bare.select(
+            "conv_id",
+            F.lit(0).cast("long").alias("segment"),
+            F.lit(0).alias("n_pairs"),
+            F.lit(sample).alias("text"),
         )
     )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.functions.filename import filename_fields
@@ -19,12 +21,14 @@ def with_filename_fields(files: DataFrame) -> DataFrame:
 
 
 def clean_pages(pages: DataFrame, min_chars: int = PAGE_MIN_CHARS) -> DataFrame:
-    """Cleaned pages longer than ``min_chars`` characters; page numbers stay as they are."""
-    return (
-        pages.withColumn("page_text", clean_page(F.col("page_text")))
-        .filter(F.length("page_text") > min_chars)
-        .select(*RAW_PAGES.fieldNames())
-    )
+    """Cleaned pages longer than ``min_chars`` characters; page numbers stay as they are.
+
+    Each page is cleaned once, inside the generator. A filter above a projection would be pushed
+    below it, and clean every page a second time.
+    """
+    kept = F.filter(F.array(clean_page(F.col("page_text"))), lambda text: F.length(text) > min_chars)
+    others = [name for name in RAW_PAGES.fieldNames() if name != "page_text"]
+    return pages.select(*others, F.explode(kept).alias("page_text"))
 
 
 def number_pages(files: DataFrame, pages_column: str = "pages") -> DataFrame:
@@ -44,9 +48,12 @@ def chapter_segments(pages: DataFrame, pages_per_segment: int = PAGES_PER_SEGMEN
     """
     segment = F.floor(F.col("page_num") / pages_per_segment).cast("int")
     in_order = F.sort_array(F.collect_list(F.struct("page_num", "page_text")))
+    # Spelled out for every key, so that a join by these keys finds nothing to add, and two uses of
+    # the segments share one shuffle.
+    given = [F.col(name).isNotNull() for name in [*CHAPTER_KEYS, "segment"]]
     return (
-        pages.dropna(subset=[*CHAPTER_KEYS, "page_num"])
-        .withColumn("segment", segment)
+        pages.withColumn("segment", segment)
+        .filter(reduce(Column.__and__, given))
         .groupBy(*CHAPTER_KEYS, "segment")
         .agg(in_order.alias("pages"))
         .select(

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chalkline.functions.binding import let
 from chalkline.functions.text import strip
 from chalkline.schemas import QUESTION
 
@@ -23,11 +22,6 @@ NOT_ANSWERED = "Not answered"
 _STRICT = {"allowSingleQuotes": "false", "allowNumericLeadingZeros": "false"}
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of the value, which is worked out once however often the body names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def json_slice(reply: Column) -> Column:
     """From the first ``[`` to the last ``]``; null when either is missing, empty when they are
     the wrong way round."""
@@ -44,7 +38,7 @@ def _elements(text: Column) -> Column:
     outer one or adds a second element.
     """
     outer = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<array<string>>", _STRICT)
-    return _let(outer, lambda arrays: F.when(F.size(arrays) == 1, F.get(arrays, F.lit(0))))
+    return let(outer, lambda arrays: F.when(F.size(arrays) == 1, F.get(arrays, F.lit(0))))
 
 
 def parse_questions(text: Column) -> Column:
@@ -88,11 +82,11 @@ def read_quizzes(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
     One faulty question fails its whole quiz. An empty array is a valid quiz without questions.
     """
-    outcome = _let(
+    outcome = let(
         json_slice(F.col(reply)),
-        lambda text: _let(
+        lambda text: let(
             parse_questions(text),
-            lambda questions: _let(
+            lambda questions: let(
                 _first_fault(questions), lambda fault: _outcome(text, questions, fault)
             ),
         ),

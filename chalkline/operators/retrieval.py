@@ -52,13 +52,17 @@ def retrieve(
     k: int = ANSWER_K,
     net: int = NET,
     metric: str = INNER_PRODUCT,
+    targets: DataFrame | None = None,
     **search_options,
 ) -> DataFrame:
     """Wide-net search: best ``net`` of the whole corpus, then the metadata filter, then first k.
 
     The filter comes after the net, as in the index this stands for, so fewer than k rows may
-    come back although the corpus holds more matches.
+    come back although the corpus holds more matches. ``targets`` holds the two targets of each
+    question where ``questions`` does not.
     """
     hits = top_k(questions, corpus, k=net, metric=metric, **search_options)
-    targets = questions.select("query_id", "target_subject", "target_class")
+    targets = (questions if targets is None else targets).select(
+        "query_id", "target_subject", "target_class"
+    )
     return filter_hits(with_chunk_rows(hits, chunks).join(targets, "query_id"), k)

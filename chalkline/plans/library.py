@@ -75,13 +75,12 @@ def build_vectors(
     write_if_absent(vectors, library.path("vectors"))
 
 
-def with_vectors(
+def question_vectors(
     questions: DataFrame, factory: ModelFactory = HashedWords, model_name: str = "hashed-words"
 ) -> DataFrame:
-    """Questions with the vector of their stripped text; the search scales it to unit length."""
-    asked = questions.withColumn("_text", strip(F.col("question")))
-    vectors = embed(asked, "query_id", "_text", factory, model_name, normalize=False)
-    return questions.join(vectors, "query_id")
+    """Vectors of the stripped question texts; the search scales them to unit length."""
+    asked = questions.select("query_id", strip(F.col("question")).alias("asked"))
+    return embed(asked, "query_id", "asked", factory, model_name, normalize=False)
 
 
 def search_library(
@@ -93,7 +92,11 @@ def search_library(
 ) -> DataFrame:
     """Hits of text questions ``query_id, question, target_subject, target_class``."""
     return retrieve(
-        with_vectors(questions, factory, model_name), library.vectors(), library.index(), k
+        question_vectors(questions, factory, model_name),
+        library.vectors(),
+        library.index(),
+        k,
+        targets=questions,
     )
 
 

@@ -136,7 +136,8 @@ def _float_text(value: Column) -> Column:
     scientific = F.concat(
         F.regexp_replace(F.get(parts, F.lit(0)), r"\.0$", ""),
         F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.abs(exponent) < 10, "0").otherwise(""),
+        F.abs(exponent).cast("string"),
     )
     return (
         F.when(size == float("inf"), F.when(value > 0, "inf").otherwise("-inf"))

@@ -3,15 +3,17 @@
 Chunks are packed from small pieces, left to right, so where a chunk starts depends on the chunk
 before it. But the start that follows a given start depends on the nearby pieces only. So each
 segment of a chapter can work out, for every piece near its beginning, where a packing that
-enters there would leave the segment and how many chunks it would make on the way. One ordered
-pass over those small summaries then fixes the true entry of every segment, and the segments cut
-their chunks in parallel. The result is the same as packing the chapter in one go.
+enters there would leave the segment and how many chunks it would make on the way: its span. Spans
+that follow each other combine to the span of a block, and one ordered pass over a chapter's blocks
+fixes how each is entered. Blocks then fix the entries of their segments, and the segments cut
+their chunks, all in parallel. The result is the same as packing the chapter in one go.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chalkline.functions.text import WHITESPACE, word_count
-from chalkline.operators.ingest import PAGES_PER_SEGMENT, chapter_segments
+from chalkline.operators.ingest import PAGES_PER_SEGMENT, chapter_segments, with_values
 from chalkline.schemas import CHAPTER_KEYS, CHUNKS
 
 # Chunk size, overlap and separators.
@@ -28,6 +30,8 @@ CHUNK_SIZE = 400
 CHUNK_OVERLAP = 50
 SEPARATORS = ["\n\n", "\n", ". ", " "]
 
+SEGMENTS_PER_BLOCK = 1024
+
 
 
 @dataclass(frozen=True)
@@ -109,7 +113,7 @@ class Segment:
                 yield chunk
             entry = int(self.following[entry])
 
-    def exits(self, entries: list[int]) -> list[tuple[int, int]]:
+    def exits(self, entries: Iterable[int]) -> list[tuple[int, int]]:
         """For each entry piece: the start of the chunk left open, and how many were made."""
         known: dict[int, tuple[int, int]] = {}
         for entry in entries:
@@ -124,48 +128,128 @@ class Segment:
                 known[start] = (left, made)
         return [known[entry] for entry in entries]
 
-    def tail(self, start: int) -> tuple[list[int], str]:
-        return self.lengths[start:], self.text[self.ends[start] :]
-
-
-def _lead_summary(segment: Segment) -> dict:
-    """Where the packing stands after a chapter's first segment."""
-    ((left, made),) = segment.exits([0])
-    lengths, text = segment.tail(left)
-    return {"lead_made": made, "lead_tail_lengths": lengths, "lead_tail_text": text}
-
-
-def _summary(segment: Segment) -> dict:
-    """Where the packing would stand after any other segment, for each piece it may enter at."""
-    size = segment.cutter.size
-    near = int(np.searchsorted(segment.ends, size, side="right"))
-    entries = list(range(min(near, len(segment.lengths))))
-    exits = segment.exits(entries)
-    first_left = min(left for left, _ in exits)
-    lengths, text = segment.tail(first_left)
-    # The last near piece matters only by its length when it already overflows every open chunk.
-    head = min(near, len(segment.lengths))
-    head_text = segment.text[: segment.ends[near - 1 if near < len(segment.ends) else head]]
-    return {
-        "head_lengths": segment.lengths[:head],
-        "head_text": head_text,
-        "entries": entries,
-        "open_at": [left - first_left for left, _ in exits],
-        "made": [made for _, made in exits],
-        "tail_lengths": lengths,
-        "tail_text": text,
-    }
+    def rest(self, start: int) -> Open:
+        return Open(self.lengths[start:], self.text[self.ends[start] :])
+
+
+class Open(NamedTuple):
+    """A chunk that is still open: the lengths of its pieces, and its text."""
+
+    lengths: list[int]
+    text: str
+
+
+@dataclass
+class Span:
+    """What a run of segments does to the packing.
+
+    ``head`` holds the first pieces. When they are longer than a chunk the last of them counts by
+    its length only, and the span is full; else they are all there is. ``exits`` and ``made`` tell,
+    per entry piece, the chunk left open (a place in ``opens``) and the number of chunks made.
+    ``lead`` and ``lead_made`` tell the same for a span that begins its chapter.
+    """
+
+    head: Open
+    full: bool
+    exits: list[int]
+    made: list[int]
+    opens: list[Open]
+    lead: Open
+    lead_made: int
+
+    @classmethod
+    def of(cls, cutter: Cutter, text: str) -> Span:
+        inner, first = Segment(cutter, text, leading=False), Segment(cutter, text, leading=True)
+        near = min(int(np.searchsorted(inner.ends, cutter.size, side="right")), len(inner.lengths))
+        full = bool(inner.ends[near] > cutter.size)
+        exits = inner.exits(range(near))
+        lefts = sorted({left for left, _ in exits})
+        ((lead, lead_made),) = first.exits([0])
+        return cls(
+            head=Open(inner.lengths[:near], inner.text[: inner.ends[near - full]]),
+            full=full,
+            exits=[lefts.index(left) for left, _ in exits],
+            made=[made for _, made in exits],
+            opens=[inner.rest(left) for left in lefts],
+            lead=first.rest(lead),
+            lead_made=lead_made,
+        )
+
+    def then(self, after: Span, cutter: Cutter) -> Span:
+        """This span and the one that follows it, as one."""
+        passed = [Stitcher.resume(cutter, left) for left in self.opens]
+        for stitcher in passed:
+            stitcher.step(after)
+        lead = Stitcher.resume(cutter, self.lead)
+        lead.step(after)
+        ends = [(passed[at].open, made + passed[at].sequence) for at, made in zip(self.exits, self.made)]
+        head, full = self.head, self.full
+        if not full:
+            offsets = _running(after.head.lengths) + sum(head.lengths)
+            ends += [
+                (after.opens[at], made)
+                for at, made, offset in zip(after.exits, after.made, offsets)
+                if offset <= cutter.size
+            ]
+            head, full = Open(head.lengths + after.head.lengths, head.text + after.head.text), after.full
+        opens: list[Open] = []
+        for left, _ in ends:
+            if left not in opens:
+                opens.append(left)
+        return Span(
+            head=head,
+            full=full,
+            exits=[opens.index(left) for left, _ in ends],
+            made=[made for _, made in ends],
+            opens=opens,
+            lead=lead.open,
+            lead_made=self.lead_made + lead.sequence,
+        )
+
+    def row(self) -> dict:
+        return {
+            "head_lengths": self.head.lengths,
+            "head_text": self.head.text,
+            "full": self.full,
+            "exits": self.exits,
+            "made": self.made,
+            "open_lengths": [left.lengths for left in self.opens],
+            "open_texts": [left.text for left in self.opens],
+            "lead_lengths": self.lead.lengths,
+            "lead_text": self.lead.text,
+            "lead_made": self.lead_made,
+        }
+
+    @classmethod
+    def from_row(cls, row: dict) -> Span:
+        return cls(
+            head=_open(row["head_lengths"], row["head_text"]),
+            full=bool(row["full"]),
+            exits=[int(n) for n in row["exits"]],
+            made=[int(n) for n in row["made"]],
+            opens=[_open(*pair) for pair in zip(row["open_lengths"], row["open_texts"])],
+            lead=_open(row["lead_lengths"], row["lead_text"]),
+            lead_made=int(row["lead_made"]),
+        )
+
+
+def _open(lengths: Iterable[int], text: str) -> Open:
+    return Open([int(n) for n in lengths], text)
 
 
 class Stitcher:
-    """Follows one chapter over its segment summaries, in order."""
+    """Follows the packing of one chapter over spans, in order."""
 
     def __init__(self, cutter: Cutter) -> None:
         self.cutter = cutter
-        self.lengths: list[int] = []
-        self.text = ""
+        self.open: Open | None = None
         self.sequence = 0
-        self.started = False
+
+    @classmethod
+    def resume(cls, cutter: Cutter, left: Open | None, sequence: int = 0) -> Stitcher:
+        stitcher = cls(cutter)
+        stitcher.open, stitcher.sequence = left, sequence
+        return stitcher
 
     def _emit(self, text: str, out: list[dict]) -> None:
         chunk = text.strip(WHITESPACE)
@@ -173,18 +257,15 @@ class Stitcher:
             out.append({"chunk_sequence": self.sequence, "content": chunk})
             self.sequence += 1
 
-    def step(self, summary: dict) -> tuple[int | None, int, list[dict]]:
-        """Entry piece of the segment (None when no chunk starts in it), the number of its first
-        chunk, and the chunks that cross into it."""
+    def step(self, span: Span) -> tuple[int | None, int, list[dict]]:
+        """Entry piece of the span (None when no chunk starts in it), the number of its first chunk,
+        and the chunks that cross into it."""
         crossing: list[dict] = []
-        if not self.started:
-            self.started, self.sequence = True, int(summary["lead_made"])
-            self.lengths = [int(n) for n in summary["lead_tail_lengths"]]
-            self.text = summary["lead_tail_text"]
+        if self.open is None:
+            self.open, self.sequence = span.lead, span.lead_made
             return 0, 0, crossing
-        carried = len(self.lengths)
-        lengths = self.lengths + [int(n) for n in summary["head_lengths"]]
-        text = self.text + summary["head_text"]
+        carried = len(self.open.lengths)
+        lengths, text = self.open.lengths + span.head.lengths, self.open.text + span.head.text
         ends = _running(lengths)
         overflow, following = self.cutter.steps(ends)
         start = 0
@@ -192,19 +273,17 @@ class Stitcher:
             self._emit(text[ends[start] : ends[overflow[start]]], crossing)
             start = int(following[start])
         if start < carried:
-            self.lengths, self.text = lengths[start:], text[ends[start] :]
+            self.open = Open(lengths[start:], text[ends[start] :])
             return None, self.sequence, crossing
         entry, first = start - carried, self.sequence
-        at = list(summary["entries"]).index(entry)
-        self.sequence += int(summary["made"][at])
-        left = int(summary["open_at"][at])
-        tail = [int(n) for n in summary["tail_lengths"]]
-        self.lengths, self.text = tail[left:], summary["tail_text"][sum(tail[:left]) :]
+        self.sequence += span.made[entry]
+        self.open = span.opens[span.exits[entry]]
         return entry, first, crossing
 
     def finish(self) -> list[dict]:
         last: list[dict] = []
-        self._emit(self.text, last)
+        if self.open is not None:
+            self._emit(self.open.text, last)
         return last
 
 
@@ -214,26 +293,37 @@ _CROSSING = T.ArrayType(
         [T.StructField("chunk_sequence", T.IntegerType()), T.StructField("content", T.StringType())]
     )
 )
-_SUMMARY = T.StructType(
+_INTS = T.ArrayType(T.IntegerType())
+_SPAN = [
+    T.StructField("head_lengths", _INTS),
+    T.StructField("head_text", T.StringType()),
+    T.StructField("full", T.BooleanType()),
+    T.StructField("exits", _INTS),
+    T.StructField("made", _INTS),
+    T.StructField("open_lengths", T.ArrayType(_INTS)),
+    T.StructField("open_texts", T.ArrayType(T.StringType())),
+    T.StructField("lead_lengths", _INTS),
+    T.StructField("lead_text", T.StringType()),
+    T.StructField("lead_made", T.IntegerType()),
+]
+_BLOCK, _SEGMENT = T.StructField("block", T.IntegerType()), T.StructField("segment", T.IntegerType())
+_SEGMENT_SPAN = T.StructType([*_KEYS, _SEGMENT, *_SPAN])
+_BLOCK_SPAN = T.StructType([*_KEYS, _BLOCK, *_SPAN])
+_START = T.StructType(
     [
         *_KEYS,
-        T.StructField("segment", T.IntegerType()),
-        T.StructField("head_lengths", T.ArrayType(T.IntegerType())),
-        T.StructField("head_text", T.StringType()),
-        T.StructField("entries", T.ArrayType(T.IntegerType())),
-        T.StructField("open_at", T.ArrayType(T.IntegerType())),
-        T.StructField("made", T.ArrayType(T.IntegerType())),
-        T.StructField("tail_lengths", T.ArrayType(T.IntegerType())),
-        T.StructField("tail_text", T.StringType()),
-        T.StructField("lead_made", T.IntegerType()),
-        T.StructField("lead_tail_lengths", T.ArrayType(T.IntegerType())),
-        T.StructField("lead_tail_text", T.StringType()),
+        _BLOCK,
+        T.StructField("begins", T.BooleanType()),
+        T.StructField("ends", T.BooleanType()),
+        T.StructField("start_lengths", _INTS),
+        T.StructField("start_text", T.StringType()),
+        T.StructField("start_sequence", T.IntegerType()),
     ]
 )
 _ENTRY = T.StructType(
     [
         *_KEYS,
-        T.StructField("segment", T.IntegerType()),
+        _SEGMENT,
         T.StructField("leading", T.BooleanType()),
         T.StructField("entry", T.IntegerType()),
         T.StructField("first_sequence", T.IntegerType()),
@@ -253,44 +343,91 @@ def _frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=schema.fieldNames())
 
 
-def _summaries(cutter: Cutter):
+def _keys(row: dict, *more: str) -> dict:
+    return {name: row[name] for name in [*CHAPTER_KEYS, *more]}
+
+
+def _spans(cutter: Cutter):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows = batch.to_dict("records")
+            spans = [_keys(row, "segment") | Span.of(cutter, row["text"]).row() for row in rows]
+            yield _frame(spans, _SEGMENT_SPAN)
+
+    return run
+
+
+def _blocks(cutter: Cutter):
+    """Spans arrive whole block by whole block, in segment order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, span = None, None
+        for batch in batches:
+            done = []
             for row in batch.to_dict("records"):
-                text = row.pop("text")
-                row |= _summary(Segment(cutter, text, leading=False))
-                row |= _lead_summary(Segment(cutter, text, leading=True))
-                rows.append(row)
-            yield _frame(rows, _SUMMARY)
+                at = _keys(row, "block")
+                if at == key:
+                    span = span.then(Span.from_row(row), cutter)
+                    continue
+                if key is not None:
+                    done.append(key | span.row())
+                key, span = at, Span.from_row(row)
+            yield _frame(done, _BLOCK_SPAN)
+        if key is not None:
+            yield _frame([key | span.row()], _BLOCK_SPAN)
 
     return run
 
 
-def _entries(cutter: Cutter):
-    """Summaries arrive whole chapter by whole chapter, in segment order; state is one chapter's
-    open chunk, so memory stays flat."""
+def _starts(cutter: Cutter):
+    """Blocks arrive whole chapter by whole chapter, in order; what is kept is one open chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chapter, stitcher, held = None, Stitcher(cutter), None
         for batch in batches:
-            rows = []
+            done = []
             for row in batch.to_dict("records"):
-                key = tuple(row[name] for name in CHAPTER_KEYS)
-                leading = key != chapter
-                if leading:
-                    if held is not None:
-                        held["crossing"] += stitcher.finish()
-                    chapter, stitcher = key, Stitcher(cutter)
+                begins = _keys(row) != chapter
                 if held is not None:
-                    rows.append(held)
-                entry, first, crossing = stitcher.step(row)
-                held = {name: row[name] for name in [*CHAPTER_KEYS, "segment"]}
-                held |= {"leading": leading, "entry": entry, "first_sequence": first}
-                held |= {"crossing": crossing}
-            yield _typed_entries(rows)
+                    done.append(held | {"ends": begins})
+                if begins:
+                    chapter, stitcher = _keys(row), Stitcher(cutter)
+                left = stitcher.open or Open([], "")
+                held = _keys(row, "block") | {"begins": begins, "start_sequence": stitcher.sequence}
+                held |= {"start_lengths": left.lengths, "start_text": left.text}
+                stitcher.step(Span.from_row(row))
+            yield _frame(done, _START)
         if held is not None:
-            held["crossing"] += stitcher.finish()
+            yield _frame([held | {"ends": True}], _START)
+
+    return run
+
+
+def _entries(cutter: Cutter):
+    """Spans arrive whole block by whole block, in segment order, each with its block's start."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, stitcher, held, ends = None, Stitcher(cutter), None, False
+        for batch in batches:
+            done = []
+            for row in batch.to_dict("records"):
+                fresh = _keys(row, "block") != block
+                if held is not None:
+                    if fresh and ends:
+                        held["crossing"] += stitcher.finish()
+                    done.append(held)
+                if fresh:
+                    block, ends = _keys(row, "block"), row["ends"]
+                    start = None if row["begins"] else _open(row["start_lengths"], row["start_text"])
+                    stitcher = Stitcher.resume(cutter, start, int(row["start_sequence"]))
+                leading = stitcher.open is None
+                entry, first, crossing = stitcher.step(Span.from_row(row))
+                held = _keys(row, "segment") | {"leading": leading, "entry": entry}
+                held |= {"first_sequence": first, "crossing": crossing}
+            yield _typed_entries(done)
+        if held is not None:
+            if ends:
+                held["crossing"] += stitcher.finish()
             yield _typed_entries([held])
 
     return run
@@ -319,26 +456,36 @@ def _chunks(cutter: Cutter):
     return run
 
 
+def _in_order(table: DataFrame, groups: list[str], *order: str) -> DataFrame:
+    """Whole groups per task, each in order. The shuffle is asked for by name, so adaptive execution
+    never splits a group."""
+    return table.repartition(*groups).sortWithinPartitions(*groups, *order)
+
+
 def split_chapters(
     pages: DataFrame,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     pages_per_segment: int = PAGES_PER_SEGMENT,
+    segments_per_block: int = SEGMENTS_PER_BLOCK,
 ) -> DataFrame:
     """Chunks of every chapter: chapter keys, ``chunk_sequence`` from 0 and ``content``.
 
-    The text is shuffled once, by chapter and segment; both passes over it read that shuffle.
-    Only the summaries, a few hundred characters per segment, are brought together by chapter.
+    The text is shuffled once, by chapter and segment; both passes over it read that shuffle. Spans
+    are about a thousand characters per segment. They are brought together by block, and only the
+    blocks, one row per ``pages_per_segment * segments_per_block`` page numbers, by chapter.
     """
     cutter = Cutter(size, overlap)
     segments = chapter_segments(pages, pages_per_segment)
-    summaries = segments.select(*CHAPTER_KEYS, "segment", "text").mapInPandas(
-        _summaries(cutter), _SUMMARY
-    )
-    entries = (
-        summaries.repartition(*CHAPTER_KEYS)
-        .sortWithinPartitions(*CHAPTER_KEYS, "segment")
-        .mapInPandas(_entries(cutter), _ENTRY)
+    block_keys = [*CHAPTER_KEYS, "block"]
+    spans = segments.select(*CHAPTER_KEYS, "segment", "text").mapInPandas(_spans(cutter), _SEGMENT_SPAN)
+    spans = spans.withColumn("block", F.floor(F.col("segment") / segments_per_block).cast("int"))
+    # As in the segments: with nothing left to infer, both uses of the spans share one shuffle.
+    spans = with_values(spans, block_keys).repartition(*block_keys)
+    blocks = spans.sortWithinPartitions(*block_keys, "segment").mapInPandas(_blocks(cutter), _BLOCK_SPAN)
+    starts = _in_order(blocks, CHAPTER_KEYS, "block").mapInPandas(_starts(cutter), _START)
+    entries = _in_order(spans.join(starts, block_keys), block_keys, "segment").mapInPandas(
+        _entries(cutter), _ENTRY
     )
     return (
         segments.select(*CHAPTER_KEYS, "segment", "text")

@@ -31,6 +31,12 @@ def clean_pages(pages: DataFrame, min_chars: int = PAGE_MIN_CHARS) -> DataFrame:
     return pages.select(*others, F.explode(kept).alias("page_text"))
 
 
+def with_values(table: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have a value in every column. Spelled out ahead of a join by these columns, this
+    leaves the join nothing to add, so that two uses of the table share one shuffle."""
+    return table.filter(reduce(Column.__and__, [F.col(name).isNotNull() for name in columns]))
+
+
 def number_pages(files: DataFrame, pages_column: str = "pages") -> DataFrame:
     """One row per page of a file whose pages come as an array; pages count from 1."""
     others = [name for name in files.columns if name != pages_column]
@@ -48,12 +54,8 @@ def chapter_segments(pages: DataFrame, pages_per_segment: int = PAGES_PER_SEGMEN
     """
     segment = F.floor(F.col("page_num") / pages_per_segment).cast("int")
     in_order = F.sort_array(F.collect_list(F.struct("page_num", "page_text")))
-    # Spelled out for every key, so that a join by these keys finds nothing to add, and two uses of
-    # the segments share one shuffle.
-    given = [F.col(name).isNotNull() for name in [*CHAPTER_KEYS, "segment"]]
     return (
-        pages.withColumn("segment", segment)
-        .filter(reduce(Column.__and__, given))
+        with_values(pages.withColumn("segment", segment), [*CHAPTER_KEYS, "segment"])
         .groupBy(*CHAPTER_KEYS, "segment")
         .agg(in_order.alias("pages"))
         .select(

@@ -79,10 +79,12 @@ def chapters():
     return made
 
 
-@pytest.mark.parametrize("pages_per_segment", [1, 2, 7, 60, 1024])
-def test_segments_do_not_change_the_chunks(spark, chapters, pages_per_segment):
+@pytest.mark.parametrize("pages, segments", [(1, 1), (1, 5), (2, 1024), (7, 3), (60, 2), (1024, 1024)])
+def test_segments_do_not_change_the_chunks(spark, chapters, pages, segments):
     found = chunk_lists(
-        chunking.split_chapters(page_frame(spark, chapters), pages_per_segment=pages_per_segment)
+        chunking.split_chapters(
+            page_frame(spark, chapters), pages_per_segment=pages, segments_per_block=segments
+        )
     )
     for name, pages in chapters.items():
         whole = "\n\n".join(text for _, text in sorted(pages.items()))
@@ -146,7 +148,8 @@ def test_number_pages(spark):
 def test_text_is_shuffled_once(spark, chapters):
     frame = chunking.split_chapters(page_frame(spark, chapters), pages_per_segment=7)
     frame.collect()
-    assert "ReusedExchange" in frame._jdf.queryExecution().executedPlan().toString()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2  # the segments, and their spans
 
 
 def test_rows_without_file_fields_belong_to_no_chapter(spark):

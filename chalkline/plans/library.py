@@ -45,6 +45,7 @@ def build_library(
     folder: str,
     factory: ModelFactory = HashedWords,
     model_name: str = "hashed-words",
+    normalize: bool = True,
     catalog: str = "local",
     schema: str = "default",
     source_table: str = "chunks",
@@ -59,44 +60,43 @@ def build_library(
     library = Library(pages.sparkSession, folder)
     write_chunks(chunk_table(pages), library.path("chunks"))
     write_table(index_table(library.chunks()), library.path("index"))
-    build_vectors(library, factory, model_name)
+    build_vectors(library, factory, model_name, normalize)
     described = manifest(
-        library.vectors(), model_name, catalog, schema, source_table, created_at=created_at
+        library.vectors(), model_name, catalog, schema, source_table, normalize, created_at
     )
     write_manifest(described, library.path("manifest"))
     return library
 
 
 def build_vectors(
-    library: Library, factory: ModelFactory = HashedWords, model_name: str = "hashed-words"
+    library: Library,
+    factory: ModelFactory = HashedWords,
+    model_name: str = "hashed-words",
+    normalize: bool = True,
 ) -> None:
     """Vectors of the index table's texts; skipped when they are there already."""
-    vectors = embed(library.index(), "faiss_id", "text", factory, model_name)
+    vectors = embed(library.index(), "faiss_id", "text", factory, model_name, normalize)
     write_if_absent(vectors, library.path("vectors"))
 
 
-def question_vectors(
-    questions: DataFrame, factory: ModelFactory = HashedWords, model_name: str = "hashed-words"
-) -> DataFrame:
-    """Vectors of the stripped question texts; the search scales them to unit length."""
-    asked = questions.select("query_id", strip(F.col("question")).alias("asked"))
-    return embed(asked, "query_id", "asked", factory, model_name, normalize=False)
-
-
 def search_library(
     library: Library,
     questions: DataFrame,
     k: int = ANSWER_K,
     factory: ModelFactory = HashedWords,
-    model_name: str = "hashed-words",
 ) -> DataFrame:
-    """Hits of text questions ``query_id, question, target_subject, target_class``."""
+    """Hits of text questions ``query_id, question, target_subject, target_class``.
+
+    The manifest names the model, so that questions and chunks go through the same one, and the
+    metric. Question texts are stripped; null counts as empty.
+    """
+    described = library.manifest().first()
+    asked = questions.select("query_id", strip(F.col("question")).alias("asked"))
+    vectors = embed(
+        asked, "query_id", "asked", factory, described["embedding_model"], normalize=False
+    )
     return retrieve(
-        question_vectors(questions, factory, model_name),
-        library.vectors(),
-        library.index(),
-        k,
-        targets=questions,
+        vectors, library.vectors(), library.index(), k, metric=described["metric"], targets=questions
     )
 
 

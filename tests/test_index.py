@@ -130,13 +130,15 @@ def test_embed_batches_and_unit_length(spark):
     assert all(len(r["embedding"]) == embedding.DIMENSION for r in rows)
 
 
-def test_library_from_pages_to_prompts(spark, tmp_path):
+@pytest.mark.parametrize("normalize", [True, False])
+def test_library_from_pages_to_prompts(spark, tmp_path, normalize):
     texts = ["Plants make sugar from light. " * 5, "Rivers carry water to the sea. " * 5]
     pages = spark.createDataFrame(
         [(f"class6_science_ch{n}.pdf", "6", "science", str(n), 1, text) for n, text in enumerate(texts)], RAW_PAGES
     )
-    library = build_library(pages, str(tmp_path))
+    library = build_library(pages, str(tmp_path), normalize=normalize)
     assert library.manifest().first()["num_vectors"] == library.index().count() == 2
+    assert library.manifest().first()["metric"] == ("inner_product" if normalize else L2)
     questions = spark.createDataFrame(
         [(1, " how do plants use light ", "sci", "6"), (2, "rivers", "science", "7")],
         "query_id long, question string, target_subject string, target_class string",

@@ -182,19 +182,22 @@ def quiz_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quiz_answers(spark: SparkSession, folder: str) -> DataFrame:
-    """An answer to most questions: right, padded, wrong, or none."""
+    """Answers to the first questions of each quiz: right, padded, wrong, or null."""
     item, at = F.col("quiz_id"), F.col("q_idx")
     letters = F.array(*[F.lit(letter) for letter in "ABCD"])
     right = F.get(letters, ((item + at) % 4).cast("int"))
-    given = F.when((item + at) % 5 == 1, F.concat(F.lit("  "), F.lower(right), F.lit("\n"))).when(
-        (item + at) % 5 == 2, F.lit("Z")
+    given = (
+        F.when((item + at) % 5 == 1, F.concat(F.lit("  "), F.lower(right), F.lit("\n")))
+        .when((item + at) % 5 == 2, F.lit("Z"))
+        .when((item + at) % 5 != 0, right)
     )
+    answered = F.explode(F.sequence(F.lit(0), (F.col("item_id") % 3).cast("int")))
     return (
         table(spark, folder, "benchmark")
-        .select(F.col("item_id").alias("quiz_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("q_idx"))
-        .filter((item + at) % 5 != 0)
-        .withColumn("answer", given.otherwise(right))
+        .select(F.col("item_id").alias("quiz_id"), answered.alias("q_idx"))
+        .withColumn("answer", given)
     )
 
+
 # A word in each script the language detection knows, one in a script it does not know, and none.
 SCRIPT_WORDS = ["नमस्ते", "வணக்கம்", "నమస్కారం", "ನಮಸ್ಕಾರ", "നമസ്കാരം", "নমস্কার", "привет", ""]

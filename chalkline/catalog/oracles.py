@@ -343,10 +343,11 @@ _TABLES: dict[str, tuple[list[str], str]] = {
     ),
     "grades": (
         ["questions"],
-        f"""SELECT quiz_id, q_idx + 1 AS question_num, question,
-                CASE (quiz_id + q_idx) % 5 WHEN 0 THEN {_text(quiz.NOT_ANSWERED)} WHEN 2 THEN 'Z' ELSE upper(
-                    {_strip('correct_answer')}) END AS user_answer, upper({_strip('correct_answer')}) AS correct_answer,
-                (quiz_id + q_idx) % 5 NOT IN (0, 2) AS is_correct, explanation FROM questions""",
+        f"""SELECT quiz_id, q_idx + 1 AS question_num, question, CASE
+                WHEN (quiz_id + q_idx) % 5 = 0 OR q_idx > quiz_id % 3 THEN {_text(quiz.NOT_ANSWERED)}
+                WHEN (quiz_id + q_idx) % 5 = 2 THEN 'Z' ELSE upper({_strip('correct_answer')}) END AS user_answer,
+                upper({_strip('correct_answer')}) AS correct_answer,
+                (quiz_id + q_idx) % 5 NOT IN (0, 2) AND q_idx <= quiz_id % 3 AS is_correct, explanation FROM questions""",
     ),
 }
 
@@ -413,7 +414,7 @@ def statements() -> dict[str, str]:
         ),
         "chapter_text": _with(
             "pages",
-            select=f"""SELECT {_KEY}, CAST(page_num // 1024 AS INTEGER) AS segment, CAST(count(*) AS INTEGER) AS n_pages,
+            select=f"""SELECT {_KEY}, CAST(page_num // 256 AS INTEGER) AS segment, CAST(count(*) AS INTEGER) AS n_pages,
                 string_agg(page_text, chr(10)||chr(10) ORDER BY page_num) AS text FROM pages GROUP BY ALL""",
         ),
         "chunk_text": _with("split", select="SELECT * FROM split"),

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from chalkline.functions.responses import chat_content
 from chalkline.functions.text import is_blank, strip
-from chalkline.operators.ingest import PAGES_PER_SEGMENT
 
-TURNS_PER_SEGMENT = PAGES_PER_SEGMENT
+TURNS_PER_SEGMENT = 1024
 NO_ANSWER = "no model answered"
 
 

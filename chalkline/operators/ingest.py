@@ -13,7 +13,7 @@ from chalkline.schemas import CHAPTER_KEYS, RAW_PAGES
 
 # Page numbers per segment. A chapter is handled in segments of this many page numbers, so the
 # text one task holds is bounded however long the chapter is.
-PAGES_PER_SEGMENT = 1024
+PAGES_PER_SEGMENT = 256
 
 
 def with_filename_fields(files: DataFrame) -> DataFrame:

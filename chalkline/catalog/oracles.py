@@ -78,7 +78,7 @@ _MARKED = """'## **Notes** on [*' || source || '*](http://x.example/1)' || chr(1
 
 def _speech(rules) -> str:
     out = _MARKED
-    for flag, pattern, replacement in rules:
+    for flag, pattern, replacement, _ in rules:
         pattern = f"(?{flag}-s)" + pattern.replace("\\s", "[\\s\\x0b]") if flag else "(?-s)" + pattern
         out = f"regexp_replace({out}, {_text(pattern)}, {_text(replacement.replace('$', chr(92)))}, 'g')"
     return _strip(out)
@@ -327,7 +327,7 @@ _TABLES: dict[str, tuple[list[str], str]] = {
     "quizzes": (
         ["faults"],
         f"""SELECT quiz_id, error IS NULL AS success, error,
-                CASE WHEN error IS NULL THEN CAST(json_array_length(slice) AS INTEGER) END AS n_questions
+                CASE WHEN error IS NULL THEN CAST(json_array_length(slice) AS INTEGER) ELSE 0 END AS n_questions
             FROM (SELECT s.quiz_id, s.slice, CASE WHEN slice IS NULL THEN {_text(quiz.OTHER_ERROR + quiz.NO_ARRAY)}
                 WHEN slice = '' OR NOT json_valid(slice) THEN {_text(quiz.PARSE_ERROR)}
                 WHEN fault IS NOT NULL THEN {_text(quiz.OTHER_ERROR)} || fault END AS error
@@ -568,7 +568,7 @@ def statements() -> dict[str, str]:
             FROM conversations""",
         "payload_decode": """SELECT conv_id, turn, CAST(strlen(text) AS INTEGER) AS n_bytes, text AS recorded, text AS spoken
             FROM conversations""",
-        "quiz_json_slice": _with("slices", select="SELECT quiz_id, CAST(length(slice) AS INTEGER) AS n_chars FROM slices"),
+        "quiz_json_slice": _with("slices", select="SELECT quiz_id, CAST(coalesce(length(slice), -1) AS INTEGER) AS n_chars FROM slices"),
         "quiz_validate": _with("quizzes", select="SELECT * FROM quizzes"),
         "quiz_questions": _with(
             "questions", select="SELECT * REPLACE (array_to_string(options, '|') AS options) FROM questions"

@@ -465,13 +465,14 @@ def _quizzes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def quiz_json_slice(spark, folder):
-    return fx.quiz_replies(spark, folder).select("quiz_id", F.length(quiz.json_slice(F.col("reply"))).alias("n_chars"))
+    n_chars = F.length(quiz.json_slice(F.col("reply")))
+    return fx.quiz_replies(spark, folder).select("quiz_id", F.coalesce(n_chars, F.lit(-1)).alias("n_chars"))
 
 
 @query
 def quiz_validate(spark, folder):
     return _quizzes(spark, folder).select(
-        "quiz_id", "success", "error", F.when(F.col("success"), F.size("questions")).alias("n_questions")
+        "quiz_id", "success", "error", F.coalesce(F.array_size("questions"), F.lit(0)).alias("n_questions")
     )
 
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 # First and last letter of each script, in the order they are tried.
 SCRIPTS = [
-    ("hi", "ऀ", "ॿ"),
-    ("ta", "஀", "௿"),
-    ("te", "ఀ", "౿"),
-    ("kn", "ಀ", "೿"),
-    ("ml", "ഀ", "ൿ"),
-    ("bn", "ঀ", "৿"),
+    ("hi", "\u0900", "\u097f"),
+    ("ta", "\u0b80", "\u0bff"),
+    ("te", "\u0c00", "\u0c7f"),
+    ("kn", "\u0c80", "\u0cff"),
+    ("ml", "\u0d00", "\u0d7f"),
+    ("bn", "\u0980", "\u09ff"),
 ]
 
 # Speech codes and display names.

@@ -11,43 +11,40 @@ from chalkline.functions.binding import let
 
 # The characters that count as white space when text is stripped.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
+    "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-# Page clean-up patterns and replacements, in order, each with the texts that show that
-# there is something to replace. A lone blank needs no rewriting.
+# Clean-up rules as (flag, pattern, replacement), in order. "m" marks rules whose ^ matches
+# at every line. The signs after a rule are texts without one of which it has nothing to replace.
 PAGE_RULES = [
-    (r"\n{3,}", "\n\n", ["\n\n\n"]),
-    (r"[ \t]+", " ", ["  ", "\t"]),
+    ("", r"\n{3,}", "\n\n", ["\n\n\n"]),
+    ("", r"[ \t]+", " ", ["  ", "\t"]),
 ]
-
-# Speech clean-up rules, in order. "m" marks rules whose ^ matches at every line.
 SPEECH_RULES = [
-    ("", r"<[^>]+>", ""),
-    ("", r"\*\*(.+?)\*\*", "$1"),
-    ("", r"\*(.+?)\*", "$1"),
-    ("", r"__(.+?)__", "$1"),
-    ("", r"_(.+?)_", "$1"),
-    ("", r"~~(.+?)~~", "$1"),
-    ("", r"`(.+?)`", "$1"),
-    ("m", r"^#{1,6}\s+", ""),
-    ("m", r"^\s*[-*+]\s+", ""),
-    ("m", r"^\s*\d+\.\s+", ""),
-    ("m", r"^\s*>\s*", ""),
-    ("", r"\[([^\]]+)\]\([^\)]+\)", "$1"),
-    ("", r"[|]", " "),
-    ("", r"-{3,}", ""),
-    ("", r"\s+", " "),
+    ("", r"<[^>]+>", "", ["<"]),
+    ("", r"\*\*(.+?)\*\*", "$1", ["**"]),
+    ("", r"\*(.+?)\*", "$1", ["*"]),
+    ("", r"__(.+?)__", "$1", ["__"]),
+    ("", r"_(.+?)_", "$1", ["_"]),
+    ("", r"~~(.+?)~~", "$1", ["~~"]),
+    ("", r"`(.+?)`", "$1", ["`"]),
+    ("m", r"^#{1,6}\s+", "", ["#"]),
+    ("m", r"^\s*[-*+]\s+", "", ["-", "*", "+"]),
+    ("m", r"^\s*\d+\.\s+", "", ["."]),
+    ("m", r"^\s*>\s*", "", [">"]),
+    ("", r"\[([^\]]+)\]\([^\)]+\)", "$1", ["]("]),
+    ("", r"[|]", " ", ["|"]),
+    ("", r"-{3,}", "", ["---"]),
+    ("", r"\s+", " ", []),
 ]
-
-# The shorter speech clean-up rules, in order.
 PLAIN_SPEECH_RULES = [
-    ("", r"```[\s\S]*?```", " "),
-    ("", r"`([^`]+)`", "$1"),
-    ("", r"\[([^\]]+)\]\([^)]+\)", "$1"),
-    ("", r"[*_#>|]+", " "),
-    ("", r"\s+", " "),
+    ("", r"```[\s\S]*?```", " ", ["```"]),
+    ("", r"`([^`]+)`", "$1", ["`"]),
+    ("", r"\[([^\]]+)\]\([^)]+\)", "$1", ["]("]),
+    ("", r"[*_#>|]+", " ", ["*", "_", "#", ">", "|"]),
+    ("", r"\s+", " ", []),
 ]
 
 # Lengths at which speech text is cut.
@@ -57,8 +54,9 @@ SPEECH_REQUEST_CUT = 2500
 
 PAGE_MIN_CHARS = 100
 
-# (?d): only \n ends a line; (?U): \s and \d cover all of Unicode.
+# (?d): only \n ends a line; (?U): \s and \d cover all of Unicode, but for four separators.
 _FLAGS = "(?dU{})"
+_SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
@@ -70,35 +68,38 @@ def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def clean_page(text: Column) -> Column:
-    """Most pages need no pattern at all, and a plain search for the signs is far cheaper than one."""
-    for pattern, replacement, signs in PAGE_RULES:
-        text = let(text, lambda t: F.when(_has_any(t, signs), F.regexp_replace(t, pattern, replacement)).otherwise(t))
+def _rewrite(text: Column, rules: list[tuple[str, str, str, list[str]]]) -> Column:
+    """Most texts show few of the signs, and a plain search for one is far cheaper than a pattern."""
+    for flag, pattern, replacement, signs in rules:
+        regex = _FLAGS.format(flag) + pattern.replace(r"\s", _SPACE)
+
+        def rewritten(given: Column) -> Column:
+            out = F.regexp_replace(given, regex, replacement)
+            if not signs:
+                return out
+            needed = reduce(Column.__or__, [F.contains(given, F.lit(sign)) for sign in signs])
+            return F.when(needed, out).otherwise(given)
+
+        text = let(text, rewritten)
     return strip(text)
 
 
-def _has_any(text: Column, signs: list[str]) -> Column:
-    return reduce(Column.__or__, [F.contains(text, F.lit(sign)) for sign in signs])
+def clean_page(text: Column) -> Column:
+    return _rewrite(text, PAGE_RULES)
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
 
 
-def _apply(text: Column, rules: list[tuple[str, str, str]]) -> Column:
-    for flag, pattern, replacement in rules:
-        text = F.regexp_replace(text, _FLAGS.format(flag) + pattern, replacement)
-    return strip(text)
-
-
 def speech_text(text: Column) -> Column:
     """Markup-free text for reading aloud."""
-    return _apply(text, SPEECH_RULES)
+    return _rewrite(text, SPEECH_RULES)
 
 
 def plain_speech_text(text: Column, max_chars: int = PLAIN_SPEECH_CUT) -> Column:
     """The shorter clean-up; cut to ``max_chars`` characters."""
-    return truncate(_apply(text, PLAIN_SPEECH_RULES), max_chars)
+    return truncate(_rewrite(text, PLAIN_SPEECH_RULES), max_chars)
 
 
 def truncate(text: Column, max_chars: int) -> Column:

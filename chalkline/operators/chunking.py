@@ -33,7 +33,6 @@ SEPARATORS = ["\n\n", "\n", ". ", " "]
 SEGMENTS_PER_BLOCK = 1024
 
 
-
 @dataclass(frozen=True)
 class Cutter:
     """The cutting rule: pieces never cross the first separator, which also joins the pages."""
@@ -85,15 +84,10 @@ class Segment:
     def __init__(self, cutter: Cutter, text: str, leading: bool) -> None:
         mark = cutter.separators[0]
         first, *others = text.split(mark)
-        self._fill(
-            cutter,
-            text if leading else mark + text,
-            cutter.fine(first if leading else mark + first)
-            + [piece for other in others for piece in cutter.fine(mark + other)],
-        )
-
-    def _fill(self, cutter: Cutter, text: str, pieces: list[str]) -> None:
-        self.cutter, self.text = cutter, text
+        pieces = cutter.fine(first if leading else mark + first)
+        for other in others:
+            pieces += cutter.fine(mark + other)
+        self.cutter, self.text = cutter, text if leading else mark + text
         self.lengths = [len(piece) for piece in pieces]
         self.ends = _running(self.lengths)
         self.overflow, self.following = cutter.steps(self.ends)

@@ -200,6 +200,15 @@ def _in_tiles(questions: DataFrame, corpus: DataFrame, k: int, metric: str, size
     )
 
 
+def _bounded(questions: DataFrame, max_rows: int) -> pa.Table | None:
+    """The questions, if their number and size are within the bounds of a broadcast."""
+    first = questions.select(F.size("vector").alias("dimension")).first()
+    row_bytes = 4 * max(first["dimension"], 1) if first else 4
+    allowed = min(max_rows, MAX_BROADCAST_BYTES // row_bytes)
+    few = questions.limit(allowed + 1).toArrow()
+    return few if few.num_rows <= allowed else None
+
+
 def top_k(
     questions: DataFrame,
     corpus: DataFrame,
@@ -211,7 +220,8 @@ def top_k(
     """Best k of ``corpus(faiss_id, embedding)`` for each of ``questions(query_id, embedding)``.
 
     Questions are scaled to unit length for the inner product only. Rows without a vector take no
-    part. The result has ``query_id, faiss_id, score, rank``.
+    part. The result has ``query_id, faiss_id, score, rank``. Both tables are read more than once,
+    so they should be stored tables or cheap to compute.
     """
     vector = F.col("embedding")
     asked = l2_normalize(vector) if metric == INNER_PRODUCT else vector.cast("array<float>")
@@ -221,8 +231,8 @@ def top_k(
     corpus = corpus.filter(vector.isNotNull()).select(
         F.col("faiss_id").cast("long").alias("faiss_id"), vector.cast("array<float>").alias("vector")
     )
-    few = questions.limit(max_broadcast + 1).toArrow()
-    if few.num_rows <= max_broadcast and few.nbytes <= MAX_BROADCAST_BYTES:
+    few = _bounded(questions, max_broadcast)
+    if few is not None:
         block = (few.column("query_id").to_numpy(), _matrix(few.column("vector")))
         sent = questions.sparkSession.sparkContext.broadcast(block)
         partial = corpus.mapInArrow(_scan(sent, k, metric), _HIT_SCHEMA)

@@ -18,9 +18,9 @@ INDEX_FILE, CHUNKS_FILE = "corpus.faiss", "chunks.parquet"
 
 
 def with_dense_id(
-    table: DataFrame, key: str, name: str = "faiss_id", partitions: int | None = None
+    table: DataFrame, key: str | list[str], name: str = "faiss_id", partitions: int | None = None
 ) -> DataFrame:
-    """``name`` = 0..n-1 in the order of the unique column ``key``, as the first column.
+    """``name`` = 0..n-1 in the order of ``key``, as the first column; the key is unique and not null.
 
     A window without partitions would number the whole table in one task. Here the keys alone
     are range partitioned and numbered inside their partition; the partition sizes, one row per
@@ -29,14 +29,20 @@ def with_dense_id(
     """
     spark = table.sparkSession
     checkpoint_root(spark)
+    key = [key] if isinstance(key, str) else key
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = table.select(key).repartitionByRange(parts, key).sortWithinPartitions(key)
     row = F.monotonically_increasing_id()
-    keys = keys.select(
-        key,
-        F.shiftright(row, 33).alias("_part"),
-        row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
-    ).checkpoint()
+    keys = (
+        table.select(*key)
+        .repartitionByRange(parts, *key)
+        .sortWithinPartitions(*key)
+        .select(
+            *key,
+            F.shiftright(row, 33).alias("_part"),
+            row.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"),
+        )
+        .checkpoint()
+    )
     # One row per range partition, so one task can add them up and every task can hold the sums.
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -45,14 +51,17 @@ def with_dense_id(
         .select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"))
     )
     numbered = keys.join(F.broadcast(offsets), "_part").select(
-        key, (F.col("_offset") + F.col("_place")).alias(name)
+        *key, (F.col("_offset") + F.col("_place")).alias(name)
     )
     return table.join(numbered, key).select(name, *table.columns)
 
 
 def index_table(chunks: DataFrame) -> DataFrame:
-    """The chunk table under its index names, with a dense id in front."""
-    return with_dense_id(chunks.withColumnsRenamed(INDEX_NAMES), "chunk_id")
+    """The chunk table under its index names, with a dense id in front.
+
+    A chunk id repeats only when two files claim the same chapter, so the file completes the key.
+    """
+    return with_dense_id(chunks.withColumnsRenamed(INDEX_NAMES), ["chunk_id", "source_file"])
 
 
 def sanitized(table: DataFrame) -> DataFrame:

@@ -31,6 +31,12 @@ def test_dense_ids_of_nothing(spark):
     assert index.with_dense_id(frame, "key").count() == 0
 
 
+def test_files_that_claim_the_same_chapter(spark):
+    rows = [("k0", "a", "5", "s", "1", 0, "f", 1), ("k0", "b", "5", "s", "1", 0, "g", 1)]
+    found = index.index_table(spark.createDataFrame(rows, CHUNKS)).orderBy("faiss_id").collect()
+    assert [(r["faiss_id"], r["text"]) for r in found] == [(0, "a"), (1, "b")]
+
+
 def test_index_table_names(spark):
     table = index.index_table(chunk_frame(spark, [("a", "5", "s"), ("b", "6", "t")]))
     assert table.columns[:5] == ["faiss_id", "chunk_id", "text", "class", "subject"]
@@ -121,6 +127,12 @@ def test_embed_with_another_model(spark):
     assert found == {1: [3.0, 1.0], 2: [0.0, 1.0]}
 
 
+def test_embed_reads_two_columns(spark, tmp_path):
+    tables.write_table(chunk_frame(spark, [("a", "5", "s")]), str(tmp_path / "chunks"))
+    plan = embedding.embed(spark.read.parquet(str(tmp_path / "chunks")))._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<chunk_id:string,content:string>" in plan
+
+
 def test_embed_batches_and_unit_length(spark):
     texts = spark.createDataFrame([(str(n), f"word{n} the The the") for n in range(100)] + [("x", "...")], "chunk_id string, content string")
     rows = embedding.embed(texts.coalesce(1), batch_size=7).collect()

@@ -59,6 +59,14 @@ def test_equals_brute_force(spark, data, metric, options, k):
     assert hits.max_rows == (None if options else 40 * k)
 
 
+def test_broadcast_is_bounded_by_bytes(spark, data, monkeypatch):
+    query_ids, queries, ids, corpus = data
+    monkeypatch.setattr(search, "MAX_BROADCAST_BYTES", 39 * 16 * 4)
+    hits = search.top_k(frame(spark, "query_id", query_ids, queries), frame(spark, "faiss_id", ids, corpus), 5)
+    assert hits.max_rows is None
+    assert rows_of(hits) == brute(query_ids, queries, ids, corpus, 5, search.INNER_PRODUCT)
+
+
 def test_splits_do_not_change_the_ranking(spark, data):
     query_ids, queries, ids, corpus = data
     runs = [

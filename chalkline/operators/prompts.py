@@ -209,7 +209,9 @@ def rag_user_message(context_chunks: Column, question: Column) -> Column:
 
 
 def message_rows(prompts: DataFrame) -> DataFrame:
-    """One row per message: ``query_id, position, role, content``."""
-    return prompts.select("query_id", F.posexplode("messages").alias("position", "message")).select(
+    """One row per message: ``query_id, position, role, content``; none for a question with an error."""
+    # An expression, unlike a bare column, is not filtered ahead of the generator and so built once.
+    messages = F.when(F.col("messages").isNotNull(), F.col("messages"))
+    return prompts.select("query_id", F.posexplode(messages).alias("position", "message")).select(
         "query_id", "position", "message.role", "message.content"
     )

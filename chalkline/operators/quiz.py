@@ -100,18 +100,19 @@ def read_quizzes(replies: DataFrame, reply: str = "reply") -> DataFrame:
 
 
 def question_rows(quizzes: DataFrame) -> DataFrame:
-    """One row per question of the valid quizzes; ``q_idx`` counts from 0."""
-    return (
-        quizzes.filter("success")
-        .select("quiz_id", F.posexplode("questions").alias("q_idx", "q"))
-        .select(
-            "quiz_id",
-            "q_idx",
-            "q.question",
-            "q.options",
-            "q.correct_answer",
-            F.coalesce("q.explanation", F.lit("")).alias("explanation"),
-        )
+    """One row per question of the valid quizzes; ``q_idx`` counts from 0.
+
+    Only valid quizzes have questions. An expression, unlike a bare column, is not filtered ahead of
+    the generator, which would parse every reply again.
+    """
+    questions = F.when(F.col("questions").isNotNull(), F.col("questions"))
+    return quizzes.select("quiz_id", F.posexplode(questions).alias("q_idx", "q")).select(
+        "quiz_id",
+        "q_idx",
+        "q.question",
+        "q.options",
+        "q.correct_answer",
+        F.coalesce("q.explanation", F.lit("")).alias("explanation"),
     )
 
 

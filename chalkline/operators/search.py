@@ -179,10 +179,12 @@ def _merged(partial: DataFrame, k: int, metric: str) -> DataFrame:
     )
 
 
-def _in_tiles(questions: DataFrame, corpus: DataFrame, k: int, metric: str, sizes) -> DataFrame:
+def _in_tiles(
+    questions: DataFrame, n_questions: int, corpus: DataFrame, k: int, metric: str, sizes: tuple[int, int]
+) -> DataFrame:
     """Both sides are spread over a grid of tiles by a hash of their unique ids; each tile holds a
     bounded number of rows of either side."""
-    across = max(1, math.ceil(questions.count() / sizes[0]))
+    across = max(1, math.ceil(n_questions / sizes[0]))
     down = max(1, math.ceil(corpus.count() / sizes[1]))
 
     def place(key: str, tiles: int):
@@ -200,15 +202,6 @@ def _in_tiles(questions: DataFrame, corpus: DataFrame, k: int, metric: str, size
     )
 
 
-def _bounded(questions: DataFrame, max_rows: int) -> pa.Table | None:
-    """The questions, if their number and size are within the bounds of a broadcast."""
-    first = questions.select(F.size("vector").alias("dimension")).first()
-    row_bytes = 4 * max(first["dimension"], 1) if first else 4
-    allowed = min(max_rows, MAX_BROADCAST_BYTES // row_bytes)
-    few = questions.limit(allowed + 1).toArrow()
-    return few if few.num_rows <= allowed else None
-
-
 def top_k(
     questions: DataFrame,
     corpus: DataFrame,
@@ -231,13 +224,17 @@ def top_k(
     corpus = corpus.filter(vector.isNotNull()).select(
         F.col("faiss_id").cast("long").alias("faiss_id"), vector.cast("array<float>").alias("vector")
     )
-    few = _bounded(questions, max_broadcast)
-    if few is not None:
+    size = questions.agg(
+        F.count("*").alias("rows"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension")
+    ).first()
+    n_questions = size["rows"]
+    if n_questions <= max_broadcast and 4 * n_questions * size["dimension"] <= MAX_BROADCAST_BYTES:
+        few = questions.toArrow()
         block = (few.column("query_id").to_numpy(), _matrix(few.column("vector")))
         sent = questions.sparkSession.sparkContext.broadcast(block)
         partial = corpus.mapInArrow(_scan(sent, k, metric), _HIT_SCHEMA)
-        return Hits(_merged(partial, k, metric), few.num_rows * k)
-    partial = _in_tiles(questions, corpus, k, metric, tile_sizes)
+        return Hits(_merged(partial, k, metric), n_questions * k)
+    partial = _in_tiles(questions, n_questions, corpus, k, metric, tile_sizes)
     return Hits(_merged(partial, k, metric), None)
 
 

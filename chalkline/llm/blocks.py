@@ -12,7 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 * 1024 * 1024
+BLOCK_BYTES = 12 * 1024 * 1024
+COMPRESSION = 5
 
 # [\x20\x09-\x0D]
 WHITE = np.zeros(256, dtype=bool)
@@ -32,7 +33,7 @@ _PARCEL_ARROW = pa.schema(
 
 
 def pack(*values) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(values, protocol=5))
+    return zstandard.ZstdCompressor(level=COMPRESSION).compress(pickle.dumps(values, protocol=5))
 
 
 def unpack(payload: bytes) -> tuple:

@@ -111,8 +111,8 @@ def decode(encoded: DataFrame, ranks: str) -> DataFrame:
 
 
 def _through_words(docs, ranks, pattern, doc_id, text, finish, schema) -> DataFrame:
-    def describe(batch, firsts, codes, distinct):
-        return None, (batch.column("doc_id"),)
+    def keep(batch, firsts, codes, distinct):
+        return (batch.column("doc_id"),)
 
     def solve(distinct, _):
         encoder = _encoder(ranks, pattern)
@@ -121,7 +121,7 @@ def _through_words(docs, ranks, pattern, doc_id, text, finish, schema) -> DataFr
         return np.fromiter((i for piece in ids for i in piece), np.uint32, int(lengths.sum())), lengths
 
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return by_position(table, "text", cut_before_single_blanks, describe, solve, finish, schema)
+    return by_position(table, "doc_id", "text", cut_before_single_blanks, solve, keep, finish, schema)
 
 
 def _ids(firsts, codes, values, found) -> tuple[np.ndarray, np.ndarray]:

@@ -4,7 +4,7 @@ Each task cuts its texts into words, keeps the places as codes into the block's
 words, and sends every distinct word to the partition its hash names, with what the block knows of
 it. There equal words of all blocks meet, once per block however often they occur, so a very
 frequent word is no hot key. The partition solves each distinct word and answers every block in its
-own order; the codes travel with the same two shuffles, and the texts are put together by position.
+own order; the codes travel with the answers, and the texts are put together by position.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 
 from chalkline.llm import blocks as B
 
-ASKED, PLACES, ANSWERED = 0, 1, 2
+ASKED, PLACES, ANSWERED = 0, 1, 2  # kinds of parcels
 
 #: Cuts the bytes of texts into words: (data, offsets) to (words, first word of each text).
 Cut = Callable[[np.ndarray, np.ndarray], tuple[pa.LargeBinaryArray, np.ndarray]]
-#: Rows and cut words of a block to (what each distinct word carries, what the block keeps).
-Describe = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array], tuple[np.ndarray | None, tuple]]
+#: Rows of a block, first word of each text, codes, and the number of distinct words, to a weight of each of these.
+Weigh = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, int], np.ndarray]
+#: Rows of a block, first word of each text, codes and distinct words to what the block keeps.
+Keep = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array], tuple]
 #: Distinct words and their summed weights to (values, how many values each word has).
 Solve = Callable[[pa.Array, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
 #: What the block kept, first word of each text, codes, all values, and by code where its values start and
@@ -65,75 +67,89 @@ def met(parcels: list[tuple[bytes, bytes]]) -> tuple[pa.Array, np.ndarray, np.nd
     return coded.dictionary, codes, summed, blocks
 
 
-def by_position(table: DataFrame, text: str, cut: Cut, describe: Describe, solve: Solve, finish: Finish, schema: str):
-    """The rows that ``finish`` makes of each block of rows of ``table``."""
+def by_position(
+    table: DataFrame, key: str, text: str, cut: Cut, solve: Solve, keep: Keep, finish: Finish, schema: str, weigh: Weigh | None = None
+) -> DataFrame:
+    """The rows that ``finish`` makes of each block of rows of ``table``.
+
+    ``table`` is read twice, once for the words and once for their places, which halves what is shuffled.
+    It should be a scan of files: a block is known by its ids and words, and if a second reading dealt the
+    rows to blocks otherwise, the job would fail rather than mix blocks up.
+    """
     count = B.partitions(table)
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in enumerate(B.text_blocks(batches, text)):
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in B.text_blocks(batches, text):
             words, firsts = cut(*B.text_bytes(batch.column(text)))
             coded = words.dictionary_encode()
             codes, distinct = coded.indices.to_numpy(), coded.dictionary
-            weights, kept = describe(batch, firsts, codes, distinct)
-            name = f"{TaskContext.get().partitionId()}/{number}"
-            block = hashlib.blake2b(name.encode(), digest_size=12).digest()
-            home = int.from_bytes(block[:4], "big") % count
-            homes = homes_of(distinct, count)
-            places = B.pack(kept, B.narrow(firsts), B.planes(codes), B.narrow(homes))
-            yield B.parcels([(home, block, PLACES, places)])
-            yield B.parcels(asked(distinct, weights, block, homes, count))
+            ids = batch.column(key)
+            name = hashlib.blake2b(f"{ids[0]}/{ids[-1]}/{len(ids)}/".encode(), digest_size=12)
+            name.update(memoryview(np.ascontiguousarray(B.text_bytes(distinct)[0])))
+            yield batch, firsts, codes, distinct, name.digest()
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, firsts, codes, distinct, block in blocks(batches):
+            weights = weigh(batch, firsts, codes, len(distinct)) if weigh else None
+            yield B.parcels(asked(distinct, weights, block, homes_of(distinct, count), count))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, firsts, codes, distinct, block in blocks(batches):
+            kept = keep(batch, firsts, codes, distinct)
+            payload = B.pack(kept, B.narrow(firsts), B.planes(codes), B.narrow(homes_of(distinct, count)))
+            yield B.parcels([(_home(block, count), block, PLACES, payload)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, parcels = TaskContext.get().partitionId(), []
-        for batch in batches:
-            for target, block, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == PLACES:
-                    yield B.parcels([(target, block, kind, payload)])
-                else:
-                    parcels.append((block, payload))
+        here = TaskContext.get().partitionId()
+        parcels = [pair for b in batches for pair in zip(b.column("block").to_pylist(), b.column("payload").to_pylist())]
         if not parcels:
             return
-        distinct, codes, summed, blocks = met(parcels)
+        distinct, codes, summed, sizes = met(parcels)
         del parcels
         values, lengths = solve(distinct, summed)
         starts = B.offsets_of(lengths)[:-1]
         at = 0
-        for block, size in blocks:
+        for block, size in sizes:
             own = codes[at : at + size]
             at += size
             found = values[B.gather(starts[own], lengths[own])]
-            home = int.from_bytes(block[:4], "big") % count
-            yield B.parcels([(home, block, ANSWERED, B.pack(here, B.narrow(found), B.narrow(lengths[own])))])
+            payload = B.pack(here, B.planes(found), B.narrow(lengths[own]))
+            yield B.parcels([(_home(block, count), block, ANSWERED, payload)])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, places, answers = None, None, []
+        block, places, answers = None, [], {}
         for batch in batches:
             for _, name, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if name != block:
-                    if places is not None:
-                        yield _assembled(places, answers, finish)
-                    block, places, answers = name, None, []
+                    yield from _assembled(places, answers, finish)
+                    block, places, answers = name, [], {}
                 if kind == PLACES:
-                    places = payload
+                    places.append(payload)
                 else:
-                    answers.append(payload)
-        if places is not None:
-            yield _assembled(places, answers, finish)
-
-    sent = B.deliver(table.mapInArrow(emit, B.PARCEL), count)
-    back = B.deliver(sent.mapInArrow(answer, B.PARCEL), count).sortWithinPartitions("block", "kind")
-    return back.mapInArrow(assemble, schema)
-
-
-def _assembled(places: bytes, answers: list[bytes], finish: Finish) -> pa.RecordBatch:
-    kept, firsts, planes, homes = B.unpack(places)
-    found = sorted((B.unpack(x) for x in answers), key=lambda x: x[0])
-    values = np.concatenate([x[1] for x in found]) if found else np.zeros(0, np.int64)
-    lengths = np.concatenate([x[2].astype(np.int64) for x in found]) if found else np.zeros(0, np.int64)
-    if len(lengths) != len(homes):
-        raise RuntimeError("a block has words without answers")
-    # Answers come by home; codes count words in the order of the block.
-    order = np.argsort(homes, kind="stable")
-    starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    starts[order], sizes[order] = B.offsets_of(lengths)[:-1], lengths
-    return finish(kept, firsts.astype(np.int64), B.from_planes(planes).astype(np.int64), values, (starts, sizes))
+                    home, *found = B.unpack(payload)
+                    answers[home] = found
+        yield from _assembled(places, answers, finish)
+
+    answers = B.deliver(table.mapInArrow(ask, B.PARCEL), count).mapInArrow(answer, B.PARCEL)
+    back = B.deliver(answers.unionAll(table.mapInArrow(places, B.PARCEL)), count)
+    return back.sortWithinPartitions("block", "kind").mapInArrow(assemble, schema)
+
+
+def _home(block: bytes, count: int) -> int:
+    return int.from_bytes(block[:4], "big") % count
+
+
+def _assembled(places: list[bytes], answers: dict[int, tuple], finish: Finish) -> Iterator[pa.RecordBatch]:
+    """One block; blocks equal in ids and words, of repeated rows, have the same answers."""
+    found = [answers[home] for home in sorted(answers)]
+    values = np.concatenate([B.from_planes(x[0]) for x in found]) if found else np.zeros(0, np.int64)
+    lengths = np.concatenate([x[1].astype(np.int64) for x in found]) if found else np.zeros(0, np.int64)
+    for payload in places:
+        kept, firsts, planes, homes = B.unpack(payload)
+        if len(lengths) != len(homes):
+            raise RuntimeError("a block has words without answers")
+        # Answers come by home; codes count words in the order of the block.
+        order = np.argsort(homes, kind="stable")
+        starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        starts[order], sizes[order] = B.offsets_of(lengths)[:-1], lengths
+        yield finish(kept, firsts.astype(np.int64), B.from_planes(planes).astype(np.int64), values, (starts, sizes))

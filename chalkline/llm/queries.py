@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import bpe, exact, lines, pii, quality, sketch
+from chalkline.llm import bpe, brown, exact, jaccard, lines, packing, pii, quality, sketch, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUALITY_FOLDS = 5
+SCORING_FOLDS = 10
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,9 +45,25 @@ def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(documents(spark, folder))
 
 
+def op3_class_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text").withColumn("train", fold(SCORING_FOLDS) != 0)
+    scored = brown.score(docs, brown.fit(docs, "train"), "train")
+    held_out = (fold(SCORING_FOLDS) == 0).alias("held_out")
+    return scored.select(
+        "doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = lines.drop_boilerplate(documents(spark, folder).select("doc_id", "source", "text"))
-    return cleaned.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("long").alias("n_left"))
+    left = F.length("text").cast("long").alias("n_left")
+    return cleaned.select("doc_id", "source", F.sha2("text", 256).alias("text_sha256"), left)
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,6 +73,14 @@ def op5_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, folder), ranks, public_tokenizers.PATTERN)
 
 
+def op6_curve_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(documents(spark, folder), word_tokenizer())
+
+
+def op7_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.drop_repeats(documents(spark, folder)).drop("kept")
+
+
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     found = sketch.fingerprints_and_edits(documents(spark, folder))
     return found.select(
@@ -73,8 +98,24 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return pii.report(documents(spark, folder))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.linked_documents(documents(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_quality, op2_exact_dedup, op4_line_dedup, op5_bpe, op8_fingerprints, op9_personal_data)
+    f.__name__: f
+    for f in (
+        op1_quality,
+        op2_exact_dedup,
+        op3_class_scoring,
+        op4_line_dedup,
+        op5_bpe,
+        op6_curve_packing,
+        op7_repeated_passages,
+        op8_fingerprints,
+        op9_personal_data,
+        op10_jaccard_join,
+    )
 }
 
 

@@ -14,7 +14,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from chalkline.llm import blocks as B
@@ -100,8 +99,10 @@ def by_position(
             yield B.parcels([(_home(block, count), block, PLACES, payload)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here = TaskContext.get().partitionId()
-        parcels = [pair for b in batches for pair in zip(b.column("block").to_pylist(), b.column("payload").to_pylist())]
+        here, parcels = 0, []
+        for batch in batches:
+            here = batch.column("target")[0].as_py() if batch.num_rows else here
+            parcels += zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True)
         if not parcels:
             return
         distinct, codes, summed, sizes = met(parcels)

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import lines, pii, quality
-from chalkline.llm.queries import documents, labelled_texts
+from chalkline.llm import jaccard, lines, packing, pii, quality
+from chalkline.llm.queries import documents, labelled_texts, word_tokenizer
 from chalkline.session import scratch_path, tune
 
 
@@ -22,11 +22,21 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _counted(lines.drop_boilerplate(docs, host="source"))
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that links of similar shingles connect: that with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced by marks; n_chars follows the text."""
     return _counted(pii.redact(docs))
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents left, in sequences along the curve."""
+    return packing.pack(docs, word_tokenizer())
+
+
 def _counted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
@@ -34,7 +44,9 @@ def _counted(docs: DataFrame) -> DataFrame:
 STAGES = [
     ("quality", keep_good),
     ("lines", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
     ("personal_data", hide_personal_data),
+    ("packing", pack),
 ]
 
 #: The classifier's votes are not SQL; tests hold the stages against brute force.

@@ -8,37 +8,36 @@ from pyspark.sql import functions as F
 from chalkline.session import scratch_path
 
 
+def saved(table: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared scratch folder and read again, which cuts its lineage."""
+    path = scratch_path(table.sparkSession, name)
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
-    """id and label, the smallest id of its component, of every id in links of ``u`` and ``v``.
+    """id and label of every id in links of ``u`` and ``v``; ids that links connect, and no others, have one label.
 
-    In each round all larger neighbours of an id move to its smallest, then each id's links move to its
-    smallest smaller neighbour, until nothing moves; links never grow in number and rounds grow with the
-    logarithm of the longest chain. Each round is written, so its lineage is cut.
+    In each round every id takes its smallest neighbour, if smaller, as parent and then its parent's parent;
+    links are moved to parents, and those that have become loops are dropped. The ids left at least halve
+    per round, and a star of any size needs one.
     """
-    edges = links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges, state = _saved(edges)
+    edges = links.where("u != v").select("u", "v")
+    parents = []
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), F.least("u", "low").alias("low"))
-        larger = both.where("v > u").join(low, F.col("u") == F.col("id"))
-        large = larger.select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("low")).select(F.col("u").alias("id"), "low")
-        moved = large.join(low, F.col("u") == F.col("id")).select(F.col("v").alias("u"), F.col("low").alias("v"))
-        small = moved.where("u != v").unionByName(low.select(F.col("id").alias("u"), F.col("low").alias("v")))
-        edges, now = _saved(small.distinct())
-        if now == state:
+        parent = both.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("low"))
+        parent = saved(parent.select("id", F.least("id", "low").alias("label")), "parents")
+        above = parent.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        parents.append(parent.join(above, "label").select("id", F.col("up").alias("label")))
+        at_u = parents[-1].select(F.col("id").alias("u"), F.col("label").alias("a"))
+        at_v = parents[-1].select(F.col("id").alias("v"), F.col("label").alias("b"))
+        moved = edges.join(at_u, "u").join(at_v, "v").where("a != b")
+        edges = saved(moved.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "links")
+        if edges.isEmpty():
             break
-        state = now
-    labels = edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("label"))
-    roots = labels.select(F.col("label").alias("id"), "label").distinct()
-    return labels.unionByName(roots)
-
-
-def _saved(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The written links, their number, and a sum over them that tells whether any moved."""
-    spark = edges.sparkSession
-    path = scratch_path(spark, "links")
-    edges.write.parquet(path)
-    edges = spark.read.schema(edges.schema).parquet(path)
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return edges, tuple(row)
+    found = parents[0]
+    for parent in parents[1:]:
+        top = parent.select(F.col("id").alias("label"), F.col("label").alias("top"))
+        found = found.join(top, "label", "left").select("id", F.coalesce("top", "label").alias("label"))
+    return saved(found, "components")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm import blocks as B
-from chalkline.llm.components import components
+from chalkline.llm.components import components, saved
 from chalkline.session import scratch_path
 
 WORDS = 5
@@ -278,10 +278,7 @@ def _pairs(left, right):
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of nodes whose sets are similar enough; each needed set is made again from its text."""
     spark = texts.sparkSession
-    nodes = pairs.select(F.explode("pair").alias("node")).distinct()
-    path = scratch_path(spark, "candidates")
-    nodes.write.parquet(path)
-    nodes = spark.read.schema(nodes.schema).parquet(path)
+    nodes = saved(pairs.select(F.explode("pair").alias("node")).distinct(), "candidates")
     wanted = None
     if nodes.count() <= SIDS:
         sids = nodes.select(F.col("node.sid").alias("sid")).toArrow().column("sid").to_numpy()
@@ -300,10 +297,7 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 
     made = texts.mapInArrow(make, "sid long, second long, items binary")
     made = made.groupBy(F.struct("sid", "second").alias("node")).agg(F.first("items").alias("items"))
-    made = made.join(nodes, "node", "left_semi")
-    path = scratch_path(spark, "candidate-sets")
-    made.write.parquet(path)
-    made = spark.read.schema("node struct<sid:long,second:long>, items binary").parquet(path)
+    made = saved(made.join(nodes, "node", "left_semi"), "candidate-sets")
     sides = pairs.select(F.col("pair")[0].alias("a"), F.col("pair")[1].alias("b"))
     sides = sides.join(made.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
     sides = sides.join(made.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
@@ -363,15 +357,15 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .select(_pairs(F.col("lead.node"), F.col("other.node")).alias("pair"))
         .distinct()
     )
-    first = _saved(stars, "first-pairs")
-    links = _saved(_verified(bodies, first), "first-links")
+    first = saved(stars, "first-pairs")
+    links = saved(_verified(bodies, first), "first-links")
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     held = postings.join(label.withColumnRenamed("id", "node"), "node", "left").select(
         "key", "node", "n", "pos", F.coalesce("label", "node").alias("label")
     )
     mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-    held = _saved(held.join(mixed.select("key"), "key", "left_semi"), "mixed-lists")
+    held = saved(held.join(mixed.select("key"), "key", "left_semi"), "mixed-lists")
     one, two = held.alias("one"), held.alias("two")
     rest = (
         one.join(two, F.col("one.key") == F.col("two.key"))
@@ -380,9 +374,10 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         .distinct()
         .join(first, "pair", "left_anti")
     )
-    second = _saved(rest, "second-pairs")
-    links = links.unionByName(_verified(bodies, second))
-    label = components(_saved(links, "links").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    second = saved(rest, "second-pairs")
+    if not second.isEmpty():
+        links = links.unionByName(saved(_verified(bodies, second), "second-links"))
+        label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     groups = named.where("n > 0").groupBy("sid", "second").agg(F.min("doc_id").alias("least"))
     groups = groups.select(F.struct("sid", "second").alias("node"), "least")
@@ -405,9 +400,3 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     kept = linked.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
     kept = kept.select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_semi")
-
-
-def _saved(table: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(table.sparkSession, name)
-    table.write.parquet(path)
-    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -17,6 +17,8 @@ SEED = 24  # bytes of an anchor; a passage has LENGTH - SEED + 1 places for one
 BLOCK_BYTES = 4 * 1024 * 1024
 SORT_BYTES = 4 * 1024 * 1024  # of passages that are sorted at a time, or one anchor's
 
+DEALT = 24  # first bytes by which suffixes are dealt out before they are merged
+
 _TEXT, _SHARED, _COVERED = 0, 1, 2
 _NO_ID = np.int64(2**63 - 1)  # a null doc_id is smaller than none
 _INVERSE = np.uint64(pow(int(B.BASE), -1, 2**64))
@@ -57,22 +59,27 @@ def _less(data, hashes, a, b, depth: int, or_equal: bool) -> np.ndarray:
     return less
 
 
-def sorted_suffixes(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+def sorted_suffixes(data: np.ndarray, starts: np.ndarray, depth: int, hashes: PrefixHashes | None = None) -> np.ndarray:
     """``starts`` in the order of their suffixes' first ``depth`` bytes, all of which exist.
 
-    Suffixes are first dealt out by their first eight bytes; where these are equal, runs of 1, 2, 4, ...
+    Suffixes are first dealt out by their first DEALT bytes; where these are equal, runs of 1, 2, 4, ...
     are merged. In a merge each suffix finds its place in the other run by binary search, and each comparison
     finds the common extension by binary search over prefix hashes.
     """
-    head = np.zeros(len(starts), np.uint64)
-    for i in range(min(8, depth)):
-        head = head << np.uint64(8) | data[starts + i].astype(np.uint64)
-    order = np.argsort(head, kind="stable")
-    starts, head = starts[order].copy(), head[order]
     if not len(starts):
         return starts
-    hashes = PrefixHashes(data)
-    first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]]))
+    hashes = hashes or PrefixHashes(data)
+    heads = []
+    for a in range(0, min(DEALT, depth), 8):
+        head = np.zeros(len(starts), np.uint64)
+        for i in range(a, min(a + 8, depth)):
+            head = head << np.uint64(8) | data[starts + i].astype(np.uint64)
+        heads.append(head)
+    order = np.lexsort(heads[::-1])
+    starts = starts[order].copy()
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = np.logical_or.reduce([head[order][1:] != head[order][:-1] for head in heads])
+    first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(starts)))
     group_first, group_end = np.repeat(first, size), np.repeat(first + size, size)
     width = 1
@@ -110,11 +117,12 @@ def least_owner(data: np.ndarray, starts: np.ndarray, owners: np.ndarray, depth:
 
     Equal suffixes are neighbours once sorted; where hashes say that neighbours are equal, bytes are compared.
     """
-    at = sorted_suffixes(data, starts, depth)
+    hashes = PrefixHashes(data)
+    at = sorted_suffixes(data, starts, depth, hashes)
     index = np.empty(len(data) + 1, np.int64)
     index[starts] = np.arange(len(starts))
     order = index[at]
-    equal = common_extension(PrefixHashes(data), at[1:], at[:-1], depth) == depth
+    equal = common_extension(hashes, at[1:], at[:-1], depth) == depth
     claimed = np.flatnonzero(equal)
     reach = np.arange(depth)
     for a in range(0, len(claimed), 200_000):

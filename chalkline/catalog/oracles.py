@@ -523,7 +523,7 @@ def statements() -> dict[str, str]:
                 CAST(query_id % 7 + 1 AS INTEGER) AS num_questions, coalesce(n5, 0) AS n_hits,
                 {_message_pair(
                     _fill(prompts.QUIZ_RULE, difficulty_rule=level_rule),
-                    _fill(prompts.QUIZ_REQUEST, **about, difficulty=level, num_questions="(query_id % 7 + 1)",
+                    _fill(prompts.QUIZ_REQUEST, **about, difficulty=f"coalesce({level}, 'Medium')", num_questions="(query_id % 7 + 1)",
                           context="context5"),
                     quiz_error)}
                 FROM label_questions LEFT JOIN contexts USING (query_id)""",
@@ -568,7 +568,7 @@ def statements() -> dict[str, str]:
             FROM conversations""",
         "payload_decode": """SELECT conv_id, turn, CAST(strlen(text) AS INTEGER) AS n_bytes, text AS recorded, text AS spoken
             FROM conversations""",
-        "quiz_json_slice": _with("slices", select="SELECT quiz_id, CAST(coalesce(length(slice), -1) AS INTEGER) AS n_chars FROM slices"),
+        "quiz_json_slice": _with("slices", select="SELECT quiz_id, slice FROM slices"),
         "quiz_validate": _with("quizzes", select="SELECT * FROM quizzes"),
         "quiz_questions": _with(
             "questions", select="SELECT * REPLACE (array_to_string(options, '|') AS options) FROM questions"

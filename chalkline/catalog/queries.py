@@ -13,7 +13,7 @@ from chalkline.operators import chunking, conversation, embedding, index, ingest
 from chalkline.operators import quiz, retrieval, search
 from chalkline.plans.library import ask, build_library
 from chalkline.session import scratch_path
-from chalkline.sources import listing, tables
+from chalkline.sources import tables
 from chalkline.sources import manifest as manifest_source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,11 +53,6 @@ def page_preview(spark, folder):
     return fx.raw_pages(spark, folder).orderBy("filename", "page_num").limit(5)
 
 
-@query
-def file_listing(spark, folder):
-    return listing.list_files(spark, folder, ".parquet")
-
-
 @query
 def filename_metadata(spark, folder):
     """Also over shorter names: a file without a subject, and one with a single part."""
@@ -465,8 +460,7 @@ def _quizzes(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def quiz_json_slice(spark, folder):
-    n_chars = F.length(quiz.json_slice(F.col("reply")))
-    return fx.quiz_replies(spark, folder).select("quiz_id", F.coalesce(n_chars, F.lit(-1)).alias("n_chars"))
+    return fx.quiz_replies(spark, folder).select("quiz_id", quiz.json_slice(F.col("reply")).alias("slice"))
 
 
 @query

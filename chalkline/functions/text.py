@@ -107,7 +107,9 @@ def truncate(text: Column, max_chars: int) -> Column:
 
 
 def title(text: Column) -> Column:
-    return F.initcap(F.replace(text, F.lit("_"), F.lit(" ")))
+    """Underscores as blanks, and a capital at the start of each run of letters, also after hyphens and digits."""
+    runs = F.regexp_extract_all(F.replace(text, F.lit("_"), F.lit(" ")), F.lit(r"\P{L}+|\p{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, F.initcap), "")
 
 
 def safe_text(value: Column, kind: str) -> Column:
@@ -149,5 +151,7 @@ def _float_text(value: Column) -> Column:
 
 
 def utc_text(instant: Column) -> Column:
-    """A timestamp as ``YYYY-MM-DDTHH:MM:SSZ``; the session time zone is UTC."""
-    return F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """A timestamp as ``YYYY-MM-DDTHH:MM:SSZ``, whatever the session time zone."""
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    seconds = F.make_dt_interval(secs=F.unix_seconds(instant.cast("timestamp")).cast("decimal(18,6)"))
+    return F.concat(F.replace((epoch + seconds).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))

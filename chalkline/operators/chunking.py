@@ -281,6 +281,7 @@ class Stitcher:
         return last
 
 
+_MISSING = "\0"
 _KEYS = [T.StructField(name, T.StringType()) for name in CHAPTER_KEYS]
 _CROSSING = T.ArrayType(
     T.StructType(
@@ -470,7 +471,9 @@ def split_chapters(
     blocks, one row per ``pages_per_segment * segments_per_block`` page numbers, by chapter.
     """
     cutter = Cutter(size, overlap)
-    segments = chapter_segments(pages, pages_per_segment)
+    # Joins drop null keys, so a missing file field travels as a text that no field can be.
+    named = pages.withColumns({name: F.coalesce(F.col(name), F.lit(_MISSING)) for name in CHAPTER_KEYS})
+    segments = chapter_segments(named, pages_per_segment)
     block_keys = [*CHAPTER_KEYS, "block"]
     spans = segments.select(*CHAPTER_KEYS, "segment", "text").mapInPandas(_spans(cutter), _SEGMENT_SPAN)
     spans = spans.withColumn("block", F.floor(F.col("segment") / segments_per_block).cast("int"))
@@ -485,13 +488,14 @@ def split_chapters(
         segments.select(*CHAPTER_KEYS, "segment", "text")
         .join(entries, [*CHAPTER_KEYS, "segment"])
         .mapInPandas(_chunks(cutter), _PIECE)
+        .withColumns({name: F.when(F.col(name) != _MISSING, F.col(name)) for name in CHAPTER_KEYS})
     )
 
 
 def _chunk_id() -> Column:
-    return F.concat(
-        F.lit("c"), "class_num", F.lit("_"), "subject", F.lit("_ch"), "chapter", F.lit("_"), "chunk_sequence"
-    )
+    """A missing file field is left out of the id."""
+    number, subject, chapter = (F.coalesce(F.col(name), F.lit("")) for name in ("class_num", "subject", "chapter"))
+    return F.concat(F.lit("c"), number, F.lit("_"), subject, F.lit("_ch"), chapter, F.lit("_"), "chunk_sequence")
 
 
 def chunk_table(pages: DataFrame, **options: int) -> DataFrame:

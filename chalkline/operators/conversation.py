@@ -71,16 +71,16 @@ def transcript_segments(
     student: str = "Student",
     turns_per_segment: int = TURNS_PER_SEGMENT,
 ) -> DataFrame:
-    """Transcript text per conversation and segment of turns.
+    """Transcript text per conversation and segment of turns; a null text is an empty line's text.
 
     Every pair is a quoted student line, a tutor line and an empty line, joined by blank lines; the
     segments of a conversation, in order, are joined the same way.
     """
     lines = F.concat(
         F.lit(f"> **{student}:** "),
-        F.col("user_text"),
+        F.coalesce("user_text", F.lit("")),
         F.lit(f"\n\n**{tutor}:** "),
-        F.col("reply"),
+        F.coalesce("reply", F.lit("")),
         F.lit("\n\n"),
     )
     segment = F.floor(F.col("turn") / turns_per_segment).cast("long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ INDEX_FILE, CHUNKS_FILE = "corpus.faiss", "chunks.parquet"
 def with_dense_id(
     table: DataFrame, key: str | list[str], name: str = "faiss_id", partitions: int | None = None
 ) -> DataFrame:
-    """``name`` = 0..n-1 in the order of ``key``, as the first column; the key is unique and not null.
+    """``name`` = 0..n-1 in the order of ``key``, as the first column; the key is unique.
 
     A window without partitions would number the whole table in one task. Here the keys alone
     are range partitioned and numbered inside their partition; the partition sizes, one row per
@@ -53,7 +55,10 @@ def with_dense_id(
     numbered = keys.join(F.broadcast(offsets), "_part").select(
         *key, (F.col("_offset") + F.col("_place")).alias(name)
     )
-    return table.join(numbered, key).select(name, *table.columns)
+    # Null-safe, so a row whose key is partly null is numbered, too.
+    sides = numbered.withColumnsRenamed({column: f"_{column}" for column in key})
+    same = reduce(Column.__and__, [F.col(column).eqNullSafe(F.col(f"_{column}")) for column in key])
+    return table.join(sides, same).select(name, *table.columns)
 
 
 def index_table(chunks: DataFrame) -> DataFrame:
@@ -116,23 +121,29 @@ def manifest(
     source_table: str,
     normalize: bool = True,
     created_at: Column | None = None,
+    index_file: str = INDEX_FILE,
+    chunks_file: str = CHUNKS_FILE,
 ) -> DataFrame:
-    """One row that describes the index built from ``embeddings``."""
+    """One row that describes the index built from ``embeddings``, which all have one dimension.
+
+    The number of vectors needs no column and comes from the files' footers; one row gives the dimension.
+    """
     created_at = F.current_timestamp() if created_at is None else created_at
     fixed = {
         "embedding_model": embedding_model,
-        "faiss_index_file": INDEX_FILE,
-        "chunks_parquet_file": CHUNKS_FILE,
+        "faiss_index_file": index_file,
+        "chunks_parquet_file": chunks_file,
         "catalog": catalog,
         "schema": schema,
         "source_table": source_table,
         "normalize_embeddings": normalize,
         "metric": INNER_PRODUCT if normalize else L2,
     }
+    one = embeddings.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    dimension = F.lit(one[0] if one else None).cast("int")
     return (
-        embeddings.agg(
-            F.max(F.size("embedding")).alias("embedding_dim"), F.count("*").alias("num_vectors")
-        )
+        embeddings.agg(F.count("*").alias("num_vectors"))
+        .withColumn("embedding_dim", dimension)
         .withColumns({name: F.lit(value) for name, value in fixed.items()})
         .withColumn("created_at_utc", utc_text(created_at))
         .select(*MANIFEST.fieldNames())

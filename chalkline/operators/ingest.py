@@ -50,12 +50,13 @@ def chapter_segments(pages: DataFrame, pages_per_segment: int = PAGES_PER_SEGMEN
 
     The whole chapter is its segments in order, joined the same way; a chapter whose page numbers
     stay below ``pages_per_segment`` is one row. Grouping by chapter alone would put a long chapter
-    into one task and one string. A page without file fields or number belongs to no chapter.
+    into one task and one string. Pages without some file field form chapters of their own, with null
+    there; a page without a number comes before the others, in segment 0.
     """
-    segment = F.floor(F.col("page_num") / pages_per_segment).cast("int")
+    segment = F.coalesce(F.floor(F.col("page_num") / pages_per_segment).cast("int"), F.lit(0))
     in_order = F.sort_array(F.collect_list(F.struct("page_num", "page_text")))
     return (
-        with_values(pages.withColumn("segment", segment), [*CHAPTER_KEYS, "segment"])
+        pages.withColumn("segment", segment)
         .groupBy(*CHAPTER_KEYS, "segment")
         .agg(in_order.alias("pages"))
         .select(

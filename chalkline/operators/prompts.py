@@ -90,7 +90,7 @@ QUIZ_BLANK_TOPIC = "Please enter a topic for the quiz."
 
 
 def fill(template: str, **values: Column | str) -> Column:
-    """The template with each ``{name}`` replaced by its value; other braces stay."""
+    """The template with each ``{name}`` replaced by its value, null by nothing; other braces stay."""
     parts: list[Column | str] = [template]
     for name, value in values.items():
         mark = "{" + name + "}"
@@ -103,7 +103,7 @@ def fill(template: str, **values: Column | str) -> Column:
 
 
 def _interleave(texts: list[str], value: Column | str) -> list[Column | str]:
-    filler = F.lit(value) if isinstance(value, str) else value.cast("string")
+    filler = F.lit(value) if isinstance(value, str) else F.coalesce(value.cast("string"), F.lit(""))
     out: list[Column | str] = [texts[0]]
     for text in texts[1:]:
         out += [filler, text]
@@ -194,7 +194,7 @@ def quiz_prompts(topics: DataFrame, hits: DataFrame) -> DataFrame:
         fill(
             QUIZ_REQUEST,
             **about,
-            difficulty=F.col("difficulty"),
+            difficulty=F.coalesce(F.col("difficulty"), F.lit(DEFAULT_DIFFICULTY)),
             num_questions=F.col("num_questions"),
             context=F.col("context"),
         ),

@@ -62,7 +62,11 @@ class BestK:
         self.floor = np.full(len(question_ids), -np.inf)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        vectors = vectors.astype(np.float64)
+        # A vector that is not finite has no score, and must not push others out of the batch.
+        finite = np.isfinite(vectors).all(axis=1)
+        ids, vectors = ids[finite], vectors[finite].astype(np.float64)
+        if not len(ids):
+            return
         squares = (vectors**2).sum(axis=1)
         for low in range(0, len(self.question_ids), _SCORE_BLOCK):
             block = slice(low, min(low + _SCORE_BLOCK, len(self.question_ids)))

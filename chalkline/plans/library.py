@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ from chalkline.operators.index import index_table, manifest
 from chalkline.operators.prompts import answer_prompts
 from chalkline.operators.retrieval import ANSWER_K, retrieve
 from chalkline.sources.manifest import read_manifest, write_manifest
-from chalkline.sources.tables import read_chunks, write_chunks, write_if_absent, write_table
+from chalkline.schemas import MANIFEST
+from chalkline.sources.tables import read_chunks, write_chunks, write_table
 
 
 @dataclass(frozen=True)
@@ -55,28 +57,40 @@ def build_library(
 
     Every step reads what the step before has written, so nothing is computed twice and a lost
     executor costs one step at most. The vectors are made from the index table, and so carry its
-    ids without another join.
+    ids without another join. The manifest is emptied first and written last: a folder whose build
+    broke off has no manifest, and none of its tables counts as finished.
     """
     library = Library(pages.sparkSession, folder)
+    write_manifest(library.spark.createDataFrame([], MANIFEST), library.path("manifest"))
     write_chunks(chunk_table(pages), library.path("chunks"))
     write_table(index_table(library.chunks()), library.path("index"))
-    build_vectors(library, factory, model_name, normalize)
+    write_table(embed(library.index(), "faiss_id", "text", factory, model_name, normalize), library.path("vectors"))
     described = manifest(
-        library.vectors(), model_name, catalog, schema, source_table, normalize, created_at
-    )
+        library.vectors(), model_name, catalog, schema, source_table, normalize, created_at,
+        index_file="vectors", chunks_file="index",
+    )
     write_manifest(described, library.path("manifest"))
     return library
 
 
-def build_vectors(
-    library: Library,
-    factory: ModelFactory = HashedWords,
-    model_name: str = "hashed-words",
-    normalize: bool = True,
-) -> None:
-    """Vectors of the index table's texts; skipped when they are there already."""
-    vectors = embed(library.index(), "faiss_id", "text", factory, model_name, normalize)
-    write_if_absent(vectors, library.path("vectors"))
+def build_vectors(library: Library, factory: ModelFactory = HashedWords) -> bool:
+    """The vectors of a finished library, by the model and normalization its manifest names.
+
+    Nothing is done, and false returned, when as many vectors are there as the manifest and the index table
+    have; vectors that are missing or half written are made anew.
+    """
+    described = library.manifest().first()
+    if described is None:
+        raise ValueError("the library has no finished manifest; build it first")
+    try:
+        found = library.vectors().count()
+    except AnalysisException:
+        found = None
+    if found == described["num_vectors"] == library.index().count():
+        return False
+    model, normalize = described["embedding_model"], described["normalize_embeddings"]
+    write_table(embed(library.index(), "faiss_id", "text", factory, model, normalize), library.path("vectors"))
+    return True
 
 
 def search_library(

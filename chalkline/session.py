@@ -29,7 +29,7 @@ def build_session(master: str = "local[*]", app_name: str = "chalkline", **conf:
 
 def tune(spark: SparkSession) -> SparkSession:
     """Fill in the runtime settings that the given session does not name itself."""
-    named = {key for key, _ in spark.sparkContext.getConf().getAll()}
+    named = {key for key, _ in spark.sparkContext.getConf().getAll()} | set(spark.conf.getAll)
     for key, value in RUNTIME_DEFAULTS.items():
         if key not in named:
             spark.conf.set(key, value)
@@ -58,9 +58,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
-        if not context.master.startswith("local"):
+        configured = context.getCheckpointDir()
+    if configured is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = context.getCheckpointDir() or tempfile.mkdtemp(prefix="chalkline-")
+        configured = tempfile.mkdtemp(prefix="chalkline-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured

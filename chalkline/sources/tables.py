@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from chalkline.schemas import CHUNKS, EMBEDDINGS, RAW_PAGES
 
+EMPTY_SUBJECT = "__empty__"
 CHUNK_PARTITIONS = ["class_num", "subject"]
 
 
@@ -21,7 +22,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return read_table(spark, path, CHUNKS).select(*CHUNKS.fieldNames())
+    subject = F.when(F.col("subject") == EMPTY_SUBJECT, F.lit("")).otherwise(F.col("subject"))
+    return read_table(spark, path, CHUNKS).withColumn("subject", subject).select(*CHUNKS.fieldNames())
 
 
 def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
@@ -36,8 +38,11 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     """Partitioned by class and subject.
 
     The rebalance hint groups rows by folder, so that tasks do not each write into every folder,
-    and splits a folder that holds much of the table over several tasks and files.
+    and splits a folder that holds much of the table over several tasks and files. A folder name
+    cannot be empty, and null has one of its own, so an empty subject is stored under another name.
     """
+    subject = F.when(F.col("subject") == "", F.lit(EMPTY_SUBJECT)).otherwise(F.col("subject"))
+    chunks = chunks.withColumn("subject", subject)
     balanced = chunks.hint("rebalance", *[F.col(name) for name in CHUNK_PARTITIONS])
     balanced.write.mode("overwrite").partitionBy(*CHUNK_PARTITIONS).parquet(path)
 

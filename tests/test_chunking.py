@@ -152,10 +152,11 @@ def test_text_is_shuffled_once(spark, chapters):
     assert plan.count("ReusedExchange") == 2  # the segments, and their spans
 
 
-def test_rows_without_file_fields_belong_to_no_chapter(spark):
-    pages = page_frame(spark, {"1": {1: "kept"}}).unionByName(
-        page_frame(spark, {"2": {1: "dropped"}}).withColumn("chapter", F.lit(None).cast("string"))
+def test_rows_without_file_fields_are_chapters_of_their_own(spark):
+    pages = page_frame(spark, {"1": {1: "named"}}).unionByName(
+        page_frame(spark, {"2": {1: "unnamed"}}).withColumn("chapter", F.lit(None).cast("string"))
     )
-    assert [r["content"] for r in chunking.split_chapters(pages).collect()] == ["kept"]
+    found = {r["content"]: r["chapter"] for r in chunking.split_chapters(pages).collect()}
+    assert found["unnamed"] is None and found["named"] is not None and len(found) == 2
     assert set(CHAPTER_KEYS) < set(chunking.split_chapters(pages).columns)
     assert isinstance(pages.toPandas(), pd.DataFrame)

@@ -193,7 +193,8 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, passes: in
             corner = grid[choices, choices]
             gain += _plogp(corner + after[choices] + before[choices] + own) + _plogp(corner)
             gain -= _plogp(corner + after[choices]) + _plogp(corner + before[choices])
-            left, right = rows.sum(1), columns.sum(1)
+            # The other words' bigrams with this one count in their classes wherever it goes.
+            left, right = rows.sum(1) + before[choices], columns.sum(1) + after[choices]
             gain -= _plogp(left + after.sum() + own) - _plogp(left) + _plogp(right + before.sum() + own) - _plogp(right)
             new = choices[np.argmax(gain)]
             grid[new] += after

@@ -368,7 +368,7 @@ def statements() -> dict[str, str]:
     topic = "CASE WHEN query_id % 10 = 8 THEN ' ' || chr(10) ELSE question END"
     level = "['Easy', 'Medium', 'Hard', 'Odd'][query_id % 4 + 1]"
     level_rule = f"coalesce({_case(prompts.DIFFICULTY_RULES, level)}, {_text(prompts.DIFFICULTY_RULES['Medium'])})"
-    about = {"topic": topic, "class": "target_class", "subject": "target_subject"}
+    about = {"topic": topic, "class": "coalesce(target_class, '')", "subject": "coalesce(target_subject, '')"}
     quiz_error = f"""CASE WHEN query_id % 10 = 8 THEN {_text(prompts.QUIZ_BLANK_TOPIC)}
         WHEN n5 IS NULL THEN {_fill(prompts.QUIZ_NOT_FOUND, **about)} END"""
     names = "[" + ", ".join(_text(name) for name in DISPLAY_NAMES.values()) + "]"

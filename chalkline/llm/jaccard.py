@@ -263,10 +263,14 @@ def _postings(texts: DataFrame, frequent, small: int, table_path: str) -> None:
     sent.mapInArrow(meet, "key long, sid long, second long, n int, pos int").write.parquet(table_path)
 
 
-def _may_link(a: str, b: str):
-    """What two postings of one key leave possible: sizes, and how much can lie before and after the key."""
+def _may_link(a: str, b: str, first: bool = False):
+    """What two postings of one key leave possible: sizes, and how much can lie before and after the key.
+
+    With ``first``, nothing in common may lie before the key. Linked sets also meet in the key of their first
+    common element, so this loses no link where all pairs of a list are tried.
+    """
     na, nb, pa_, pb = (F.col(f"{x}.{y}").cast("long") for y in ("n", "pos") for x in (a, b))
-    most = F.least(pa_, pb) + F.least(na - pa_, nb - pb)
+    most = F.least(na - pa_, nb - pb) + (F.lit(0) if first else F.least(pa_, pb))
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * most >= PERCENT * (na + nb))
 
 
@@ -369,7 +373,7 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     one, two = held.alias("one"), held.alias("two")
     rest = (
         one.join(two, F.col("one.key") == F.col("two.key"))
-        .where((F.col("one.node") < F.col("two.node")) & (F.col("one.label") != F.col("two.label")) & _may_link("one", "two"))
+        .where((F.col("one.node") < F.col("two.node")) & (F.col("one.label") != F.col("two.label")) & _may_link("one", "two", first=True))
         .select(_pairs(F.col("one.node"), F.col("two.node")).alias("pair"))
         .distinct()
         .join(first, "pair", "left_anti")

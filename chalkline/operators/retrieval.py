@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chalkline.operators.search import INNER_PRODUCT, top_k, with_chunk_rows
+from chalkline.operators.search import INNER_PRODUCT, as_small, top_k, with_chunk_rows
 
 # Width of the net, hits kept for an answer, for a quiz and by the filter alone, and
 # the value that switches a filter off.
@@ -60,9 +60,19 @@ def retrieve(
     The filter comes after the net, as in the index this stands for, so fewer than k rows may
     come back although the corpus holds more matches. ``targets`` holds the two targets of each
     question where ``questions`` does not.
+
+    The net meets only ids, subjects and classes; texts are fetched for the k rows left. An id and a chunk
+    id name one row of ``chunks``.
     """
     hits = top_k(questions, corpus, k=net, metric=metric, **search_options)
     targets = (questions if targets is None else targets).select(
         "query_id", "target_subject", "target_class"
     )
-    return filter_hits(with_chunk_rows(hits, chunks).join(targets, "query_id"), k)
+    narrow = with_chunk_rows(hits, chunks.select("faiss_id", "chunk_id", "subject", "class"))
+    kept = filter_hits(narrow.join(targets, "query_id"), k).drop("subject", "class")
+    kept = as_small(hits, kept.withColumnsRenamed({"faiss_id": "_id", "chunk_id": "_chunk"}))
+    same = (F.col("faiss_id") == F.col("_id")) & F.col("chunk_id").eqNullSafe(F.col("_chunk"))
+    fields = [name for name in chunks.columns if name != "faiss_id"]
+    return chunks.join(kept, same).select(
+        "query_id", "faiss_id", *fields, "score", "rank", "target_subject", "target_class"
+    )

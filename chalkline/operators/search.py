@@ -248,14 +248,19 @@ def with_chunk_rows(hits: Hits, chunks: DataFrame) -> DataFrame:
     Should an id come twice in ``chunks``, its row with the smallest chunk id is taken. The hits
     are broadcast only when their number is bounded; the chunks then stay where they are.
     """
-    found = hits.frame
-    if hits.max_rows is not None and hits.max_rows <= MAX_BROADCAST_HITS:
-        found = F.broadcast(found)
+    found = as_small(hits, hits.frame)
     fields = [name for name in chunks.columns if name != "faiss_id"]
-    hit = ["query_id", "faiss_id", "score", "rank"]
+    first = Window.partitionBy("query_id", "faiss_id").orderBy(F.col("chunk_id").asc_nulls_last())
     return (
         chunks.join(found, "faiss_id")
-        .groupBy(*hit)
-        .agg(F.min_by(F.struct(*fields), F.col("chunk_id")).alias("row"))
-        .select("query_id", "faiss_id", "row.*", "score", "rank")
+        .withColumn("_place", F.row_number().over(first))
+        .filter(F.col("_place") == 1)
+        .select("query_id", "faiss_id", *fields, "score", "rank")
     )
+
+
+def as_small(hits: Hits, rows: DataFrame) -> DataFrame:
+    """``rows``, at most one for each of ``hits``, with a broadcast hint where the number of hits is bounded."""
+    if hits.max_rows is not None and hits.max_rows <= MAX_BROADCAST_HITS:
+        return F.broadcast(rows)
+    return rows

@@ -165,4 +165,19 @@ def test_plan_limits_early_and_joins_no_pairs(spark, library):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert "SortAggregate" not in plan
+    # Texts are read once, for the last join, and are in no shuffle.
+    assert all("text#" not in line for line in plan.splitlines() if "Exchange" in line or "Window" in line)
     assert found.select(F.max("rank")).first()[0] == 2
+
+
+def test_retrieve_takes_the_first_of_rows_that_share_an_id(spark):
+    corpus = frame(spark, "faiss_id", [1, 2], np.array([[1.0, 0], [0.8, 0.6]]))
+    rows = [(1, "b", "t1 again", "s", "7"), (1, "a", "t1", "s", "7"), (2, None, "t2", None, None)]
+    chunks = spark.createDataFrame(rows, "faiss_id long, chunk_id string, text string, subject string, class string")
+    question = spark.createDataFrame(
+        [(1, [1.0, 0.0], None, None)],
+        "query_id long, embedding array<float>, target_subject string, target_class string",
+    )
+    found = retrieval.retrieve(question, corpus, chunks).orderBy("rank").collect()
+    assert [(r["faiss_id"], r["chunk_id"], r["text"]) for r in found] == [(1, "a", "t1"), (2, None, "t2")]

@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm import blocks as B
-from chalkline.llm.words import asked, by_position, homes_of, met
+from chalkline.llm.words import KNOWN, asked, by_position, homes_of, met
 from chalkline.session import scratch_path
 
-WORDS = 1000  # the most frequent words, which exchange clustering deals to classes
+SUPPORT = 5  # training tokens from which a word is dealt to a learnt class
+WORDS = 1000  # the most frequent of them, with which the driver starts the classes
 CLASSES = 40
-OPEN = 64  # classes of all other words, seen or not, by their last two bytes
-PASSES = 4
+OPEN = 64  # classes of rarer and unseen words, by their last two bytes
+PASSES = 4  # over the words that start the classes
+ROUNDS = 2  # over all words with SUPPORT
 ADDED = 0.1  # to every count
 _MATRIX_PARTS = 16
 
@@ -26,10 +28,10 @@ END = 0  # the symbol and the class of the end of a text
 
 @dataclass(frozen=True)
 class Model:
-    """Bounded by WORDS, CLASSES and OPEN; about 100 kB."""
+    """Bounded by CLASSES and OPEN, but for ``known``, a table that stays where it is written."""
 
-    words: pa.Array
-    classes: np.ndarray  # of the end, the listed words and the open classes, by symbol
+    known: DataFrame  # the words with a learnt class, as KNOWN parcels
+    learnt: int  # classes that words are dealt to; the open classes follow
     transitions: np.ndarray  # log10 P(class | class before)
     room: np.ndarray  # log10 of what the emissions of each class are divided by
     tokens: int  # in the training texts, ends among them
@@ -77,8 +79,8 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, train: str) -> DataFrame:
     )
 
 
-def _vocabulary(rows: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The most frequent training words, and the tokens and distinct words of each open class, listed words included.
+def _vocabulary(rows: DataFrame) -> tuple[DataFrame, pa.Array, np.ndarray, np.ndarray]:
+    """The words with SUPPORT and their counts by home, the most frequent, and the other words' tokens and kinds by open class.
 
     Every training word is counted; a partition returns its most frequent words and a sum per class.
     """
@@ -94,36 +96,46 @@ def _vocabulary(rows: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
             yield B.parcels(asked(distinct, weights[seen], b"", homes_of(distinct, count), count))
 
     def counted(batches):
-        parcels = [(b"", payload) for batch in batches for payload in batch.column("payload").to_pylist()]
+        home, parcels = 0, []
+        for batch in batches:
+            home = batch.column("target")[0].as_py() if batch.num_rows else home
+            parcels += [(b"", payload) for payload in batch.column("payload").to_pylist()]
         if not parcels:
             return
         distinct, _, counts, _ = met(parcels)
-        best = np.lexsort([pc.rank(distinct).to_numpy(), -counts])[:WORDS]
-        home = _open_class(distinct)
-        tokens = np.bincount(home, counts.astype(np.float64), OPEN).astype(np.int64)
-        kinds = np.bincount(home, minlength=OPEN)
-        none = np.zeros(OPEN, np.int64)
+        often = counts >= SUPPORT
+        held, n = distinct.filter(pa.array(often)), counts[often]
+        best = np.lexsort([pc.rank(held).to_numpy(), -n])[:WORDS]
+        rare = _open_class(distinct)[~often]
+        tokens = np.bincount(rare, counts[~often].astype(np.float64), OPEN).astype(np.int64)
+        kinds = np.bincount(rare, minlength=OPEN)
+        data, offsets = B.text_bytes(held)
+        payload = B.pack(data.tobytes(), B.narrow(np.diff(offsets)), B.narrow(n))
+        size = len(best) + OPEN
+        none = np.zeros(len(best), np.int64)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.concat_arrays([distinct.take(pa.array(best)).cast(pa.binary()), pa.nulls(OPEN, pa.binary())]),
-                pa.array(np.concatenate([counts[best], none])),
-                pa.array(np.concatenate([np.full(len(best), -1), np.arange(OPEN)])),
-                pa.array(np.concatenate([np.zeros(len(best), np.int64), tokens])),
-                pa.array(np.concatenate([np.zeros(len(best), np.int64), kinds])),
+                pa.array([home] * (size + 1), pa.int32()),
+                pa.array([payload] + [None] * size, pa.binary()),
+                pa.concat_arrays([pa.nulls(1, pa.binary()), held.take(pa.array(best)).cast(pa.binary()), pa.nulls(OPEN, pa.binary())]),
+                pa.array(np.concatenate([[0], n[best], np.zeros(OPEN, np.int64)])),
+                pa.array(np.concatenate([[-1], none - 1, np.arange(OPEN)])),
+                pa.array(np.concatenate([[0], none, tokens])),
+                pa.array(np.concatenate([[0], none, kinds])),
             ],
-            names=["word", "n", "open", "tokens", "kinds"],
+            names=["home", "payload", "word", "n", "open", "tokens", "kinds"],
         )
 
-    schema = "word binary, n long, open long, tokens long, kinds long"
+    schema = "home int, payload binary, word binary, n long, open long, tokens long, kinds long"
     path = scratch_path(spark, "word-counts")
     B.deliver(rows.where("train").mapInArrow(ask, B.PARCEL), count).mapInArrow(counted, schema).write.parquet(path)
     table = spark.read.schema(schema).parquet(path)
     top = table.where("word is not null").orderBy(F.col("n").desc(), "word").limit(WORDS).select("word").toArrow()
     words = pa.array(top.column("word").to_pylist(), pa.large_binary())
     tokens, kinds = np.zeros(OPEN, np.int64), np.zeros(OPEN, np.int64)
-    for row in table.where("word is null").groupBy("open").agg(F.sum("tokens"), F.sum("kinds")).collect():
+    for row in table.where("open >= 0").groupBy("open").agg(F.sum("tokens"), F.sum("kinds")).collect():
         tokens[row[0]], kinds[row[0]] = row[1], row[2]
-    return words, tokens, kinds
+    return table.where("payload is not null").select("home", "payload"), words, tokens, kinds
 
 
 def _bigrams(rows: DataFrame, words: pa.Array) -> np.ndarray:
@@ -207,34 +219,241 @@ def exchange(bigrams: np.ndarray, words: int, classes: int = CLASSES, passes: in
     return of
 
 
+def _written(parcels: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(parcels.sparkSession, name)
+    parcels.write.parquet(path)
+    return parcels.sparkSession.read.schema(B.PARCEL).parquet(path)
+
+
+def _started(table: DataFrame, words: pa.Array, classes: np.ndarray) -> DataFrame:
+    """The class of each word with SUPPORT before the first round: of those listed as clustered, of others by ending."""
+
+    def place(batches):
+        for batch in batches:
+            for home, payload in zip(batch.column("home").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                data, lengths, n = B.unpack(payload)
+                distinct = B.slices(np.frombuffer(data, np.uint8), B.offsets_of(lengths))
+                own = classes[_symbols(distinct, words)].astype(np.uint8)
+                yield B.parcels([(home, b"", KNOWN, B.pack(data, lengths, n, own))])
+
+    return _written(table.mapInArrow(place, B.PARCEL), "word-classes")
+
+
+def _classes(distinct: pa.Array, held: list[bytes], learnt: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each word, and whether it has SUPPORT."""
+    classes, supported = 1 + learnt + _open_class(distinct), np.zeros(len(distinct), np.int64)
+    for payload in held:
+        data, lengths, _, own = B.unpack(payload)
+        at = pc.index_in(distinct, value_set=B.slices(np.frombuffer(data, np.uint8), B.offsets_of(lengths)))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
+        found = np.flatnonzero(at >= 0)
+        classes[found], supported[found] = own[at[found]], 1
+    return classes, supported
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sum of the counts of each; without counts, how often each is there."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    if counts is None:
+        return keys[heads], np.diff(np.append(heads, len(keys)))
+    return keys[heads], np.add.reduceat(counts[order], heads) if len(keys) else np.zeros(0, np.int64)
+
+
+_CONTEXTS, _GRID = 0, 1
+
+
+def _neighbours(rows: DataFrame, known: DataFrame, learnt: int, contexts: bool = True) -> tuple[DataFrame, np.ndarray]:
+    """How often classes follow and precede each word with SUPPORT, by home, and how often each class follows each.
+
+    A block sends its sums of a word once to the word's home. Keys are (word * 2 + side) * classes + class, side 0 is what follows.
+    """
+    count, total = B.partitions(rows), 1 + learnt + OPEN
+
+    def solve(distinct, summed, held):
+        classes, supported = _classes(distinct, held, learnt)
+        return classes + 256 * supported, np.ones(len(distinct), np.int64)
+
+    def keep(batch, firsts, codes, distinct):
+        if not contexts:
+            return None
+        data, offsets = B.text_bytes(distinct)
+        return data.tobytes(), B.narrow(np.diff(offsets))
+
+    def finish(kept, firsts, codes, values, found):
+        values = values[found[0]].astype(np.int64)
+        classes, supported = values % 256, values >= 256
+        stream, _ = _stream(firsts, classes[codes] if len(codes) else codes)
+        previous = np.concatenate([[END], stream[:-1]])
+        cells = np.bincount(previous * total + stream, minlength=total * total)
+        rows = [(int(cells[END] + len(codes)) % count, b"", _GRID, B.pack(B.planes(cells)))]
+        if contexts and len(codes):
+            places = np.arange(len(codes)) + np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))
+            used = np.flatnonzero(supported[codes])
+            word, places = codes[used], places[used]
+            keys, n = _summed(np.concatenate([2 * word * total + stream[places + 1], (2 * word + 1) * total + previous[places]]))
+            distinct = B.slices(np.frombuffer(kept[0], np.uint8), B.offsets_of(kept[1]))
+            homes = np.where(supported, homes_of(distinct, count), -1)
+            order = np.argsort(homes, kind="stable")
+            bounds = np.searchsorted(homes[order], np.arange(count + 1))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            moved = place[keys // (2 * total)] * 2 * total + keys % (2 * total)
+            at = np.argsort(moved, kind="stable")
+            moved, n = moved[at], n[at]
+            cuts = np.searchsorted(moved, bounds * 2 * total)
+            for home in np.flatnonzero(np.diff(bounds)).tolist():
+                data, offsets = B.text_bytes(distinct.take(pa.array(order[bounds[home] : bounds[home + 1]])))
+                part = slice(cuts[home], cuts[home + 1])
+                own = np.diff(moved[part], prepend=bounds[home] * 2 * total)
+                payload = B.pack(data.tobytes(), B.narrow(np.diff(offsets)), B.planes(own), B.planes(n[part]))
+                rows.append((home, b"", _CONTEXTS, payload))
+        return B.parcels(rows)
+
+    def gather(batches):
+        here, cells, texts, keys, counts, at = 0, np.zeros(total * total, np.int64), [], [], [], 0
+        for batch in batches:
+            here = batch.column("target")[0].as_py() if batch.num_rows else here
+            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if kind == _GRID:
+                    cells += B.from_planes(B.unpack(payload)[0]).astype(np.int64)
+                    continue
+                data, lengths, own, n = B.unpack(payload)
+                texts.append(B.slices(np.frombuffer(data, np.uint8), B.offsets_of(lengths)))
+                keys.append(np.cumsum(B.from_planes(own).astype(np.int64)) + at * 2 * total)
+                counts.append(B.from_planes(n).astype(np.int64))
+                at += len(lengths)
+        rows = [(here, b"", _GRID, B.pack(B.planes(cells)))]
+        if texts:
+            coded = pa.concat_arrays(texts).dictionary_encode()
+            found = np.concatenate(keys)
+            found = coded.indices.to_numpy().astype(np.int64)[found // (2 * total)] * 2 * total + found % (2 * total)
+            found, n = _summed(found, np.concatenate(counts))
+            data, offsets = B.text_bytes(coded.dictionary)
+            payload = B.pack(data.tobytes(), B.narrow(np.diff(offsets)), B.planes(np.diff(found, prepend=0)), B.planes(n))
+            rows.append((here, b"", _CONTEXTS, payload))
+        yield B.parcels(rows)
+
+    sent = by_position(rows.where("train"), "doc_id", "text", _cut, solve, keep, finish, B.PARCEL, known=known)
+    table = _written(B.deliver(sent, count).mapInArrow(gather, B.PARCEL), "word-contexts")
+    grid = np.zeros(total * total, np.int64)
+    for row in table.where(F.col("kind") == _GRID).toLocalIterator():
+        grid += B.from_planes(B.unpack(row.payload)[0]).astype(np.int64)
+    return table.where(F.col("kind") == _CONTEXTS), grid.reshape(total, total).astype(np.float64)
+
+
+def best_classes(grid: np.ndarray, learnt: int, keys: np.ndarray, counts: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """The learnt class of each word that makes its bigrams likeliest, all other words staying where they are.
+
+    ``keys`` as of ``_neighbours``, in order. A word's bigrams with itself and with its own class are taken as the
+    classes stand.
+    """
+    total, choices = len(grid), np.arange(1, learnt + 1)
+    sides = np.stack([grid[1 : learnt + 1].T, grid[:, 1 : learnt + 1]])
+    word, side = keys // (2 * total), keys // total % 2
+    gain = np.zeros((len(old), learnt))
+    for a in range(0, len(keys), 50_000):
+        part = slice(a, a + 50_000)
+        n, w = counts[part, None].astype(np.float64), word[part]
+        rest = sides[side[part], keys[part] % total]
+        rest = np.maximum(rest - n * (old[w, None] == choices), 0)
+        heads = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+        gain[w[heads]] += np.add.reduceat(_plogp(rest + n) - _plogp(rest), heads)
+    for of, sums in enumerate((grid.sum(axis=1), grid.sum(axis=0))):
+        n = np.bincount(word, counts * (side == of), len(old))[:, None]
+        for a in range(0, len(old), 50_000):
+            part = slice(a, a + 50_000)
+            rest = np.maximum(sums[1 : learnt + 1] - n[part] * (old[part, None] == choices), 0)
+            gain[part] -= _plogp(rest + n[part]) - _plogp(rest)
+    return choices[np.argmax(gain, axis=1)]
+
+
+def _moved(known: DataFrame, contexts: DataFrame, grid: np.ndarray, learnt: int) -> DataFrame:
+    """``known`` with every word in its best class; words move at the same time, each task its own."""
+    count, total = B.partitions(known), len(grid)
+    shared = known.sparkSession.sparkContext.broadcast(grid)
+
+    def move(batches):
+        here, held, seen = 0, None, None
+        for batch in batches:
+            here = batch.column("target")[0].as_py() if batch.num_rows else here
+            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if kind == KNOWN:
+                    held = B.unpack(payload)
+                else:
+                    seen = B.unpack(payload)
+        if held is None:
+            return
+        data, lengths, n, own = held
+        if seen is not None:
+            words = B.slices(np.frombuffer(data, np.uint8), B.offsets_of(lengths))
+            place = pc.index_in(B.slices(np.frombuffer(seen[0], np.uint8), B.offsets_of(seen[1])), value_set=words)
+            keys = np.cumsum(B.from_planes(seen[2]).astype(np.int64))
+            place = place.to_numpy(zero_copy_only=False).astype(np.int64)
+            own = own.copy()
+            own[place] = best_classes(shared.value, learnt, keys, B.from_planes(seen[3]).astype(np.int64), own[place])
+        yield B.parcels([(here, b"", KNOWN, B.pack(data, lengths, n, own))])
+
+    return _written(B.deliver(known.unionAll(contexts), count).mapInArrow(move, B.PARCEL), "word-classes")
+
+
+def _likelihood(grid: np.ndarray) -> float:
+    """The log likelihood of the bigrams of classes, less what does not depend on the classes."""
+    return float(_plogp(grid).sum() - _plogp(grid.sum(axis=0)).sum() - _plogp(grid.sum(axis=1)).sum())
+
+
+def _totals(known: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and distinct words with SUPPORT of each class."""
+
+    def add(batches):
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                _, _, n, own = B.unpack(payload)
+                sums = np.bincount(own, n.astype(np.float64), total).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(total)), pa.array(sums), pa.array(np.bincount(own, minlength=total))], names=["class", "tokens", "kinds"]
+                )
+
+    tokens, kinds = np.zeros(total, np.int64), np.zeros(total, np.int64)
+    sums = known.mapInArrow(add, "class long, tokens long, kinds long").groupBy("class").agg(F.sum("tokens"), F.sum("kinds"))
+    for row in sums.collect():
+        tokens[row[0]], kinds[row[0]] = row[1], row[2]
+    return tokens, kinds
+
+
 def fit(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model of the texts whose column ``train`` is true.
 
-    All their words are counted, and all their bigrams of symbols; the number of words that clustering deals
-    out is a parameter. Emissions are counts in the class plus ADDED, transitions are smoothed by how many
-    classes were seen to follow.
+    All their words are counted. Exchange clustering of the most frequent ones starts the classes; then, in each
+    round, every word with SUPPORT goes to the class that its neighbours' classes make likeliest, and the round
+    of the highest likelihood is taken. Words are held by their homes; the driver gets class bigrams only.
+    Emissions are counts in the class plus ADDED, transitions are smoothed by how many classes were seen to follow.
     """
     rows = _prepared(docs, doc_id, text, train)
-    words, open_tokens, open_kinds = _vocabulary(rows)
-    bigrams = _bigrams(rows, words)
-    size = len(words)
-    listed = bigrams[:, 1 : 1 + size].sum(axis=0)
-    distinct, texts = int(open_kinds.sum()), int(bigrams[:, END].sum())
-    home = _open_class(words)
-    open_kinds -= np.bincount(home, minlength=OPEN)
-    open_tokens -= np.bincount(home, listed, OPEN).astype(np.int64)
-    classes = exchange(bigrams, size)
-    total = int(classes.max()) + 1
-    member = np.zeros((len(classes), total))
-    member[np.arange(len(classes)), classes] = 1
-    grid = member.T @ bigrams @ member
-    tokens = np.bincount(classes, np.concatenate([[texts], listed, open_tokens]), total)
-    kinds = np.bincount(classes, np.concatenate([[0], np.ones(size), open_kinds]), total)
+    table, words, open_tokens, open_kinds = _vocabulary(rows)
+    classes = exchange(_bigrams(rows, words), len(words))
+    learnt = int(classes.max()) - OPEN
+    known = _started(table, words, classes)
+    contexts, grid = _neighbours(rows, known, learnt)
+    best = None
+    for round_ in range(ROUNDS):
+        known = _moved(known, contexts, grid, learnt)
+        contexts, grid = _neighbours(rows, known, learnt, contexts=round_ + 1 < ROUNDS)
+        if best is None or _likelihood(grid) > _likelihood(best[1]):
+            best = known, grid
+    known, grid = best
+    total, texts = len(grid), int(grid[:, END].sum())
+    tokens, kinds = _totals(known, total)
+    distinct = int(kinds.sum() + open_kinds.sum())
+    tokens[END] = texts
+    tokens[1 + learnt :] += open_tokens
+    kinds[1 + learnt :] += open_kinds
     room = np.log10(np.maximum(tokens + ADDED * (kinds + 1), ADDED))
     shares = (grid.sum(axis=0) + 1) / (grid.sum() + total)
     follow = np.count_nonzero(grid, axis=1) + 1
     transitions = np.log10((grid + follow[:, None] * shares) / (grid.sum(axis=1) + follow)[:, None])
-    return Model(words, classes, transitions, room, int(tokens.sum()), distinct + (texts > 0), texts)
+    return Model(known, learnt, transitions, room, int(tokens.sum()), distinct + (texts > 0), texts)
 
 
 def score(docs: DataFrame, model: Model, train: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -245,34 +464,36 @@ def score(docs: DataFrame, model: Model, train: str, doc_id: str = "doc_id", tex
     tokens alone. A null or empty text is an end. Rows with equal or null doc_id each give a row; a null in
     ``train`` counts as false; other columns are not read. ``train`` must be as it was for ``fit``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model.transitions, model.room))
+    learnt, trained, texts = model.learnt, model.tokens, model.texts
     whole = np.log10(model.tokens + ADDED * (model.distinct + 1))
     end = np.log10(model.texts + ADDED)
 
     def keep(batch, firsts, codes, distinct):
-        model = shared.value
-        classes = model.classes[_symbols(distinct, model.words)]
-        stream, places = _stream(firsts, classes[codes])
-        steps = model.transitions[np.concatenate([[END], stream[:-1]]), stream] - np.where(stream == END, 0, model.room[stream])
-        return batch.column("doc_id"), np.add.reduceat(steps, places[:-1]) if len(steps) else steps
+        return batch.column("doc_id")
 
-    def solve(distinct, summed):
-        return summed, np.ones(len(distinct), np.int64)
+    def solve(distinct, summed, held):
+        classes, _ = _classes(distinct, held, learnt)
+        return np.stack([summed, classes], axis=1).ravel(), np.full(len(distinct), 2)
 
-    def finish(kept, firsts, codes, values, found):
-        doc_ids, steps = kept
+    def finish(doc_ids, firsts, codes, values, found):
+        transitions, room = shared.value
         counts = values[found[0]].astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        classes = values[found[0] + 1].astype(np.int64)[codes] if len(codes) else np.zeros(0, np.int64)
+        stream, places = _stream(firsts, classes)
+        steps = transitions[np.concatenate([[END], stream[:-1]]), stream] - np.where(stream == END, 0, room[stream])
+        steps = np.add.reduceat(steps, places[:-1]) if len(steps) else steps
         n = np.diff(firsts)
         sums, known = np.zeros(len(n)), np.zeros(len(n), np.int64)
         full = np.flatnonzero(n)
         if len(full):
             sums[full] = np.add.reduceat(np.log10(counts + ADDED), firsts[:-1][full])
             known[full] = np.add.reduceat((counts > 0).astype(np.int64), firsts[:-1][full])
-        known += model.texts > 0
+        known += texts > 0
         probability = steps + sums
         return pa.RecordBatch.from_arrays(
             [
-                doc_ids, pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), model.tokens)),
+                doc_ids, pa.array(n + 1), pa.array(known), pa.array(np.full(len(n), trained)),
                 pa.array(sums + end - (n + 1) * whole), pa.array(probability), pa.array(10 ** (-probability / (n + 1))),
             ],
             names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"],
@@ -282,4 +503,4 @@ def score(docs: DataFrame, model: Model, train: str, doc_id: str = "doc_id", tex
         "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double"
     )
     rows = _prepared(docs, doc_id, text, train)
-    return by_position(rows, "doc_id", "text", _cut, solve, keep, finish, schema, weigh=_train_counts)
+    return by_position(rows, "doc_id", "text", _cut, solve, keep, finish, schema, weigh=_train_counts, known=model.known)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from chalkline.llm import blocks as B
 
-ASKED, PLACES, ANSWERED = 0, 1, 2  # kinds of parcels
+ASKED, PLACES, ANSWERED, KNOWN = 0, 1, 2, 3  # kinds of parcels
 
 #: Cuts the bytes of texts into words: (data, offsets) to (words, first word of each text).
 Cut = Callable[[np.ndarray, np.ndarray], tuple[pa.LargeBinaryArray, np.ndarray]]
@@ -26,8 +26,8 @@ Cut = Callable[[np.ndarray, np.ndarray], tuple[pa.LargeBinaryArray, np.ndarray]]
 Weigh = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, int], np.ndarray]
 #: Rows of a block, first word of each text, codes and distinct words to what the block keeps.
 Keep = Callable[[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array], tuple]
-#: Distinct words and their summed weights to (values, how many values each word has).
-Solve = Callable[[pa.Array, np.ndarray | None], tuple[np.ndarray, np.ndarray]]
+#: Distinct words, their summed weights and, if any are given, payloads of KNOWN parcels, to (values, how many values each word has).
+Solve = Callable[..., tuple[np.ndarray, np.ndarray]]
 #: What the block kept, first word of each text, codes, all values, and by code where its values start and
 #: how many there are, to rows of the result.
 Finish = Callable[[tuple, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]], pa.RecordBatch]
@@ -67,7 +67,8 @@ def met(parcels: list[tuple[bytes, bytes]]) -> tuple[pa.Array, np.ndarray, np.nd
 
 
 def by_position(
-    table: DataFrame, key: str, text: str, cut: Cut, solve: Solve, keep: Keep, finish: Finish, schema: str, weigh: Weigh | None = None
+    table: DataFrame, key: str, text: str, cut: Cut, solve: Solve, keep: Keep, finish: Finish, schema: str, weigh: Weigh | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """The rows that ``finish`` makes of each block of rows of ``table``.
 
@@ -75,7 +76,7 @@ def by_position(
     It should be a scan of files: a block is known by its ids and words, and if a second reading dealt the
     rows to blocks otherwise, the job would fail rather than mix blocks up.
     """
-    count = B.partitions(table)
+    count, informed = B.partitions(table), known is not None
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in B.text_blocks(batches, text):
@@ -99,15 +100,19 @@ def by_position(
             yield B.parcels([(_home(block, count), block, PLACES, payload)])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, parcels = 0, []
+        here, parcels, held = 0, [], []
         for batch in batches:
             here = batch.column("target")[0].as_py() if batch.num_rows else here
-            parcels += zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True)
+            for _, block, kind, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == KNOWN:
+                    held.append(payload)
+                else:
+                    parcels.append((block, payload))
         if not parcels:
             return
         distinct, codes, summed, sizes = met(parcels)
         del parcels
-        values, lengths = solve(distinct, summed)
+        values, lengths = solve(distinct, summed, held) if informed else solve(distinct, summed)
         starts = B.offsets_of(lengths)[:-1]
         at = 0
         for block, size in sizes:
@@ -131,7 +136,9 @@ def by_position(
                     answers[home] = found
         yield from _assembled(places, answers, finish)
 
-    answers = B.deliver(table.mapInArrow(ask, B.PARCEL), count).mapInArrow(answer, B.PARCEL)
+    sent = table.mapInArrow(ask, B.PARCEL)
+    sent = sent.unionAll(known) if informed else sent
+    answers = B.deliver(sent, count).mapInArrow(answer, B.PARCEL)
     back = B.deliver(answers.unionAll(table.mapInArrow(places, B.PARCEL)), count)
     return back.sortWithinPartitions("block", "kind").mapInArrow(assemble, schema)
 

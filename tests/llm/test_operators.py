@@ -106,6 +106,37 @@ def test_class_scoring(docs, nothing, texts):
     assert brown.score(nothing.withColumn("train", F.lit(True)), brown.fit(nothing.withColumn("train", F.lit(True)), "train"), "train").count() == 0
 
 
+def test_every_word_with_support_gets_a_learnt_class(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(brown, "WORDS", 20)
+    random.seed(4)
+    common, first, second = ([f"{c}{i}" for i in range(20 if c == "c" else 60)] for c in "cfs")
+    texts = []  # words of two kinds in turns; endings tell nothing
+    for i in range(400):
+        texts.append((i, " ".join(random.choice([common[:10], first][j % 3 > 0] if j % 2 else [common[10:], second][j % 3 > 0]) for j in range(60)) + (" rare" if i == 7 else "")))
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    marked = spark.read.parquet(str(tmp_path / "d")).withColumn("train", F.lit(True))
+    model = brown.fit(marked, "train")
+    classes = {}
+    for row in model.known.collect():
+        data, lengths, _, own = brown.B.unpack(row.payload)
+        at = brown.B.offsets_of(lengths)
+        classes |= {data[a:b].decode(): int(c) for a, b, c in zip(at[:-1], at[1:], own, strict=True)}
+    assert set(classes) == {w for _, t in texts for w in t.split()} - {"rare"}
+    assert all(1 <= c <= model.learnt for c in classes.values())
+    assert not {classes[w] for w in first} & {classes[w] for w in second}
+    counts = np.zeros(len(model.room), np.int64)
+    for w, n in collections.Counter(w for _, t in texts for w in t.split() if w != "rare").items():
+        counts[classes[w]] += n
+    assert (brown._totals(model.known, len(counts))[0] == counts).all()
+    found = brown.score(marked, model, "train").collect()
+    for r in found:
+        path = [0, *(classes.get(w) or 1 + model.learnt + int(brown._open_class(brown.pa.array([w.encode()], brown.pa.large_binary()))[0]) for w in texts[r["doc_id"]][1].split()), 0]
+        n = collections.Counter(w for _, t in texts for w in t.split())
+        want = sum(model.transitions[a, b] for a, b in itertools.pairwise(path))
+        want += sum(math.log10(n[w] + brown.ADDED) - model.room[c] for w, c in zip(texts[r["doc_id"]][1].split(), path[1:-1], strict=True))
+        assert r["score"] == pytest.approx(want)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(1)
     kinds = rng.integers(0, 2, 21)

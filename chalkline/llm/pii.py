@@ -21,37 +21,59 @@ _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 # What a text must have for the pattern to be tried.
 _SIGNS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-# A word with a digit, and the part of it between other marks.
-_TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
-_CORE = r"[\p{L}0-9@+](?:\S*[\p{L}0-9])?"
+# Addresses with a mark or a word for the at; groups of digits one after the other; words with a digit.
+_AT = r"(?i:[(\[{<]\x20?at\x20?[)\]}>])"
+_ADDRESS = (
+    rf"[^\s@(\[{{<]++(?:\x20?{_AT}\x20?|@)[\p{{L}}0-9]\S*+"
+    r"|[\p{L}0-9._%+-]++\x20at\x20\p{L}[\p{L}0-9-]*+(?:(?:\.|\x20dot\x20)[\p{L}0-9-]++)++"
+)
+_GROUP = r"[(+]*+[0-9]{1,6}+(?:[)./-]++[0-9]{1,6}+)*+\)?+(?![\p{L}0-9_@])"
+_CANDIDATE = rf"(?<!\S)(?:{_ADDRESS}|{_GROUP}(?:[\x20\xA0](?:[./-]\x20)?{_GROUP})++|[^\s0-9]*+[0-9]\S*+)"
+# The part of a candidate between other marks, with a bracket around its first digits.
+_LEAD = r"(?:(?!\([0-9]+\))[^\p{L}0-9@+])*"
+_CORE = rf"(?s)^({_LEAD})(\(?[\p{{L}}0-9@+](?:.*[\p{{L}}0-9])?)(.*)$"
 
 CONTEXT_CHARS = 64
-MIN_DIGITS = 4  # of a word that may be an identifier
+MIN_DIGITS = 4  # of a candidate that is no address
 MIN_SEEDS = 3  # distinct known identifiers that a pattern must have led to
 MIN_CONFIDENCE = 0.8
-ROUNDS = 3
 
-_SPAN = "array<struct<start:int,end:int,value:string,left:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """All matches with their places in code points and the characters to their left."""
+    """All matches with their places in code points and the characters of the text on either side."""
 
     def placed(pieces: Column) -> Column:
         pairs = F.arrays_zip(
             F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("piece"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
         )
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
+        chars = F.lit(CONTEXT_CHARS)
+        head = F.left(F.element_at(pieces, -1), chars)
+        after = F.struct(head.alias("head"), F.array().cast("array<string>").alias("rights"))
+
+        def back(state: Column, pair: Column) -> Column:
+            head = F.left(F.concat(F.left(pair["piece"], chars), F.left(pair["value"], chars), state["head"]), chars)
+            return F.struct(head.alias("head"), F.array_append(state["rights"], state["head"]).alias("rights"))
+
+        rights = F.reverse(F.aggregate(F.reverse(pairs), after, back, lambda state: state["rights"]))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("spans"))
 
         def add(state: Column, pair: Column) -> Column:
             begin = state["at"] + F.length(pair["piece"])
             end = begin + F.length(pair["value"])
-            left = F.right(pair["piece"], F.lit(CONTEXT_CHARS))
-            span = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"), left.alias("left"))
-            return F.struct(end.alias("at"), F.array_append(state["spans"], span).alias("spans"))
-
-        return F.aggregate(pairs, start, add, lambda state: state["spans"])
+            left = F.right(F.concat(state["tail"], F.right(pair["piece"], chars)), chars)
+            tail = F.right(F.concat(left, F.right(pair["value"], chars)), chars)
+            span = F.struct(
+                begin.alias("start"), end.alias("end"), pair["value"].alias("value"), left.alias("left"), pair["right"].alias("right")
+            )
+            return F.struct(end.alias("at"), tail.alias("tail"), F.array_append(state["spans"], span).alias("spans"))
+
+        both = F.zip_with(
+            pairs, rights, lambda pair, right: F.struct(pair["piece"].alias("piece"), pair["value"].alias("value"), right.alias("right"))
+        )
+        return F.aggregate(both, start, add, lambda state: state["spans"])
 
     return let(F.split(text, pattern, -1), placed)
 
@@ -89,33 +111,46 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def _candidates(text: Column, taken: Column) -> Column:
-    """Words with several digits that overlap no span of ``taken``."""
+    """Addresses, runs of digit groups, and words with several digits that overlap no span of ``taken``."""
 
     def trimmed(span: Column) -> Column:
-        core = F.regexp_extract(span["value"], _CORE, 0)
-        start = span["start"] + F.length(F.regexp_extract(span["value"], r"^[^\p{L}0-9@+]*", 0))
+        lead, core, rest = (F.regexp_extract(span["value"], _CORE, i) for i in (1, 2, 3))
+        start = span["start"] + F.length(lead)
         return F.struct(
-            start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"), span["left"].alias("left")
-        )
+            start.alias("start"), (start + F.length(core)).alias("end"), core.alias("value"),
+            F.concat(span["left"], lead).alias("left"), F.concat(rest, span["right"]).alias("right"),
+        )
 
-    tokens = F.transform(_matches(text, _TOKEN), trimmed)
+    found = F.transform(_matches(text, _CANDIDATE), trimmed)
     free = F.filter(
-        tokens,
-        lambda token: (F.length(_digits(token["value"])) >= MIN_DIGITS)
-        & ~F.exists(taken, lambda span: (span["start"] < token["end"]) & (token["start"] < span["end"])),
+        found,
+        lambda one: ((F.length(_digits(one["value"])) >= MIN_DIGITS) | one["value"].rlike(f"^(?:{_ADDRESS})"))
+        & ~F.exists(taken, lambda span: (span["start"] < one["end"]) & (one["start"] < span["end"])),
     )
-    return F.when(text.rlike(f"[0-9](?:[^\\s0-9]*[0-9]){{{MIN_DIGITS - 1}}}"), free).otherwise(F.array().cast(_SPAN))
+    signs = rf"@|{_AT}|\x20at\x20|[0-9](?:[^0-9]*+[0-9]){{{MIN_DIGITS - 1}}}"
+    return F.when(text.rlike(signs), free).otherwise(F.array().cast(_SPAN))
+
+
+def _patterns_of(left: Column, right: Column) -> Column:
+    """The lexical patterns: one and two words on either side in lower case with digits masked, as far as there are such.
+
+    A single word must have a letter or digit, for a mark alone leads anywhere.
+    """
+    word = r"[^\s\p{L}0-9]*[\p{L}0-9]\S*"
+    found = [
+        ("<", left, rf"(?<!\S)({word})\s*$"), ("<", left, r"(?<!\S)(\S+\s+\S+)\s*$"),
+        (">", right, rf"^\s*({word})(?!\S)"), (">", right, r"^\s*(\S+\s+\S+)(?!\S)"),
+    ]
 
+    def masked(side: str, words: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]", "0"), r"\s+", " ")
+        return F.when(words != "", F.concat(F.lit(side), plain))
 
-def _pattern(left: Column) -> Column:
-    """The lexical pattern: two words to the left in lower case with digits masked; null if there are not two."""
-    words = F.regexp_extract(left, r"(?<!\S)(\S+\s+\S+)\s*$", 1)
-    masked = F.regexp_replace(F.regexp_replace(F.lower(words), "[0-9]", "0"), r"\s+", " ")
-    return F.when(words != "", masked)
+    return F.array_compact(F.array(*[masked(side, F.regexp_extract(text, shape, 1)) for side, text, shape in found]))
 
 
 def _read(docs: DataFrame, text: str) -> DataFrame:
-    """One pass over the texts: the base spans by kind, and candidates, with two-word patterns."""
+    """One pass over the texts: the base spans by kind, and candidates, with their patterns."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = docs.select("*", *[base_spans(body, kind).alias(f"__{kind}") for kind in KINDS])
     taken = F.concat(*[F.col(f"__{kind}") for kind in KINDS])
@@ -125,7 +160,7 @@ def _read(docs: DataFrame, text: str) -> DataFrame:
             column,
             lambda s: F.struct(
                 s["start"].alias("start"), s["end"].alias("end"),
-                F.lower(s["value"]).alias("value"), _pattern(s["left"]).alias("pattern"),
+                F.lower(s["value"]).alias("value"), _patterns_of(s["left"], s["right"]).alias("patterns"),
             ),
         )
 
@@ -134,32 +169,33 @@ def _read(docs: DataFrame, text: str) -> DataFrame:
     )
 
 
-def learn_patterns(found: DataFrame, spark, rounds: int = ROUNDS) -> DataFrame:
+def learn_patterns(found: DataFrame, spark) -> DataFrame:
     """pattern, kind, confidence of the patterns that lead to identifiers.
 
     The graph has an edge for each pattern and instance (an identifier's text) seen together. Known instances
     weigh 1 at first: the base entities. A pattern's confidence in a kind is the weighted share of its
     distinct instances known to be of the kind, and it counts once it has MIN_SEEDS of them; an unknown
     instance then weighs 1 less the product of what its patterns leave open, and is known for the next
-    round from MIN_CONFIDENCE on. Copies of a text add nothing, for instances count once.
+    round from MIN_CONFIDENCE on. Weights only rise from round to round, and rounds end when no instance becomes
+    known. Copies of a text add nothing, for instances count once.
     """
     parts = [
-        found.select(F.lit(kind).alias("kind"), F.inline(f"__{kind}")).select("kind", "pattern", "value")
+        found.select(F.lit(kind).alias("kind"), F.inline(f"__{kind}")).select("kind", F.explode("patterns").alias("pattern"), "value")
         for kind in KINDS
     ]
     parts.append(
-        found.select(F.lit(None).cast("string").alias("kind"), F.inline("__other")).select("kind", "pattern", "value")
+        found.select(F.lit(None).cast("string").alias("kind"), F.inline("__other")).select("kind", F.explode("patterns").alias("pattern"), "value")
     )
     edges = parts[0]
     for part in parts[1:]:
         edges = edges.unionByName(part)
     path = scratch_path(spark, "pattern-graph")
-    edges.where(F.col("pattern").isNotNull()).groupBy("pattern", "value").agg(F.max("kind").alias("seed")).write.parquet(path)
+    edges.groupBy("pattern", "value").agg(F.max("kind").alias("seed")).write.parquet(path)
     edges = spark.read.schema("pattern string, value string, seed string").parquet(path)
 
     known = edges.where(F.col("seed").isNotNull()).select("pattern", "value", F.col("seed").alias("kind"), F.lit(1.0).alias("weight"))
-    patterns = None
-    for _ in range(rounds):
+    before = 0
+    while True:
         totals = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
         votes = known.groupBy("pattern", "kind").agg(F.sum("weight").alias("votes"))
         patterns = (
@@ -177,12 +213,18 @@ def learn_patterns(found: DataFrame, spark, rounds: int = ROUNDS) -> DataFrame:
             .agg((1 - F.product(1 - F.col("confidence"))).alias("weight"))
             .where(F.col("weight") >= MIN_CONFIDENCE)
         )
+        path = scratch_path(spark, "instances")
+        weights.write.parquet(path)
+        weights = spark.read.schema(weights.schema).parquet(path)
+        size = weights.count()
+        if size == before:
+            return patterns
+        before = size
         unseen = edges.where(F.col("seed").isNull()).join(weights, "value").select("pattern", "value", "kind", "weight")
         seeds = edges.where(F.col("seed").isNotNull()).select(
             "pattern", "value", F.col("seed").alias("kind"), F.lit(1.0).alias("weight")
         )
         known = seeds.unionByName(unseen)
-    return patterns
 
 
 def _ordered(spans: Column) -> Column:
@@ -219,6 +261,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     patterns = learn_patterns(found, spark)
     more = (
         found.select("row", F.inline("__other"))
+        .select("row", "start", "end", F.explode("patterns").alias("pattern"))
         .join(patterns, "pattern")
         .groupBy("row", "start", "end")
         .agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))

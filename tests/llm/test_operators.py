@@ -344,6 +344,33 @@ def test_contexts_find_unseen_identifiers_and_redaction_hides_all(spark):
     assert hidden[11] == rows[7][1] and hidden[12] is None
 
 
+def test_contexts_on_both_sides_of_candidates_of_all_shapes(spark):
+    rows = [(i, f"you can reach us at +1 017 555 77{i}{i} or +1 018 555 66{i}{i} during office hours") for i in range(9)]
+    rows += [(20 + i, f"Phone: +1 019 555 88{i}{i}") for i in range(9)]
+    rows += [(40 + i, f"please mail to user{i}x@mail{i}.org soon") for i in range(9)]
+    unknown = [
+        ("us at ", "5551234567"), ("us at ", "(555) 123-4567"), ("we said us at ", "555 123 4567"), ("Phone: ", "5552345678"),
+        ("us at 5551234567 or ", "5559876543"), ("in 1998 please mail to ", "jane.doe(at)corp.com"), ("mail to ", "jo at corp dot com"),
+        ("", "555 4321 987", " during office hours"),
+    ]
+    rows += [(100 + i, "".join(x)) for i, x in enumerate(unknown)]
+    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (left, value, *_) in enumerate(unknown):
+        kind = "email" if "corp" in value else "phone"
+        assert f"{kind}:{len(left)}:{len(left) + len(value)}" in spans[100 + i], (left, value, spans[100 + i])
+
+
+def test_contexts_are_followed_until_nothing_new_is_found(spark):
+    rows, stages = [], ["zero", "one", "two", "three", "four", "five", "six", "seven"]
+    for k, word in enumerate(stages):  # each leads to the next stage's numbers once its own are known
+        rows += [f"call {word} +1 017 555 {k}{i:03d}" for i in range(20)]
+        rows += [f"call {word} {k}000{i}99" for i in range(4) if k]
+        rows += [f"call {word} {k + 1}000{i}99" for i in range(4)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
+    assert all(spans[i].startswith("phone:") for i in range(len(rows)))
+
+
 # Jaccard
 
 

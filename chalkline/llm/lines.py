@@ -23,19 +23,26 @@ def boilerplate_lines(
     text: str = "text",
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """host, line_key, n_pages, n_host_pages of the lines on more than ``max_ratio`` of a host's pages.
 
     A line counts once per page, trimmed of blanks; blank lines never count. At least ``min_pages`` pages must have it, so that the
     few pages of a small host do not condemn their own lines. Pages without a host form one host of their
-    own. Lines are known by 128-bit digests.
+    own. Lines are known by 128-bit digests. With ``copies_once``, rows of a host with equal texts are one page, so
+    that copies of a page do not make all its lines boilerplate; otherwise every row is a page.
     """
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("text"))
-    totals = pages.groupBy("host").agg(F.count(F.lit(1)).alias("n_host_pages"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line"))
+    if copies_once:
+        pages = pages.withColumn("page", F.unhex(F.sha2("text", 256)))
+    totals = pages.select("host", "page").distinct() if copies_once else pages
+    totals = totals.groupBy("host").agg(F.count(F.lit(1)).alias("n_host_pages"))
+    line = F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line")
+    lines = pages.select(*[name for name in pages.columns if name != "text"], line).where(F.col("line") != "")
+    lines = lines.withColumn("line_key", _key(F.col("line"))).drop("line")
     counts = (
-        lines.where(F.col("line") != "")
-        .groupBy("host", _key(F.col("line")).alias("line_key"))
+        (lines.distinct() if copies_once else lines)
+        .groupBy("host", "line_key")
         .agg(F.count(F.lit(1)).alias("n_pages"))
         .where(F.col("n_pages") >= min_pages)
     )
@@ -54,6 +61,7 @@ def drop_boilerplate(
     max_ratio: float = MAX_RATIO,
     min_pages: int = MIN_PAGES,
     broadcast_bytes: int = BROADCAST_BYTES,
+    copies_once: bool = False,
 ) -> DataFrame:
     """``docs``, all columns and rows, without the boilerplate lines of each row's host in ``text``.
 
@@ -65,7 +73,7 @@ def drop_boilerplate(
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "boilerplate")
-    found = boilerplate_lines(docs, host, text, max_ratio, min_pages)
+    found = boilerplate_lines(docs, host, text, max_ratio, min_pages, copies_once)
     found.write.parquet(path)
     found = spark.read.schema(found.schema).parquet(path)
     longest = found.agg(F.count(F.lit(1)), F.coalesce(F.max(F.octet_length("host")), F.lit(0))).first()

@@ -18,8 +18,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without its source's boilerplate lines; n_chars follows the text."""
-    return _counted(lines.drop_boilerplate(docs, host="source"))
+    """Every document without its source's boilerplate lines, copies of a page counted once; n_chars follows the text."""
+    return _counted(lines.drop_boilerplate(docs, host="source", copies_once=True))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -173,6 +173,18 @@ def test_line_dedup_both_ways(docs, nothing, texts):
     assert lines.drop_boilerplate(nothing).count() == 0
 
 
+def test_copies_of_a_page_do_not_condemn_its_lines(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"banner\nown {i}", "a") for i in range(60)] + [(100 + i, "a copied page\nwith a second line", "a") for i in range(30)]
+    rows += [(200, None, "a"), (201, None, "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, table, "").collect()}
+    assert found == {i: t if t is None or i >= 100 else f"own {i}" for i, t, _ in rows}
+    (line,) = lines.boilerplate_lines(table, copies_once=True).collect()
+    assert (line["n_pages"], line["n_host_pages"]) == (60, 62)  # sixty pages, the copied one, and null
+
+
 # Byte-level BPE
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections.abc import Iterator
 
@@ -15,8 +16,9 @@ from chalkline.llm import blocks as B
 LENGTH = 50
 SEED = 24  # bytes of an anchor; a passage has LENGTH - SEED + 1 places for one
 BLOCK_BYTES = 4 * 1024 * 1024
-SORT_BYTES = 4 * 1024 * 1024  # of passages that are sorted at a time, or one anchor's
+SORT_BYTES = 4 * 1024 * 1024  # of passages that are sorted at a time, or one anchor's; that has at most MANY_SPANS spans
 
+MANY_SPANS = 4096  # of an anchor, counted block by block, from which its passages are dealt out singly
 DEALT = 24  # first bytes by which suffixes are dealt out before they are merged
 
 _TEXT, _SHARED, _COVERED = 0, 1, 2
@@ -146,12 +148,13 @@ class _Block:
     def __init__(self, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
         self.data, self.offsets, self.ids = data, offsets, ids
         self.first = self.last = self.anchor = np.zeros(0, np.int64)
-        self.key, self.owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.key, self.owner, self.span = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
         count = len(data) - LENGTH + 1
         if count <= 0:
             return
         places = len(data) - SEED + 1
-        seed = B.mixed(PrefixHashes(data).of(np.arange(places), SEED))
+        hashes = PrefixHashes(data)
+        seed = B.mixed(hashes.of(np.arange(places), SEED))
         least = seed & np.uint64(0xFFFFFFFF00000000) | np.arange(places, dtype=np.uint64)
         width, wide = 1, LENGTH - SEED + 1
         while 2 * width <= wide:
@@ -173,6 +176,25 @@ class _Block:
         self.first, self.last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
         self.key = seed[anchor[heads]]
         self.owner = ids[np.searchsorted(offsets, self.first, side="right") - 1]
+        self.span = hashes.of(self.first, self.last - self.first + LENGTH)
+
+    def singled(self, keep: np.ndarray) -> _Block:
+        """A block of the same texts in which some anchors' passages each are an anchor of their own.
+
+        Its key is the hash of the whole passage, so that the passages of one anchor have homes of their own.
+        """
+        block = copy.copy(self)
+        hot = np.zeros(len(self.key), dtype=bool)
+        hot[keep] = True
+        size = self.last[hot] - self.first[hot] + 1
+        single = B.gather(self.first[hot], size)
+        key = np.zeros(len(single), np.uint64)
+        for a in range(0, LENGTH, SEED + 1):  # hashes of parts; LENGTH is a multiple of their size
+            part = self.data[single[:, None] + np.arange(a, a + SEED + 1)]
+            key = B.mixed(key * B.BASE + (B.BYTE_CODE[part] * B.powers(SEED + 1)).sum(axis=1, dtype=np.uint64))
+        block.first, block.last = np.append(self.first[~hot], single), np.append(self.last[~hot], single)
+        block.key, block.owner = np.append(self.key[~hot], key), np.append(self.owner[~hot], np.repeat(self.owner[hot], size))
+        return block
 
     def of(self, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct keys, whether each has several documents, and the home of each."""
@@ -183,6 +205,11 @@ class _Block:
         keys = key[heads]
         return keys, owner[heads] != owner[ends], _homes(keys, count)
 
+    def span_counts(self, keys: np.ndarray) -> np.ndarray:
+        """How many distinct spans each of the distinct keys has."""
+        pairs = np.unique(B.mixed(self.span) ^ self.key, return_index=True)[1]
+        return np.bincount(np.searchsorted(keys, self.key[pairs]), minlength=len(keys))
+
     def spans(self, keep: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct spans of some anchors, the key and least owner of each, and each anchor's span."""
         first, size = self.first[keep], self.last[keep] - self.first[keep] + LENGTH
@@ -237,12 +264,19 @@ def _gathered(batches) -> Iterator[tuple[_Block, dict[int, bytes], dict[int, byt
     yield from closed()
 
 
-def _shared_anchors(block: _Block, answers: dict[int, bytes], count: int) -> np.ndarray:
+def _shared_anchors(block: _Block, answers: dict[int, bytes], count: int) -> tuple[_Block, np.ndarray]:
+    """The block, passages of anchors with many spans singled, and its anchors that other documents have, too."""
     keys, _, homes = block.of(count)
-    shared = np.zeros(len(keys), dtype=bool)
+    shared, many = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     for home, own in _by_home(homes, count):
-        shared[own] = np.unpackbits(np.frombuffer(answers[home], np.uint8), count=len(own)).astype(bool)
-    return np.flatnonzero(shared[np.searchsorted(keys, block.key)])
+        bits = np.unpackbits(np.frombuffer(answers[home], np.uint8), count=2 * len(own)).astype(bool)
+        shared[own], many[own] = bits[: len(own)], bits[len(own) :]
+    at = np.searchsorted(keys, block.key)
+    keep, hot = shared[at], shared[at] & many[at]
+    if not hot.any():
+        return block, np.flatnonzero(keep)
+    singled = block.singled(np.flatnonzero(hot))
+    return singled, np.flatnonzero(np.append(keep[~hot], np.ones(len(singled.key) - np.count_nonzero(~hot), dtype=bool)))
 
 
 def _home(block: bytes, count: int) -> int:
@@ -350,7 +384,9 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Texts are read three times. First every anchor (see ``_Block``) goes to its task as 32 bits of hash, once per block,
     and those found in one document only are out. The spans of the others follow, each distinct one once per block; equal spans meet
-    there, and where one anchor has several spans their passages are sorted as suffixes. Answers
+    there, and where one anchor has several spans their passages are sorted as suffixes. An anchor with more than
+    MANY_SPANS spans, as at the edge of a passage that many documents share, sends its passages one by one instead,
+    each distinct one once per block, to the homes of their own hashes. Answers
     come back to the blocks as bits. The table should be a scan of files; if a second reading dealt rows
     to blocks otherwise, the job would fail.
     """
@@ -360,10 +396,11 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     def ask(batches):
         for name, block in _blocks(batches):
             keys, several, homes = block.of(count)
+            spans = block.span_counts(keys)
             rows = []
             for home, own in _by_home(homes, count):
                 bits = np.packbits(several[own]).tobytes()
-                rows.append((home, name, 0, B.pack(B.planes(keys[own] & np.uint64(2**32 - 1)), bits)))
+                rows.append((home, name, 0, B.pack(B.planes(keys[own] & np.uint64(2**32 - 1)), bits, B.planes(spans[own]))))
             yield B.parcels(rows)
 
     def share(batches):
@@ -371,16 +408,18 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for batch in batches:
             here = batch.column("target")[0].as_py() if batch.num_rows else here
             for name, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist()):
-                planes, bits = B.unpack(payload)
+                planes, bits, spans = B.unpack(payload)
                 keys = B.from_planes(planes).astype(np.uint32)
-                parcels.append((name, keys, np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys))))
+                bits = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(keys))
+                parcels.append((name, keys, bits, B.from_planes(spans)))
         if not parcels:
             return
         keys, inverse = np.unique(np.concatenate([p[1] for p in parcels]), return_inverse=True)
         times = np.bincount(inverse, 1 + np.concatenate([p[2] for p in parcels]), len(keys))
-        shared, at = times[inverse] > 1, 0
-        for name, own, _ in parcels:
-            answer = np.packbits(shared[at : at + len(own)]).tobytes()
+        spans = np.bincount(inverse, np.concatenate([p[3] for p in parcels]), len(keys))
+        shared, many, at = times[inverse] > 1, (spans > MANY_SPANS)[inverse], 0
+        for name, own, _, _ in parcels:
+            answer = np.packbits(np.append(shared[at : at + len(own)], many[at : at + len(own)])).tobytes()
             at += len(own)
             yield B.parcels([(_home(name, count), name, _SHARED, B.pack(here, answer))])
 
@@ -391,7 +430,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def spans(batches):
         for block, shared, _ in _gathered(batches):
-            distinct, keys, least, _ = block.spans(_shared_anchors(block, shared, count))
+            block, keep = _shared_anchors(block, shared, count)
+            distinct, keys, least, _ = block.spans(keep)
             name = hashlib.blake2b(np.ascontiguousarray(block.data), digest_size=12)
             name.update(block.ids.tobytes() + block.offsets.tobytes())
             rows = []
@@ -403,7 +443,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     def cut(batches):
         for block, shared, covered in _gathered(batches):
-            yield _cut(block, covered, _shared_anchors(block, shared, count), count)
+            block, keep = _shared_anchors(block, shared, count)
+            yield _cut(block, covered, keep, count)
 
     def together(*parts: DataFrame) -> DataFrame:
         whole = parts[0]

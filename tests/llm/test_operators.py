@@ -268,6 +268,25 @@ def test_repeated_passages(docs, nothing, texts):
     assert suffix.drop_repeats(nothing).count() == 0
 
 
+def test_no_task_gets_all_spans_of_one_anchor(spark, docs, texts, monkeypatch, tmp_path):
+    plain = ordered(tuple(r) for r in suffix.drop_repeats(docs).drop("kept").collect())
+    monkeypatch.setattr(suffix, "MANY_SPANS", 8)
+    assert ordered(tuple(r) for r in suffix.drop_repeats(docs).drop("kept").collect()) == plain
+    random.seed(6)
+    line = "a line of text that very many of all documents share word by word, edge to edge"
+    rows = [("%020x " % random.getrandbits(80)) * 2 + line + " %040x" % random.getrandbits(160) for _ in range(400)]
+    data = [x.encode() for x in rows]
+    offsets = np.cumsum([0, *map(len, data)])
+    block = suffix._Block(np.frombuffer(b"".join(data), np.uint8), offsets, np.arange(len(rows)))
+    keys, _, homes = block.of(8)
+    spans = block.span_counts(keys)
+    assert spans.max() >= 100
+    answers = {h: np.packbits(np.append(np.ones(len(own), bool), spans[own] > 8)).tobytes() for h, own in suffix._by_home(homes, 8)}
+    found = suffix._shared_anchors(block, answers, 8)[0]
+    distinct, keys, _, _ = found.spans(np.arange(len(found.key)))
+    assert np.unique(keys, return_counts=True)[1].max() <= 8
+
+
 def test_suffixes_come_out_in_order():
     random.seed(3)
     text = ("".join(random.choice("ab") for _ in range(1500)) + "abab" * 100 + "a" * 300).encode()

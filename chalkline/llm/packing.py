@@ -29,9 +29,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 @cache

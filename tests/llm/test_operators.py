@@ -238,6 +238,17 @@ def test_packing_is_gapless_and_whole(docs, nothing, texts):
     assert sorted(len(r["ids"]) for r in whole)[1:] == [512] * (len(whole) - 1)
 
 
+def test_special_tokens_in_texts_are_encoded_as_the_file_says(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(WORD_BPE)
+    texts = ["one <|endoftext|> two", "a<|startoftext|>b c", "<|endoftext|>", "<|endoftext|><|startoftext|> x", "  <|endoftext|>\n<|ENDOFTEXT|> é"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = packing.pack(spark.read.parquet(str(tmp_path / "d")), WORD_BPE, length=4096).collect()
+    want = {i: np.array([*plain.encode(t, add_special_tokens=False).ids, 1], "<u4") for i, t in enumerate(texts)}
+    assert {r["doc_id"]: (r["doc_tokens"], r["ids_crc32"]) for r in found} == {i: (len(x), zlib.crc32(x)) for i, x in want.items()}
+
+
 def test_hilbert_neighbours_are_one_step_apart():
     points = np.array(list(itertools.product(range(8), repeat=3)))
     keys = packing.hilbert_key(points, 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.llm import blocks as B
@@ -20,6 +20,7 @@ SPLIT = 4096  # postings of one frequent shingle that a task gets at most
 SIDS = 2**20  # candidates up to which their numbers are broadcast: 8 MB
 
 _COUNTED, _SUMS = 0, 1
+_NAMED = "doc_id long, digest binary, n long, sid long, second long"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,18 +84,18 @@ def _sets(batches):
 
 
 def _named(texts: DataFrame) -> DataFrame:
-    """doc_id, n, sid, second of every row."""
+    """doc_id, digest, n, sid, second of every row."""
 
     def run(batches):
         for batch in B.text_blocks(batches, "text", B.BLOCK_BYTES // 2):
             hashes, firsts = shingle_sets(*B.text_bytes(batch.column("text")))
             sids, seconds = set_names(hashes, firsts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(firsts)), pa.array(sids), pa.array(seconds)],
-                names=["doc_id", "n", "sid", "second"],
+                [batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(firsts)), pa.array(sids), pa.array(seconds)],
+                names=["doc_id", "digest", "n", "sid", "second"],
             )
 
-    return texts.mapInArrow(run, "doc_id long, n long, sid long, second long")
+    return texts.mapInArrow(run, _NAMED)
 
 
 def _frequent(texts: DataFrame) -> tuple[dict[str, np.ndarray], float]:
@@ -336,11 +337,16 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     compared with the one that has the key foremost. What is linked by then is not compared again: within
     a list only sets of different components remain, and all of these that may link are compared.
     """
+    return _linked_rows(docs, doc_id, text, F.lit(None).cast("binary")).select("doc_id", "n_shingles", "component_id")
+
+
+def _linked_rows(docs: DataFrame, doc_id: str, text: str, digest) -> DataFrame:
+    """Rows as of ``linked_documents`` with ``digest`` and the label of their component; null for an empty set."""
     spark = docs.sparkSession
-    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("digest"), F.col(text).alias("text"))
     path = scratch_path(spark, "set-names")
     _named(texts).write.parquet(path)
-    named = spark.read.schema("doc_id long, n long, sid long, second long").parquet(path)
+    named = spark.read.schema(_NAMED).parquet(path)
     bodies = texts.select("text")
 
     frequent, met = _frequent(bodies)
@@ -388,19 +394,26 @@ def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     groups = groups.join(label.withColumnRenamed("id", "node"), "node", "left")
     groups = groups.select("node", "least", F.coalesce("label", "node").alias("label"))
     lowest = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = groups.join(lowest, "label").select("node", "component_id")
+    by_set = groups.join(lowest, "label").select("node", "label", "component_id")
     rows = named.withColumn("node", F.when(F.col("n") > 0, F.struct("sid", "second")))
     return rows.join(by_set, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "digest", "label"
     )
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs``, all columns, with one row of each group of linked documents: that with the smallest doc_id.
 
-    Rows that repeat the kept row's doc_id and are linked with it go, too; rows without words stay.
+    A null doc_id is larger than all; of rows with equal doc_id that with the smallest digest of its text is kept, and of rows
+    equal in both one. Every row without words stays.
     """
-    linked = linked_documents(docs, doc_id, text)
-    kept = linked.where((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull())
-    kept = kept.select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs[doc_id].cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    digest = F.unhex(F.sha2(F.col(text), 256))
+    rows = _linked_rows(docs, doc_id, text, digest).where(F.col("label").isNotNull())
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
+    kept = rows.groupBy("label").agg(least).select(F.col("least.doc_id").alias("__kept"), F.col("least.digest").alias("__text"))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    marked = docs.where(worded).withColumn("__id", F.col(doc_id).cast("long")).withColumn("__digest", digest)
+    found = marked.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__text")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.xxhash64(*docs.columns)))
+    found = found.withColumn("__place", place).where("__place = 1").select(*docs.columns)
+    return docs.where(~worded).unionByName(found)

@@ -467,3 +467,12 @@ def test_one_of_each_keeps_rows_without_words(docs, texts):
     assert kept.columns == docs.columns
     want = {i for i, _, c in brute_components(texts) if i is not None and i == c}
     assert {r["doc_id"] for r in kept.collect() if r["doc_id"] is not None} == want
+
+
+def test_one_of_each_keeps_one_row_of_a_group(spark, tmp_path):
+    same, other = "a b c d e f g h", "quite another text with words of its own"
+    rows = [(1, same), (1, same), (1, other), (2, same), (None, same), (None, "only null ids here"), (None, "only null ids here"), (3, ""), (3, ""), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    kept = jaccard.one_of_each(spark.read.parquet(str(tmp_path / "d"))).collect()
+    want = [(1, same), (1, other), (None, "only null ids here"), (3, ""), (3, ""), (None, None)]
+    assert ordered(tuple(r) for r in kept) == ordered(want)

@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 _LINES = """
+pages AS (SELECT DISTINCT source, text FROM {docs}),
 lines AS (
-  SELECT doc_id, source, place, line, trim(line, ' ') AS body
-  FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
-               generate_subscripts(string_split(text, chr(10)), 1) AS place FROM {docs})
+  SELECT source, text, place, line, trim(line, ' ') AS body
+  FROM (SELECT source, text, unnest(string_split(text, chr(10))) AS line,
+               generate_subscripts(string_split(text, chr(10)), 1) AS place FROM pages)
 ),
-totals AS (SELECT source, count(*) AS n_host FROM {docs} GROUP BY source),
+totals AS (SELECT source, count(*) AS n_host FROM pages GROUP BY source),
 boilerplate AS (
   SELECT l.source, l.body
-  FROM (SELECT source, body, count(DISTINCT doc_id) AS n FROM lines WHERE body <> '' GROUP BY source, body) l
-  JOIN totals t ON t.source = l.source
-  WHERE l.n >= 5 AND l.n > 0.02 * t.n_host
+  FROM (SELECT source, body, count(DISTINCT text) AS n FROM lines WHERE body <> '' GROUP BY source, body) l
+  JOIN totals t ON t.source IS NOT DISTINCT FROM l.source
+  WHERE l.n >= 2 AND l.n > 0.02 * t.n_host
 ),
 cleaned AS (
-  SELECT l.doc_id, coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE b.body IS NULL), '') AS text
-  FROM lines l LEFT JOIN boilerplate b ON b.source = l.source AND b.body = l.body
-  GROUP BY l.doc_id
+  SELECT l.source, l.text,
+         coalesce(string_agg(l.line, chr(10) ORDER BY l.place) FILTER (WHERE b.body IS NULL), '') AS kept
+  FROM lines l LEFT JOIN boilerplate b ON b.source IS NOT DISTINCT FROM l.source AND b.body = l.body
+  GROUP BY l.source, l.text
 )"""
 
 EXACT = r"""
@@ -38,8 +40,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 
 LINES = f"""
 WITH {_LINES.format(docs="documents")}
-SELECT d.doc_id, d.source, sha256(c.text) AS text_sha256, length(c.text) AS n_left
-FROM documents d JOIN cleaned c ON c.doc_id = d.doc_id
+SELECT d.doc_id, d.source, sha256(c.kept) AS text_sha256, length(c.kept) AS n_left
+FROM documents d LEFT JOIN cleaned c ON c.source IS NOT DISTINCT FROM d.source AND c.text = d.text
 """
 
 

@@ -150,41 +150,6 @@ def test_exchange_raises_the_likelihood():
     assert len({(kinds[w], found[w]) for w in range(1, 21)}) == 2
 
 
-# Lines
-
-
-def test_line_dedup_both_ways(docs, nothing, texts):
-    totals, pages = collections.Counter(), collections.Counter()
-    for i, t in texts:
-        host = f"s{(i or 0) % 2}"
-        totals[host] += 1
-        pages.update((host, x) for x in {x.strip(" ") for x in (t or "").split("\n")} - {""})
-    boiler = {k for k, n in pages.items() if n >= 5 and n > 0.02 * totals[k[0]]}
-    assert boiler
-
-    def clean(i, t):
-        host = f"s{(i or 0) % 2}"
-        return t if t is None else "\n".join(x for x in t.split("\n") if (host, x.strip(" ")) not in boiler)
-
-    for limit in (lines.BROADCAST_BYTES, -1):
-        found = lines.drop_boilerplate(docs, broadcast_bytes=limit)
-        assert found.columns == docs.columns
-        assert ordered((r["doc_id"], r["text"]) for r in found.collect()) == ordered((i, clean(i, t)) for i, t in texts)
-    assert lines.drop_boilerplate(nothing).count() == 0
-
-
-def test_copies_of_a_page_do_not_condemn_its_lines(spark):
-    import corpus_pipeline
-
-    rows = [(i, f"banner\nown {i}", "a") for i in range(60)] + [(100 + i, "a copied page\nwith a second line", "a") for i in range(30)]
-    rows += [(200, None, "a"), (201, None, "a")]
-    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    found = {r["doc_id"]: r["text"] for r in corpus_pipeline.drop_lines(spark, table, "").collect()}
-    assert found == {i: t if t is None or i >= 100 else f"own {i}" for i, t, _ in rows}
-    (line,) = lines.boilerplate_lines(table, copies_once=True).collect()
-    assert (line["n_pages"], line["n_host_pages"]) == (60, 62)  # sixty pages, the copied one, and null
-
-
 # Byte-level BPE
 
 

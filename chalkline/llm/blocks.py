@@ -21,6 +21,10 @@ WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+# [^\x00-\x40\x5B-\x60\x7B-\x7F]: letters, and every byte of a character beyond ASCII
+LETTER = np.zeros(256, dtype=bool)
+LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+
 _random = np.random.default_rng(20240229)
 BYTE_CODE = _random.integers(1, 2**64, size=256, dtype=np.uint64) | np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
@@ -110,7 +114,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[pa.Lar
     """The words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and where each text's words start."""
     if lower:
         data = LOWER[data]
-    solid = ~WHITE[data]
+    return runs_of(data, offsets, ~WHITE[data])
+
+
+def runs_of(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The longest runs of ``solid`` bytes of all texts in order, and where each text's runs start."""
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     heads = offsets[:-1][np.diff(offsets) > 0]
@@ -120,6 +128,11 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[pa.Lar
     return slices(data[solid], kept), np.searchsorted(starts, offsets)
 
 
+def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The runs of ASCII letters, in lower case, and bytes of other characters of all texts, as ``runs_of``."""
+    return runs_of(LOWER[data], offsets, LETTER[data])
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """A well spread 64-bit hash of 64-bit values."""
     values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import bpe, brown, exact, jaccard, lines, packing, pii, quality, sketch, suffix
+from chalkline.llm import bpe, brown, divergence, exact, jaccard, lines, merkle, packing, pii, quality, sketch, suffix
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUALITY_FOLDS = 5
 SCORING_FOLDS = 10
+TAMPERED_FOLD = 5
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,6 +104,22 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.linked_documents(documents(spark, folder))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.audit(documents(spark, folder))
+
+
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every fifth document's text is put in lower case after the manifest was made."""
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    changed = merkle.row_digest([lowered if name == "text" else F.col(name) for name in merkle.FIELDS])
+    tampered = F.when(fold(TAMPERED_FOLD) == 0, changed)
+    found = merkle.proofs(documents(spark, folder), carried={"tampered": tampered})
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    proof = F.sha2(merkle.proof_text(F.col("path")), 256)
+    found = found.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), folded.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -115,6 +133,8 @@ QUERIES: dict[str, Query] = {
         op8_fingerprints,
         op9_personal_data,
         op10_jaccard_join,
+        op11_source_divergence,
+        op12_merkle_manifest,
     )
 }
 

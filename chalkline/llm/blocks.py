@@ -128,9 +128,9 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[p
     return slices(data[solid], kept), np.searchsorted(starts, offsets)
 
 
-def letter_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
-    """The runs of ASCII letters, in lower case, and bytes of other characters of all texts, as ``runs_of``."""
-    return runs_of(LOWER[data], offsets, LETTER[data])
+def letter_runs(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The runs of ASCII letters, in lower case if asked, and bytes of characters beyond ASCII, as ``runs_of``."""
+    return runs_of(LOWER[data] if lower else data, offsets, LETTER[data])
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

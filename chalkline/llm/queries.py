@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chalkline.llm import bpe, brown, divergence, exact, jaccard, lines, merkle, packing, pii, quality, sketch, suffix
+from chalkline.llm import bpe, brown, divergence, exact, jaccard, lines, merkle, packing, pii, quality, sketch, suffix, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUALITY_FOLDS = 5
 SCORING_FOLDS = 10
 TAMPERED_FOLD = 5
+TOXICITY_FOLDS, TOXICITY_HELD_OUT = 4, 2
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -120,6 +121,15 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = fold(TOXICITY_FOLDS) == TOXICITY_HELD_OUT
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where(~held_out)
+    docs = documents(spark, folder).select("doc_id", "text")
+    model = toxicity.fit(docs, labels.select("doc_id", F.col("toxic").alias("label")))
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", predicted)
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -135,6 +145,7 @@ QUERIES: dict[str, Query] = {
         op10_jaccard_join,
         op11_source_divergence,
         op12_merkle_manifest,
+        op13_toxicity,
     )
 }
 

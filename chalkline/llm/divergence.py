@@ -26,6 +26,7 @@ LEAST_DOCS = 10  # documents of a language that have a kept term
 ADDED = 2  # to every count
 TOP_TERMS = 10
 POSTINGS = 1 << 16  # of a slice of the index by term, about; a slice is one task's work
+_BLOCK_BYTES = 4 * 1024 * 1024  # of texts that are counted at once
 _DIGITS, _STEP = 3, 1000  # a share has three times three digits
 _CELLS = 1 << 20  # of a correction that are held at once
 
@@ -39,7 +40,7 @@ class Profiles:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in B.text_blocks(batches, "text"):
+    for batch in B.text_blocks(batches, "text", _BLOCK_BYTES):
         words, firsts = B.letter_runs(*B.text_bytes(batch.column("text")))
         if not len(words):
             continue

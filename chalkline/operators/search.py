@@ -1,12 +1,15 @@
 """Exact top-k vector search as a Spark job.
 
 Every question is scored against every vector, as a flat index does, but the pairs never become
-rows: each task multiplies its Arrow batches with the question matrix and keeps only its best k per
+rows: each task multiplies its Arrow batches with the question matrix and keeps its best k per
 question. Two window steps then merge those short lists; the first one is salted, so a batch with
-few questions does not end in a few tasks.
+few questions does not end in a few tasks. Vectors stay where they are stored in every case: many
+questions are broadcast block by block, each after a first pass over a sample of the vectors that
+says what score a hit needs at least.
 
-Scores are computed in double precision and kept as float32, the precision of the vectors; equal
-scores are ordered by ascending id. That makes the ranking independent of how the corpus is split.
+Rough scores in single precision pick the candidates, with a margin for their error; what is kept is computed
+in double precision and stored as float32, the precision of the vectors. Equal scores are ordered by ascending
+id. That makes the ranking independent of how the corpus is split.
 """
 
 from __future__ import annotations
@@ -22,22 +25,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chalkline.functions.vectors import l2_normalize
+from chalkline.session import scratch_path
 
 INNER_PRODUCT, L2 = "inner_product", "l2"
 
-# At most this many questions, and this many vector bytes, are broadcast; beyond it both sides are
-# shuffled into tiles.
+# At most this many questions, and this many vector bytes, are broadcast at once; more go in blocks.
 MAX_BROADCAST_QUESTIONS = 8192
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 # Hits are broadcast to the chunk table up to this many rows (about 32 bytes each).
 MAX_BROADCAST_HITS = 1_000_000
 
-# Rows per side of a tile on the shuffled path.
-TILE_QUESTIONS = 16384
-TILE_VECTORS = 65536
-
-_MERGE_SALTS = 32
+# One vector in so many takes part in the first pass; the most salts that short lists are merged by.
+SAMPLED = 64
+_MAX_SALTS = 1024
 _SCORE_BLOCK = 256
 _HIT_SCHEMA = "query_id long, faiss_id long, score float"
 
@@ -51,55 +52,73 @@ class Hits:
 
 
 class BestK:
-    """Running best k vectors of each question."""
+    """Running best k vectors of each question; ``least`` is a score that the k-th best is known to reach."""
 
-    def __init__(self, question_ids: np.ndarray, questions: np.ndarray, k: int, metric: str) -> None:
+    def __init__(
+        self, question_ids: np.ndarray, questions: np.ndarray, k: int, metric: str, least: np.ndarray | None = None
+    ) -> None:
         self.question_ids, self.questions = question_ids, questions.astype(np.float64)
+        self.rough = questions.astype(np.float32)
         self.k, self.sign = k, (1.0 if metric == INNER_PRODUCT else -1.0)
         self.squares = (self.questions**2).sum(axis=1)
+        self.lengths = np.sqrt(self.squares)
         empty = (np.empty(0, np.float32), np.empty(0, np.int64))
         self.best = [empty for _ in question_ids]
-        self.floor = np.full(len(question_ids), -np.inf)
-
-    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        # A vector that is not finite has no score, and must not push others out of the batch.
-        finite = np.isfinite(vectors).all(axis=1)
-        ids, vectors = ids[finite], vectors[finite].astype(np.float64)
-        if not len(ids):
+        self.least = np.full(len(question_ids), -np.inf) if least is None else least.astype(np.float64)
+        self.floor = self.least.copy()
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, asking: np.ndarray | None = None) -> None:
+        """``asking`` names the questions, by place, that these vectors can matter to; all if not given."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            squares = np.einsum("ij,ij->i", vectors, vectors)
+        if not np.isfinite(squares).all():
+            # A vector that is not finite has no score, and must not push others out of the batch.
+            finite = np.isfinite(vectors).all(axis=1)
+            ids, vectors = ids[finite], vectors[finite]
+        if not len(ids) or not len(self.question_ids):
             return
-        squares = (vectors**2).sum(axis=1)
-        for low in range(0, len(self.question_ids), _SCORE_BLOCK):
-            block = slice(low, min(low + _SCORE_BLOCK, len(self.question_ids)))
-            rough = self.questions[block] @ vectors.T
+        exact = (vectors.astype(np.float64) ** 2).sum(axis=1)
+        longest = math.sqrt(exact.max())
+        # Sums of so many products in single precision are off by this share at most.
+        error = 2 * (vectors.shape[1] + 4) * float(np.finfo(np.float32).eps)
+        narrow = longest < 1e15 and self.lengths.max() < 1e15  # products stay within single precision
+        every = np.arange(len(self.question_ids)) if asking is None else asking
+        for low in range(0, len(every), _SCORE_BLOCK):
+            block = every[low : low + _SCORE_BLOCK]
+            if narrow:
+                rough = self.rough[block] @ vectors.T
+            else:
+                rough = self.questions[block] @ vectors.T.astype(np.float64)
+            margin = error * self.lengths[block] * longest
             if self.sign < 0:
-                rough = 2 * rough - self.squares[block, None] - squares[None, :]
+                rough = 2 * rough - self.squares[block, None] - exact[None, :]
+                margin = 2 * margin + error * (self.squares[block] + exact.max())
+            floor = self.floor[block]
             if rough.shape[1] > self.k:
                 # The k-th best of this batch is a floor as good as the k-th best so far.
                 kth = np.partition(rough, rough.shape[1] - self.k, axis=1)[:, -self.k]
-                floor = np.maximum(self.floor[block], kth)
-            else:
-                floor = self.floor[block]
-            # The rough score may be off in the last digits, so candidates get some slack here
-            # and their final score below.
-            slack = floor - 1e-6 * (1.0 + np.abs(floor))
+                floor = np.maximum(floor, kth - margin)
+            # The candidates' final scores are rounded to single precision.
+            slack = floor - margin - 1e-6 * (1.0 + np.where(np.isfinite(floor), np.abs(floor), 0))
             rows, columns = np.nonzero(rough >= slack[:, None])
             if len(rows):
-                self._merge(low, rows, columns, ids, vectors)
+                self._merge(block, rows, columns, ids, vectors)
 
-    def _merge(self, low, rows, columns, ids, vectors) -> None:
+    def _merge(self, block, rows, columns, ids, vectors) -> None:
         edges = np.searchsorted(rows, np.arange(rows[0], rows[-1] + 2))
         for at in range(len(edges) - 1):
             picked = columns[edges[at] : edges[at + 1]]
             if not len(picked):
                 continue
-            row = low + int(rows[0]) + at
-            score = self._scores(self.questions[row], vectors[picked])
-            score = np.concatenate((self.best[row][0], score))
-            found = np.concatenate((self.best[row][1], ids[picked]))
+            row = int(block[int(rows[0]) + at])
+            score = self._scores(self.questions[row], vectors[picked].astype(np.float64))
+            reached = score >= self.least[row]
+            score = np.concatenate((self.best[row][0], score[reached]))
+            found = np.concatenate((self.best[row][1], ids[picked][reached]))
             order = np.lexsort((found, -score))[: self.k]
             self.best[row] = (score[order], found[order])
             if len(order) == self.k:
-                self.floor[row] = score[order[-1]]
+                self.floor[row] = max(score[order[-1]], self.least[row])
 
     def _scores(self, question: np.ndarray, vectors: np.ndarray) -> np.ndarray:
         """Higher is better; a row's score does not depend on its neighbours."""
@@ -136,7 +155,8 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def _scan(questions: Broadcast, k: int, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = BestK(*questions.value, k, metric)
+        ids, matrix, least = questions.value
+        best = BestK(ids, matrix, k, metric, least)
         for batch in batches:
             if batch.num_rows:
                 best.add(batch.column(0).to_numpy(zero_copy_only=False), _matrix(batch.column(1)))
@@ -145,31 +165,17 @@ def _scan(questions: Broadcast, k: int, metric: str):
     return run
 
 
-def _tile(k: int, metric: str):
-    def run(questions: pa.Table, corpus: pa.Table) -> pa.Table:
-        # A tile side that received no row leaves nothing to score.
-        if questions.num_rows == 0 or corpus.num_rows == 0:
-            best = BestK(np.empty(0, np.int64), np.empty((0, 1)), k, metric)
-        else:
-            best = BestK(
-                questions.column("query_id").to_numpy(), _matrix(questions.column("vector")), k, metric
-            )
-            ids, vectors = corpus.column("faiss_id").to_numpy(), _matrix(corpus.column("vector"))
-            for low in range(0, len(ids), 8192):
-                best.add(ids[low : low + 8192], vectors[low : low + 8192])
-        return pa.Table.from_batches([best.batch()])
-
-    return run
-
-
-def _merged(partial: DataFrame, k: int, metric: str) -> DataFrame:
+def merged(partial: DataFrame, k: int, metric: str) -> DataFrame:
     """The best k of each question from the tasks' own best k; ``rank`` counts from 0."""
     order = [F.desc("score") if metric == INNER_PRODUCT else F.asc("score"), F.asc("faiss_id")]
     salted = Window.partitionBy("query_id", "salt").orderBy(*order)
     whole = Window.partitionBy("query_id").orderBy(*order)
+    # About the root of the number of lists, so that either step merges as many.
+    shuffles = int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = min(_MAX_SALTS, max(8, math.isqrt(shuffles) * 4))
     # The limit is on the bare row number, so Spark cuts each group before it shuffles.
     return (
-        partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(_MERGE_SALTS)))
+        partial.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
         .withColumn("place", F.row_number().over(salted))
         .filter(F.col("place") <= k)
         .withColumn("place", F.row_number().over(whole))
@@ -183,27 +189,62 @@ def _merged(partial: DataFrame, k: int, metric: str) -> DataFrame:
     )
 
 
-def _in_tiles(
-    questions: DataFrame, n_questions: int, corpus: DataFrame, k: int, metric: str, sizes: tuple[int, int]
-) -> DataFrame:
-    """Both sides are spread over a grid of tiles by a hash of their unique ids; each tile holds a
-    bounded number of rows of either side."""
-    across = max(1, math.ceil(n_questions / sizes[0]))
-    down = max(1, math.ceil(corpus.count() / sizes[1]))
+@dataclass(frozen=True)
+class Asked:
+    """Questions ``query_id, vector`` as a written table, and how many there are."""
 
-    def place(key: str, tiles: int):
-        return F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int")
+    frame: DataFrame
+    n_questions: int
+    n_blocks: int
 
-    def every(tiles: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Ids and vectors of one block after the other, each small enough to be broadcast."""
+        for at in range(self.n_blocks):
+            part = self.frame.where(F.col("block") == at) if self.n_blocks > 1 else self.frame
+            few = part.select("query_id", "vector").toArrow()
+            if few.num_rows:
+                yield few.column("query_id").to_numpy(), _matrix(few.column("vector"))
 
-    left = questions.withColumns({"across": place("query_id", across)}).withColumn("down", every(down))
-    right = corpus.withColumns({"down": place("faiss_id", down)}).withColumn("across", every(across))
-    return (
-        left.groupBy("across", "down")
-        .cogroup(right.groupBy("across", "down"))
-        .applyInArrow(_tile(k, metric), _HIT_SCHEMA)
-    )
+
+def asked(questions: DataFrame, metric: str = INNER_PRODUCT, max_broadcast: int = MAX_BROADCAST_QUESTIONS) -> Asked:
+    """``questions(query_id, embedding)`` ready to be sent out, in blocks by a hash of their ids.
+
+    They are written once, so that whatever encodes them runs once; sizes come from the written table. Questions are scaled to
+    unit length for the inner product only; those without a vector take no part.
+    """
+    spark = questions.sparkSession
+    vector = F.col("embedding")
+    scaled = l2_normalize(vector) if metric == INNER_PRODUCT else vector.cast("array<float>")
+    path = scratch_path(spark, "questions")
+    questions.select(F.col("query_id").cast("long").alias("query_id"), scaled.alias("vector")).write.parquet(path)
+    table = spark.read.schema("query_id long, vector array<float>").parquet(path).where(F.col("vector").isNotNull())
+    size = table.agg(F.count("*").alias("rows"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension")).first()
+    most = max(1, min(max_broadcast, MAX_BROADCAST_BYTES // max(1, 4 * size["dimension"])))
+    if size["rows"] <= most:
+        return Asked(table, size["rows"], 1)
+    blocks = math.ceil(size["rows"] / most)
+    while True:
+        # A hash does not deal evenly, so there are as many blocks as it takes for the fullest to fit.
+        dealt = table.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+        fullest = dealt.groupBy("block").count().agg(F.max("count")).first()[0]
+        if fullest <= most or blocks >= 2 * size["rows"]:
+            break
+        blocks = math.ceil(blocks * max(1.2, fullest / most))
+    path = scratch_path(spark, "question-blocks")
+    dealt.write.partitionBy("block").parquet(path)
+    table = spark.read.schema("query_id long, vector array<float>, block int").parquet(path)
+    return Asked(table, size["rows"], blocks)
+
+
+def _floors(hits: DataFrame, ids: np.ndarray, k: int, metric: str) -> np.ndarray:
+    """The k-th best score of each question among some vectors, or nothing where there are fewer."""
+    last = hits.where(F.col("rank") == k - 1).select("query_id", "score").toArrow()
+    order = np.argsort(ids)
+    least = np.full(len(ids), -np.inf)
+    found = last.column("score").to_numpy()
+    at = order[np.searchsorted(ids[order], last.column("query_id").to_numpy())]
+    least[at] = found if metric == INNER_PRODUCT else -found
+    return least
 
 
 def top_k(
@@ -212,34 +253,41 @@ def top_k(
     k: int = 5,
     metric: str = INNER_PRODUCT,
     max_broadcast: int = MAX_BROADCAST_QUESTIONS,
-    tile_sizes: tuple[int, int] = (TILE_QUESTIONS, TILE_VECTORS),
 ) -> Hits:
     """Best k of ``corpus(faiss_id, embedding)`` for each of ``questions(query_id, embedding)``.
 
-    Questions are scaled to unit length for the inner product only. Rows without a vector take no
-    part. The result has ``query_id, faiss_id, score, rank``. Both tables are read more than once,
-    so they should be stored tables or cheap to compute.
+    Rows without a vector take no part. The result has ``query_id, faiss_id, score, rank``. Ids of questions are
+    unique. The corpus should be a stored table or cheap to compute: it is read once for each block of questions,
+    and one vector in SAMPLED of it once more if there are several blocks, whose tasks then keep only what
+    can be among the best k of all. The sample decides nothing but the floor, so results are exact.
     """
     vector = F.col("embedding")
-    asked = l2_normalize(vector) if metric == INNER_PRODUCT else vector.cast("array<float>")
-    questions = questions.filter(vector.isNotNull()).select(
-        F.col("query_id").cast("long").alias("query_id"), asked.alias("vector")
-    )
     corpus = corpus.filter(vector.isNotNull()).select(
         F.col("faiss_id").cast("long").alias("faiss_id"), vector.cast("array<float>").alias("vector")
     )
-    size = questions.agg(
-        F.count("*").alias("rows"), F.coalesce(F.max(F.size("vector")), F.lit(0)).alias("dimension")
-    ).first()
-    n_questions = size["rows"]
-    if n_questions <= max_broadcast and 4 * n_questions * size["dimension"] <= MAX_BROADCAST_BYTES:
-        few = questions.toArrow()
-        block = (few.column("query_id").to_numpy(), _matrix(few.column("vector")))
-        sent = questions.sparkSession.sparkContext.broadcast(block)
-        partial = corpus.mapInArrow(_scan(sent, k, metric), _HIT_SCHEMA)
-        return Hits(_merged(partial, k, metric), n_questions * k)
-    partial = _in_tiles(questions, n_questions, corpus, k, metric, tile_sizes)
-    return Hits(_merged(partial, k, metric), None)
+    sent = asked(questions, metric, max_broadcast)
+    sample = corpus.where(F.pmod(F.xxhash64("faiss_id"), F.lit(SAMPLED)) == 0)
+    partial = [corpus.limit(0).mapInArrow(_nothing, _HIT_SCHEMA)] if not sent.n_questions else []
+    for ids, matrix in sent.blocks():
+        least = None
+        if sent.n_blocks > 1:
+            first = _sent(corpus, (ids, matrix, None))
+            least = _floors(merged(sample.mapInArrow(_scan(first, k, metric), _HIT_SCHEMA), k, metric), ids, k, metric)
+            first.unpersist()
+        block = _sent(corpus, (ids, matrix, least))
+        partial.append(corpus.mapInArrow(_scan(block, k, metric), _HIT_SCHEMA))
+    found = partial[0]
+    for more in partial[1:]:
+        found = found.unionAll(more)
+    return Hits(merged(found, k, metric), sent.n_questions * k)
+
+
+def _sent(corpus: DataFrame, value: tuple) -> Broadcast:
+    return corpus.sparkSession.sparkContext.broadcast(value)
+
+
+def _nothing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield BestK(np.empty(0, np.int64), np.empty((0, 1)), 1, INNER_PRODUCT).batch()
 
 
 def with_chunk_rows(hits: Hits, chunks: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def data():
 
 
 @pytest.mark.parametrize("metric", [search.INNER_PRODUCT, search.L2])
-@pytest.mark.parametrize("options", [{}, {"max_broadcast": 3, "tile_sizes": (7, 90)}, {"max_broadcast": 0}])
+@pytest.mark.parametrize("options", [{}, {"max_broadcast": 11}, {"max_broadcast": 25}])
 @pytest.mark.parametrize("k", [1, 100, 1000])
 def test_equals_brute_force(spark, data, metric, options, k):
     query_ids, queries, ids, corpus = data
@@ -56,14 +56,14 @@ def test_equals_brute_force(spark, data, metric, options, k):
         **options,
     )
     assert rows_of(hits) == brute(query_ids, queries, ids, corpus, k, metric)
-    assert hits.max_rows == (None if options else 40 * k)
+    assert hits.max_rows == 40 * k
 
 
 def test_broadcast_is_bounded_by_bytes(spark, data, monkeypatch):
     query_ids, queries, ids, corpus = data
     monkeypatch.setattr(search, "MAX_BROADCAST_BYTES", 39 * 16 * 4)
     hits = search.top_k(frame(spark, "query_id", query_ids, queries), frame(spark, "faiss_id", ids, corpus), 5)
-    assert hits.max_rows is None
+    assert search.asked(frame(spark, "query_id", query_ids, queries)).n_blocks > 1
     assert rows_of(hits) == brute(query_ids, queries, ids, corpus, 5, search.INNER_PRODUCT)
 
 
@@ -181,3 +181,40 @@ def test_retrieve_takes_the_first_of_rows_that_share_an_id(spark):
     )
     found = retrieval.retrieve(question, corpus, chunks).orderBy("rank").collect()
     assert [(r["faiss_id"], r["chunk_id"], r["text"]) for r in found] == [(1, "a", "t1"), (2, None, "t2")]
+
+
+def test_blocks_of_questions_leave_the_vectors_where_they_are(spark, data, tmp_path):
+    query_ids, queries, ids, corpus = data
+    frame(spark, "faiss_id", ids, corpus).write.parquet(str(tmp_path / "corpus"))
+    stored = spark.read.parquet(str(tmp_path / "corpus"))
+    for options in ({}, {"max_broadcast": 9}):
+        plan = search.top_k(frame(spark, "query_id", query_ids, queries), stored, 5, **options).frame._jdf.queryExecution().executedPlan().toString()
+        assert all("vector#" not in line and "embedding#" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def test_questions_are_worked_out_once(spark, tmp_path):
+    from pyspark.sql.functions import udf
+
+    counted = spark.sparkContext.accumulator(0)
+
+    @udf("array<float>")
+    def encode(n):
+        counted.add(1)
+        return [float(n), 1.0]
+
+    questions = spark.range(50).select(F.col("id").alias("query_id"), encode("id").alias("embedding"))
+    corpus = frame(spark, "faiss_id", [1, 2, 3], np.array([[1.0, 0], [0.8, 0.6], [0, 1.0]]))
+    for limit in (8192, 7):
+        before = counted.value
+        search.top_k(questions, corpus, 2, max_broadcast=limit).frame.collect()
+        assert counted.value - before == 50
+
+
+def test_long_and_broken_vectors(spark):
+    rows = [(1, [1e30, 1e30]), (2, [1e-30, 0.0]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [3.0, 4.0]), (6, [3e18, 4e18])]
+    corpus = spark.createDataFrame(rows, "faiss_id long, embedding array<float>").coalesce(1)
+    questions = spark.createDataFrame([(7, [1.0, 1.0])], "query_id long, embedding array<float>")
+    found = search.top_k(questions, corpus, 9).frame.orderBy("rank").collect()
+    assert [r["faiss_id"] for r in found] == [1, 6, 5, 2]
+    near = search.top_k(questions, corpus, 9, search.L2).frame.orderBy("rank").collect()
+    assert [r["faiss_id"] for r in near][:2] == [2, 5]

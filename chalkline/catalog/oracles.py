@@ -9,6 +9,7 @@ from chalkline.catalog.fixtures import SCRIPT_WORDS
 from chalkline.functions.language import DISPLAY_NAMES, SCRIPTS, SPEECH_CODES
 from chalkline.functions.text import PLAIN_SPEECH_RULES, SPEECH_RULES
 from chalkline.operators import prompts, quiz
+from chalkline.schemas import BOOL, INT, LONG, MANIFEST
 
 TUTOR = "Asha"
 _BLANKS = "chr(9)||chr(10)||chr(11)||chr(12)||chr(13)||' '"
@@ -389,6 +390,18 @@ def statements() -> dict[str, str]:
         'local' AS catalog, 'default' AS schema, 'embeddings' AS source_table,
         '2024-01-01T00:00:00Z' AS created_at_utc, true AS normalize_embeddings, 'inner_product' AS metric
         FROM embeddings"""
+    fields = ", ".join(name for name in MANIFEST.fieldNames())
+    no_fields = ", ".join(f"NULL::{'INTEGER' if f.dataType == INT else 'BIGINT' if f.dataType == LONG else 'BOOLEAN' if f.dataType == BOOL else 'VARCHAR'} AS {f.name}" for f in MANIFEST)
+    content = _with("chunks", select="SELECT content FROM chunks")
+    page = "text AS page_text FROM documents"
+    assert content.count(page) == 1
+    revised = content.replace(page, "CASE WHEN (doc_id + 1) % 7 = 3 THEN text || ' Revised.' ELSE text END AS page_text FROM documents")
+    l2_hits = """SELECT query_id, vec_id AS faiss_id, round(CAST(distance AS DOUBLE), 6) AS score,
+                    CAST(place - 1 AS INTEGER) AS rank
+                FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place
+                    FROM (SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(q.embedding, e.embedding),
+                        lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))) AS FLOAT) AS distance
+                        FROM label_questions q CROSS JOIN embeddings e)) WHERE place <= 5"""
     return {
         "scan_pages": _with("raw_pages", select="SELECT * FROM raw_pages"),
         "page_counts": _with(
@@ -443,6 +456,28 @@ def statements() -> dict[str, str]:
                 (SELECT count(*) FROM both_sides WHERE n > 1) AS repeated_ids, false AS aligned""",
         "manifest": manifest,
         "manifest_read": manifest,
+        "manifest_files": f"""WITH given AS ({manifest})
+            SELECT {fields}, NULL::VARCHAR AS error, unnest(['good', 'extended']) AS kind FROM given
+            UNION ALL SELECT {no_fields}, 'the manifest names no embedding model', 'nameless'
+            UNION ALL SELECT {no_fields}, 'the manifest is not a whole JSON object', 'truncated'""",
+        "positional_alignment": """WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) AS place FROM documents),
+                v AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings)
+            SELECT count(*) FILTER (doc_id IS NOT NULL AND vec_id IS NOT NULL) AS n_positions,
+                count(*) FILTER (doc_id = vec_id) AS same_id, count(*) FILTER (doc_id <> vec_id) AS other_id,
+                count(*) FILTER (doc_id IS NULL OR vec_id IS NULL) AS without_partner,
+                (SELECT count(*) FROM documents JOIN embeddings ON vec_id = doc_id) AS matched_by_id
+            FROM c FULL JOIN v ON c.place = v.place""",
+        "corpus_vectors": """SELECT doc_id AS faiss_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS axis,
+                round(CAST(unnest(list_transform(v, lambda x: CAST(x::DOUBLE / norm AS FLOAT))) AS DOUBLE), 6) AS x
+            FROM (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x::DOUBLE * x::DOUBLE))) AS norm
+                FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x * 2 AS FLOAT)) AS v FROM embeddings))
+            JOIN documents ON doc_id = vec_id""",
+        "library_rebuild": f"""WITH first AS ({content}), second AS ({revised})
+            SELECT 1 AS version, count(*) AS n_chunks, count(DISTINCT content) AS n_contents, count(DISTINCT content) AS n_encoded,
+                count(*) AS n_vectors FROM first
+            UNION ALL SELECT 2, count(*), count(DISTINCT content),
+                count(DISTINCT content) FILTER (content NOT IN (SELECT content FROM first)), count(*) FROM second
+            UNION ALL SELECT 3, count(*), count(DISTINCT content), 0, count(*) FROM second""",
         "iso_timestamps": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS ts_text FROM events",
         "l2_normalize": f"""SELECT vec_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS axis,
                 round(CAST(unnest(CASE WHEN norm > 0 THEN list_transform(v, lambda x: CAST(x::DOUBLE / norm AS FLOAT)) ELSE v END)
@@ -462,15 +497,14 @@ def statements() -> dict[str, str]:
             select="""SELECT query_id, c.*, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank
                 FROM net JOIN corpus_chunks c USING (faiss_id)""",
         ),
-        "vector_search_l2": _with(
+        "vector_search_l2": _with("label_questions", select=l2_hits),
+        "vector_block_search": _with(
+            "net",
             "label_questions",
-            select="""SELECT query_id, vec_id AS faiss_id, round(CAST(distance AS DOUBLE), 6) AS score,
-                    CAST(place - 1 AS INTEGER) AS rank
-                FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place
-                    FROM (SELECT query_id, vec_id, CAST(list_sum(list_transform(list_zip(q.embedding, e.embedding),
-                        lambda p: pow(p[1]::DOUBLE - p[2]::DOUBLE, 2))) AS FLOAT) AS distance
-                        FROM label_questions q CROSS JOIN embeddings e)) WHERE place <= 5""",
+            select=f"""SELECT query_id, faiss_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank, 'inner_product' AS metric
+                FROM net UNION ALL SELECT *, 'l2' AS metric FROM ({l2_hits})""",
         ),
+        "vector_block_bounds": "SELECT vec_id AS faiss_id, true AS within_radius, true AS within_lengths FROM embeddings",
         "metadata_filter": _with(
             "filtered",
             select="""SELECT query_id, faiss_id, chunk_id, subject, class, chapter, round(score, 6) AS score,

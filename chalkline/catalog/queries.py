@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from chalkline.catalog import fixtures as fx
 from chalkline.functions import language, responses, text, vectors
 from chalkline.operators import chunking, conversation, embedding, index, ingest, joins, prompts
-from chalkline.operators import quiz, retrieval, search
+from chalkline.operators import quiz, retrieval, search, vector_blocks
+from chalkline.plans.incremental import update_library
 from chalkline.plans.library import ask, build_library
 from chalkline.session import scratch_path
 from chalkline.sources import tables
@@ -192,6 +193,62 @@ def manifest_read(spark, folder):
     return manifest_source.read_manifest(spark, path)
 
 
+@query
+def manifest_files(spark, folder):
+    """A good manifest, one with an unknown field, one without its model, and one that is broken off."""
+    good = F.to_json(F.struct("*"))
+    kinds = {
+        "good": good,
+        "extended": F.concat(F.lit('{"written_by":"test",'), F.substring(good, 2, 1 << 20)),
+        "nameless": F.regexp_replace(good, '"embedding_model":"[^"]*",', ""),
+        "truncated": F.left(good, F.length(good) - 9),
+    }
+    described, path = _manifest(spark, folder), scratch_path(spark, "manifests")
+    for kind, content in kinds.items():
+        described.select(content.alias("value")).coalesce(1).write.text(f"{path}/{kind}")
+    found = manifest_source.read_manifests(spark, f"{path}/*")
+    return found.withColumn("kind", F.regexp_extract("path", "/([a-z]+)/[^/]*$", 1)).drop("path")
+
+
+@query
+def positional_alignment(spark, folder):
+    """Documents as chunks in the order of their texts' lengths, against vectors in the order of their ids."""
+    path = scratch_path(spark, "positions")
+    chunks = fx.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "n_chars", "doc_id")
+    chunks.repartitionByRange(5, "n_chars", "doc_id").sortWithinPartitions("n_chars", "doc_id").write.parquet(f"{path}/chunks")
+    found = fx.table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "vec_id")
+    found.repartitionByRange(3, "vec_id").sortWithinPartitions("vec_id").write.parquet(f"{path}/vectors")
+    return index.positional_alignment(spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/vectors"))
+
+
+@query
+def corpus_vectors(spark, folder):
+    """Vectors of a stored table, of twice the length, given to documents by chunk id and scaled to length one."""
+    path = scratch_path(spark, "embeddings")
+    longer = F.transform("embedding", lambda x: (x * 2).cast("float")).alias("embedding")
+    tables.write_table(fx.table(spark, folder, "embeddings").select(F.concat(F.lit("v"), "vec_id").alias("chunk_id"), longer), path)
+    ids = fx.table(spark, folder, "documents").select(F.col("doc_id").alias("faiss_id"), F.concat(F.lit("v"), "doc_id").alias("chunk_id"))
+    found = index.corpus_vectors(ids, tables.read_embeddings(spark, path))
+    return found.select("faiss_id", F.posexplode("embedding").alias("axis", "x")).select(
+        "faiss_id", "axis", F.round(F.col("x").cast("double"), 6).alias("x")
+    )
+
+
+@query
+def library_rebuild(spark, folder):
+    """Three versions of one library: of all pages, after every seventh page was revised, and unchanged again."""
+    root = scratch_path(spark, "versions")
+    first = fx.raw_pages(spark, folder)
+    revised = F.when(F.col("page_num") % 7 == 3, F.concat("page_text", F.lit(" Revised."))).otherwise(F.col("page_text"))
+    second = first.withColumn("page_text", revised)
+    rows = []
+    for pages in (first, second, second):
+        made = update_library(ingest.clean_pages(pages), root, created_at=F.lit(CREATED_AT).cast("timestamp"))
+        counts = made.library.index().agg(F.count_distinct("text")).first()[0]
+        rows.append((made.version, made.n_chunks, counts, made.n_encoded, made.library.vectors().count()))
+    return spark.createDataFrame(rows, "version int, n_chunks long, n_contents long, n_encoded long, n_vectors long")
+
+
 @query
 def iso_timestamps(spark, folder):
     return fx.table(spark, folder, "events").select("event_id", text.utc_text(F.col("ts")).alias("ts_text"))
@@ -241,6 +298,39 @@ def vector_search_l2(spark, folder):
     )
 
 
+def _stored_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "vector-blocks")
+    tables.write_table(vector_blocks.vector_blocks(fx.vectors(spark, folder), 64), path)
+    return spark.read.schema(vector_blocks.BLOCKS).parquet(path)
+
+
+@query
+def vector_block_search(spark, folder):
+    """The hits of vector_search and vector_search_l2, from stored blocks."""
+    blocks, questions = _stored_blocks(spark, folder), fx.label_questions(spark, folder)
+    found = [
+        vector_blocks.top_k_blocks(questions, blocks, k, metric).frame.withColumn("metric", F.lit(metric))
+        for k, metric in ((100, search.INNER_PRODUCT), (5, search.L2))
+    ]
+    return _rounded(found[0].unionByName(found[1]))
+
+
+@query
+def vector_block_bounds(spark, folder):
+    """Every vector against what its block says of it, and the pairs that a search by length of hits has to cover."""
+    blocks = _stored_blocks(spark, folder)
+    held = blocks.select("mean", "radius", "shortest", "longest", F.posexplode("ids").alias("at", "faiss_id")).join(
+        fx.vectors(spark, folder), "faiss_id"
+    )
+    length = F.sqrt(vectors.inner_product(F.col("embedding"), F.col("embedding")))
+    distance = F.sqrt(vectors.squared_distance(F.col("embedding"), F.col("mean")))
+    return held.select(
+        "faiss_id",
+        (distance <= F.col("radius") + 1e-9).alias("within_radius"),
+        ((length >= F.col("shortest") - 1e-9) & (length <= F.col("longest") + 1e-9)).alias("within_lengths"),
+    )
+
+
 @query
 def metadata_filter(spark, folder):
     questions = fx.label_questions(spark, folder)

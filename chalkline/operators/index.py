@@ -89,6 +89,37 @@ def corpus_vectors(
     return normalized(matched) if normalize else matched
 
 
+def content_digest(text: Column) -> Column:
+    """What a vector is made from, in 32 bytes; null counts as empty, as it does to a model."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def with_position(stored: DataFrame, name: str = "position") -> DataFrame:
+    """``stored``, rows read from files, numbered 0..n-1 in the order of their files' names and their places in them."""
+    file, row = F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row")
+    return with_dense_id(stored.select("*", file, row), ["_file", "_row"], name).drop("_file", "_row")
+
+
+def positional_alignment(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """One row of counts of what goes wrong if stored vectors are given to stored chunks by position.
+
+    Positions both tables have, those whose chunk ids agree and differ, positions only one table has, and the chunks
+    that get a vector by their id, which is how ``corpus_vectors`` joins them.
+    """
+    left = with_position(chunks.select("chunk_id", "_metadata"))
+    right = with_position(embeddings.select(F.col("chunk_id").alias("vector_id"), "_metadata"))
+    both = left.drop("_metadata").join(right.drop("_metadata"), "position", "full")
+    met = F.col("chunk_id").isNotNull() & F.col("vector_id").isNotNull()
+    by_id = chunks.select("chunk_id").join(embeddings.select("chunk_id").distinct(), "chunk_id").agg(F.count("*").alias("matched_by_id"))
+    counts = both.agg(
+        F.count_if(met).alias("n_positions"),
+        F.count_if(met & (F.col("chunk_id") == F.col("vector_id"))).alias("same_id"),
+        F.count_if(met & (F.col("chunk_id") != F.col("vector_id"))).alias("other_id"),
+        F.count_if(~met).alias("without_partner"),
+    )
+    return counts.join(F.broadcast(by_id))  # one row each
+
+
 def alignment(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """One row of counts: chunks, vectors, and the chunk ids that only one side has.
 

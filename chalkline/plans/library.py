@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from chalkline.functions.text import strip
 from chalkline.operators.chunking import chunk_table
 from chalkline.operators.embedding import HashedWords, ModelFactory, embed
-from chalkline.operators.index import index_table, manifest
+from chalkline.operators.index import content_digest, index_table, manifest
 from chalkline.operators.prompts import answer_prompts
 from chalkline.operators.retrieval import ANSWER_K, retrieve
 from chalkline.sources.manifest import read_manifest, write_manifest
@@ -64,7 +64,7 @@ def build_library(
     write_manifest(library.spark.createDataFrame([], MANIFEST), library.path("manifest"))
     write_chunks(chunk_table(pages), library.path("chunks"))
     write_table(index_table(library.chunks()), library.path("index"))
-    write_table(embed(library.index(), "faiss_id", "text", factory, model_name, normalize), library.path("vectors"))
+    _write_vectors(library, factory, model_name, normalize)
     described = manifest(
         library.vectors(), model_name, catalog, schema, source_table, normalize, created_at,
         index_file="vectors", chunks_file="index",
@@ -73,23 +73,36 @@ def build_library(
     return library
 
 
+def _contents(library: Library) -> DataFrame:
+    return library.index().select("faiss_id", content_digest(F.col("text")).alias("digest"))
+
+
+def _write_vectors(library: Library, factory: ModelFactory, model: str, normalize: bool) -> None:
+    """Vectors, and then the digests of the texts they were made from."""
+    write_table(embed(library.index(), "faiss_id", "text", factory, model, normalize), library.path("vectors"))
+    write_table(_contents(library), library.path("contents"))
+
+
 def build_vectors(library: Library, factory: ModelFactory = HashedWords) -> bool:
     """The vectors of a finished library, by the model and normalization its manifest names.
 
     Nothing is done, and false returned, when as many vectors are there as the manifest and the index table
-    have; vectors that are missing or half written are made anew.
+    have, and every text is the one its vector was made from; vectors that are missing, half written or of other
+    texts are made anew. Only ids and digests are compared.
     """
     described = library.manifest().first()
     if described is None:
         raise ValueError("the library has no finished manifest; build it first")
     try:
         found = library.vectors().count()
+        made = library.spark.read.schema("faiss_id long, digest binary").parquet(library.path("contents"))
+        now = _contents(library).withColumnRenamed("digest", "now")
+        changed = not made.join(now, "faiss_id", "full").where(~F.col("digest").eqNullSafe(F.col("now"))).isEmpty()
     except AnalysisException:
-        found = None
-    if found == described["num_vectors"] == library.index().count():
+        found, changed = None, True
+    if found == described["num_vectors"] == library.index().count() and not changed:
         return False
-    model, normalize = described["embedding_model"], described["normalize_embeddings"]
-    write_table(embed(library.index(), "faiss_id", "text", factory, model, normalize), library.path("vectors"))
+    _write_vectors(library, factory, described["embedding_model"], described["normalize_embeddings"])
     return True
 
 

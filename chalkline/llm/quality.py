@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -79,31 +80,11 @@ def _weighted(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return _unit(np.hstack([trigrams, counts[:, TRIGRAMS:]]))
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model of rows with a label of 0 or 1.
-
-    At most ``sample_rows`` rows are kept, those whose texts have the smallest hashes; this is the bound of
-    everything the driver collects and broadcasts. Rows without a label take no part; a null text counts as
-    empty. Without any labelled row every text scores one half.
-    """
-    rows = labelled.select(
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(label).cast("double").alias("label")
-    ).where(F.col("label").isNotNull())
-
-    def features(batches):
-        for batch in _small(batches):
-            counts = _counts(batch)
-            cells = B.slices(counts.view(np.uint8).ravel(), np.arange(len(counts) + 1) * (4 * FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column("label"), cells.cast(pa.binary())], names=["label", "cells"])
-
-    chosen = rows.orderBy(F.xxhash64("text", F.lit("sample")), "text", "label").limit(sample_rows)
-    table = chosen.mapInArrow(features, "label double, cells binary").toArrow()
-    labels = table.column("label").to_numpy().astype(np.float32)
+def _learnt(labels: np.ndarray, counts: np.ndarray) -> Model:
+    """The weights of cells, the latent axes and the labelled rows on them; an eigendecomposition of the cells' products."""
     if not len(labels):
         empty = np.zeros((0, LATENT), np.float32)
         return Model(np.ones(TRIGRAMS, np.float32), np.zeros((FEATURES, LATENT), np.float32), empty, labels, 0.5)
-    data, _ = B.text_bytes(pa.concat_arrays(table.column("cells").chunks))
-    counts = data.view(np.float32).reshape(-1, FEATURES)
     weights = np.log((1 + len(counts)) / (1 + np.count_nonzero(counts[:, :TRIGRAMS], axis=0))).astype(np.float32) + 1
     matrix = _weighted(counts, weights)
     values, axes = np.linalg.eigh((matrix.T @ matrix).astype(np.float64))
@@ -111,6 +92,40 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", sample_ro
     return Model(weights, axes, _unit(matrix @ axes), labels, float(labels.mean()))
 
 
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "label", sample_rows: int = SAMPLE_ROWS
+) -> Model:
+    """A model of the texts of ``docs`` whose ids ``labels`` gives a label of 0 or 1.
+
+    Of the labels, those of the ``sample_rows`` smallest hashes of ids are used, which depends on ids alone. Only these few
+    ids meet the documents, in the scan, and only the cells of their texts, at most ``sample_rows`` rows of FEATURES numbers,
+    are sent to the one task that fits; the driver gets the model. Rows without a label or id take no part; a null text
+    counts as empty. Without any labelled row every text scores one half.
+    """
+    given = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("double").alias("label")).dropna()
+    few = given.withColumn("at", F.xxhash64("id", F.lit("sample"))).orderBy("at", "id", "label").limit(sample_rows)
+    rows = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            counts = _counts(batch)
+            cells = B.slices(counts.view(np.uint8).ravel(), np.arange(len(counts) + 1) * (4 * FEATURES)).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("at"), batch.column("label"), cells], names=["at", "label", "cells"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(batch.column(0).to_numpy(), B.text_bytes(batch.column(1))[0]) for batch in batches]
+        labels = np.concatenate([x[0] for x in found] or [np.zeros(0)]).astype(np.float32)
+        counts = np.concatenate([x[1] for x in found] or [np.zeros(0, np.uint8)]).view(np.float32).reshape(-1, FEATURES)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(_learnt(labels, counts))], pa.binary())], names=["model"])
+
+    met = rows.join(F.broadcast(few), "id").select("at", "label", "text")
+    cells = met.mapInArrow(features, "at long, label double, cells binary")
+    # Ids may repeat among the documents; the bound holds all the same.
+    bounded = cells.orderBy("at", "cells", "label").limit(sample_rows).select("label", "cells").coalesce(1)
+    found = bounded.mapInArrow(learn, "model binary").first()
+    return pickle.loads(found["model"]) if found else _learnt(np.zeros(0, np.float32), np.zeros((0, FEATURES), np.float32))
+
+
 def _votes(vectors: np.ndarray, model: Model) -> np.ndarray:
     """The mean label of the nearest labelled vectors, weighted by similarity."""
     if not len(model.labels):

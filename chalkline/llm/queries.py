@@ -26,16 +26,15 @@ def fold(folds: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % folds
 
 
-def labelled_texts(spark: SparkSession, folder: str) -> DataFrame:
-    """Texts with the quality of their label, without those held out."""
+def quality_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality labels, without those held out."""
     labels = spark.read.parquet(f"{folder}/labels.parquet").where(fold(QUALITY_FOLDS) != 0)
-    labels = labels.select("doc_id", F.col("quality").alias("label"))
-    return documents(spark, folder).select("doc_id", "text").join(labels, "doc_id")
+    return labels.select("doc_id", F.col("quality").alias("label"))
 
 
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
-    model = quality.fit(labelled_texts(spark, folder))
-    scored = quality.score(documents(spark, folder).select("doc_id", "text"), model)
+    docs = documents(spark, folder).select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, quality_labels(spark, folder)))
     return scored.select(
         "doc_id",
         (fold(QUALITY_FOLDS) == 0).alias("held_out"),

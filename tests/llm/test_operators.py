@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.llm import bpe, brown, exact, jaccard, lines, packing, pii, quality, sketch, suffix
+from chalkline.llm import bpe, brown, exact, jaccard, packing, pii, sketch, suffix
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -34,25 +34,6 @@ def shingles(text):
     return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
 
-# Quality
-
-
-def test_quality_scores_every_row_and_learns(spark, docs, nothing, texts):
-    noisy = [("&&& ".join(t.split(" ")), 0.0) for _, t in texts[:40]]
-    labelled = spark.createDataFrame([(t, 1.0) for _, t in texts[:40]] + noisy + [(None, None), ("", 1.0)], "text string, label double")
-    model = quality.fit(labelled)
-    scored = quality.score(docs, model)
-    assert scored.columns == ["doc_id", "text", "source", "row", "n", "score"]
-    rows = scored.collect()
-    assert len(rows) == len(texts) and all(0 <= r["score"] <= 1 for r in rows)
-    assert {r["score"] for r in rows if not r["text"]} == {model.prior}
-    bad = spark.createDataFrame([("ab&&& cdé&&& ab&&& abc&&& e&&& dd&&&",)], "text string")
-    assert quality.score(bad, model).first()["score"] < 0.5 < min(r["score"] for r in rows if r["doc_id"] in range(10))
-    assert quality.score(nothing, model).count() == 0
-    empty = quality.fit(labelled.limit(0))
-    assert {r["score"] for r in quality.score(docs, empty).collect()} == {0.5}
-
-
 # Exact duplicates
 
 

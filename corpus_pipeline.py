@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chalkline.llm import jaccard, lines, packing, pii, quality
-from chalkline.llm.queries import documents, labelled_texts, word_tokenizer
+from chalkline.llm.queries import documents, quality_labels, word_tokenizer
 from chalkline.session import scratch_path, tune
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. Ids held out for its test teach it nothing here either."""
-    model = quality.fit(labelled_texts(tune(spark), sf_dir))
+    spark = tune(spark)
+    model = quality.fit(documents(spark, sf_dir), quality_labels(spark, sf_dir))
     scored = quality.score(docs, model, name="__score")
     return scored.where(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,41 +41,87 @@ MIN_SEEDS = 3  # distinct known identifiers that a pattern must have led to
 MIN_CONFIDENCE = 0.8
 
 _SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
+_CHARS = 512  # code points of a block of a text that is redacted
+_BLOCK = 128  # elements of an array that grows; appending to a longer one would copy it ever again
+
+
+def _running(items: Column, kind: str, zero: Column, step, result: str, emit) -> Column:
+    """``emit(state, item)`` of every item in order, the state being ``step`` applied to all items before it.
+
+    Blocks of items are folded to find the state each of them begins with, then each is walked by itself, so the
+    work grows with the number of items however many there are.
+    """
+
+    def found(items: Column) -> Column:
+        count = F.ceil(F.size(items) / _BLOCK).cast("int")
+        numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+
+        def states(blocks: Column) -> Column:
+            after = lambda state, item: step(state, item).cast(kind)
+            begun = F.aggregate(
+                blocks,
+                F.array(zero.cast(kind)).cast(f"array<{kind}>"),
+                lambda all_, block: F.array_append(all_, F.aggregate(block, F.element_at(all_, -1), after)).cast(f"array<{kind}>"),
+            )
+            walk = f"struct<state:{kind},out:array<{result}>>"
+
+            def walked(block: Column, state: Column) -> Column:
+                start = F.struct(state.alias("state"), F.array().cast(f"array<{result}>").alias("out")).cast(walk)
+                return F.aggregate(
+                    block,
+                    start,
+                    lambda so, item: F.struct(
+                        after(so["state"], item).alias("state"), F.array_append(so["out"], emit(so["state"], item).cast(result)).alias("out")
+                    ).cast(walk),
+                    lambda so: so["out"],
+                )
+
+            return F.flatten(F.zip_with(blocks, F.slice(begun, F.lit(1), F.size(blocks)), walked))
+
+        return let(F.transform(numbers, lambda i: F.slice(items, i * _BLOCK + 1, F.lit(_BLOCK))), states)
+
+    return let(items, found)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """All matches with their places in code points and the characters of the text on either side."""
+    chars = F.lit(CONTEXT_CHARS)
 
     def placed(pieces: Column) -> Column:
         pairs = F.arrays_zip(
             F.slice(pieces, F.lit(1), F.size(pieces) - 1).alias("piece"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"),
         )
-        chars = F.lit(CONTEXT_CHARS)
-        head = F.left(F.element_at(pieces, -1), chars)
-        after = F.struct(head.alias("head"), F.array().cast("array<string>").alias("rights"))
-
-        def back(state: Column, pair: Column) -> Column:
-            head = F.left(F.concat(F.left(pair["piece"], chars), F.left(pair["value"], chars), state["head"]), chars)
-            return F.struct(head.alias("head"), F.array_append(state["rights"], state["head"]).alias("rights"))
-
-        rights = F.reverse(F.aggregate(F.reverse(pairs), after, back, lambda state: state["rights"]))
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), F.array().cast(_SPAN).alias("spans"))
-
-        def add(state: Column, pair: Column) -> Column:
-            begin = state["at"] + F.length(pair["piece"])
-            end = begin + F.length(pair["value"])
-            left = F.right(F.concat(state["tail"], F.right(pair["piece"], chars)), chars)
-            tail = F.right(F.concat(left, F.right(pair["value"], chars)), chars)
-            span = F.struct(
-                begin.alias("start"), end.alias("end"), pair["value"].alias("value"), left.alias("left"), pair["right"].alias("right")
+
+        def head(after: Column, pair: Column) -> Column:
+            return F.left(F.concat(F.left(pair["piece"], chars), F.left(pair["value"], chars), after), chars)
+
+        backwards = let(pairs, lambda every: _running(F.reverse(every), "string", F.left(F.element_at(pieces, -1), chars), head, "string", lambda after, _: after))
+        state = "struct<at:int,tail:string>"
+
+        def left_of(before: Column, item: Column) -> Column:
+            return F.right(F.concat(before["tail"], F.right(item["piece"], chars)), chars)
+
+        def passed(before: Column, item: Column) -> Column:
+            return F.struct(
+                (before["at"] + F.length(item["piece"]) + F.length(item["value"])).alias("at"),
+                F.right(F.concat(left_of(before, item), F.right(item["value"], chars)), chars).alias("tail"),
             )
-            return F.struct(end.alias("at"), tail.alias("tail"), F.array_append(state["spans"], span).alias("spans"))
+
+        def span(before: Column, item: Column) -> Column:
+            begin = before["at"] + F.length(item["piece"])
+            return F.struct(
+                begin.alias("start"), (begin + F.length(item["value"])).alias("end"), item["value"].alias("value"),
+                left_of(before, item).alias("left"), item["right"].alias("right"),
+            )
 
         both = F.zip_with(
-            pairs, rights, lambda pair, right: F.struct(pair["piece"].alias("piece"), pair["value"].alias("value"), right.alias("right"))
+            pairs,
+            F.reverse(backwards),
+            lambda pair, right: F.struct(pair["piece"].alias("piece"), pair["value"].alias("value"), right.alias("right")),
         )
-        return F.aggregate(both, start, add, lambda state: state["spans"])
+        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+        return _running(both, state, zero, passed, _SPAN.removeprefix("array<").removesuffix(">"), span)
 
     return let(F.split(text, pattern, -1), placed)
 
@@ -110,8 +158,26 @@ def base_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(_SIGNS[kind]), found).otherwise(F.array().cast(_SPAN))
 
 
-def _candidates(text: Column, taken: Column) -> Column:
-    """Addresses, runs of digit groups, and words with several digits that overlap no span of ``taken``."""
+def _meets(spans: Column, one: Column) -> Column:
+    """Whether ``one`` overlaps any of some spans in order that do not overlap each other, by halving."""
+    halvings = F.sequence(F.lit(1), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    every = F.struct(F.lit(0).alias("low"), F.size(spans).alias("high"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        before = F.get(spans, middle)["start"] < one["end"]
+        return F.struct(
+            F.when(before, middle).otherwise(state["low"]).alias("low"), F.when(before, state["high"]).otherwise(middle).alias("high")
+        )
+
+    last = F.aggregate(halvings, every, halve, lambda state: F.get(spans, state["low"]))
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(
+        let(last, lambda span: (span["start"] < one["end"]) & (one["start"] < span["end"]))
+    )
+
+
+def _candidates(text: Column, taken: list[Column]) -> Column:
+    """Addresses, runs of digit groups, and words with several digits that overlap no span of the arrays ``taken``."""
 
     def trimmed(span: Column) -> Column:
         lead, core, rest = (F.regexp_extract(span["value"], _CORE, i) for i in (1, 2, 3))
@@ -125,7 +191,7 @@ def _candidates(text: Column, taken: Column) -> Column:
     free = F.filter(
         found,
         lambda one: ((F.length(_digits(one["value"])) >= MIN_DIGITS) | one["value"].rlike(f"^(?:{_ADDRESS})"))
-        & ~F.exists(taken, lambda span: (span["start"] < one["end"]) & (one["start"] < span["end"])),
+        & ~reduce(Column.__or__, [_meets(spans, one) for spans in taken]),
     )
     signs = rf"@|{_AT}|\x20at\x20|[0-9](?:[^0-9]*+[0-9]){{{MIN_DIGITS - 1}}}"
     return F.when(text.rlike(signs), free).otherwise(F.array().cast(_SPAN))
@@ -153,7 +219,7 @@ def _read(docs: DataFrame, text: str) -> DataFrame:
     """One pass over the texts: the base spans by kind, and candidates, with their patterns."""
     body = F.coalesce(F.col(text), F.lit(""))
     spans = docs.select("*", *[base_spans(body, kind).alias(f"__{kind}") for kind in KINDS])
-    taken = F.concat(*[F.col(f"__{kind}") for kind in KINDS])
+    taken = [F.col(f"__{kind}") for kind in KINDS]
 
     def narrow(column: Column) -> Column:
         return F.transform(
@@ -279,33 +345,55 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
+def _between(blocks: Column, low: Column, high: Column) -> Column:
+    """The code points from ``low`` up to ``high`` of a text in blocks of _CHARS; a substring of all of it would count them from its start."""
+
+    def part(i: Column) -> Column:
+        first = F.greatest(low - i * _CHARS, F.lit(0))
+        return F.substring(F.get(blocks, i), first + 1, F.least(high - i * _CHARS, F.lit(_CHARS)) - first)
+
+    numbers = F.sequence(F.floor(low / _CHARS).cast("int"), F.floor((high - 1) / _CHARS).cast("int"))
+    return F.when(high > low, F.array_join(F.transform(numbers, part), "")).otherwise(F.lit(""))
+
+
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``, all rows and columns, with each span of personal data in ``text`` replaced by its kind.
 
-    An email address becomes ``<EMAIL>`` and so on; where spans overlap the first one counts. Texts without
-    any, null ones among them, stay as they are. Spans come back to the texts by the digests of these.
+    An email address becomes ``<EMAIL>`` and so on; spans that overlap become one mark, that of the first, so nothing of any
+    is left. Texts without any, null ones among them, stay as they are. Spans come back to the texts by the digests
+    of these; columns of any name pass.
     """
     digest = F.sha2(F.col(text), 256)
-    spans = find(docs.select(digest.alias("__digest"), F.col(text).alias("__text")), "__digest", "__text")
-    hits = spans.where(F.size("spans") > 0).groupBy(F.col("key").alias("__key")).agg(F.first("spans").alias("__spans"))
+    spans = find(docs.select(digest.alias("key"), F.col(text).alias("body")), "key", "body")
+    hits = spans.where(F.size("spans") > 0).groupBy(F.col("key").alias("hit")).agg(F.first("spans").alias("spans"))
+    rows = docs.select(F.struct(*[docs[name] for name in docs.columns]).alias("row"), docs[text].alias("body"))
+    joined = rows.withColumn("digest", F.sha2("body", 256)).join(hits, F.col("digest") == F.col("hit"), "left")
     marks = F.array(*[F.lit(f"<{kind.upper()}>") for kind in KINDS])
-    joined = docs.withColumn("__digest", digest).join(hits, F.col("__digest") == F.col("__key"), "left")
-    body = F.col(text)
-
-    def step(state: Column, span: Column) -> Column:
-        between = F.substring(body, state["at"] + 1, span["start"] - state["at"])
-        out = F.concat(state["out"], between, F.get(marks, span["kind"]))
-        later = F.struct(span["end"].alias("at"), out.alias("out"))
-        return F.when(span["start"] >= state["at"], later).otherwise(state)
-
-    cleaned = F.aggregate(
-        "__spans",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        step,
-        lambda state: F.concat(state["out"], F.substring(body, state["at"] + 1, F.length(body))),
-    )
-    cleaned = F.when(F.col("__spans").isNull(), body).otherwise(cleaned)
-    return joined.select(*[cleaned.alias(text) if name == text else F.col(name) for name in docs.columns])
+    body = F.col("body")
+
+    def cleaned(spans: Column) -> Column:
+        # Where the text before a span ends that no earlier span covers, and the mark of a span that begins there.
+        reach = lambda end, span: F.greatest(end, span["end"])
+        cut = "struct<from:int,upto:int,mark:string>"
+        cuts = _running(
+            spans, "int", F.lit(0), reach, cut,
+            lambda end, span: F.struct(
+                end.alias("from"), F.greatest(end, span["start"]).alias("upto"),
+                F.when(span["start"] >= end, F.get(marks, span["kind"])).otherwise(F.lit("")).alias("mark"),
+            ),
+        )
+        last = F.aggregate(spans, F.lit(0), reach)
+        return let(
+            F.regexp_extract_all(body, F.lit(f"(?s).{{1,{_CHARS}}}"), F.lit(0)),
+            lambda blocks: F.concat(
+                F.array_join(F.transform(cuts, lambda c: F.concat(_between(blocks, c["from"], c["upto"]), c["mark"])), ""),
+                _between(blocks, last, F.length(body)),
+            ),
+        )
+
+    changed = F.when(F.col("spans").isNull(), body).otherwise(cleaned(F.col("spans")))
+    out = joined.withColumn("cleaned", changed)
+    return out.select(*[F.col("cleaned").alias(text) if name == text else F.col("row")[name].alias(name) for name in docs.columns])
 
 
 def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

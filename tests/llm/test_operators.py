@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.llm import bpe, brown, exact, jaccard, packing, pii, sketch, suffix
+from chalkline.llm import bpe, brown, exact, jaccard, packing, sketch, suffix
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -281,84 +281,6 @@ def test_fingerprints_estimate_likeness(docs, nothing, texts):
     assert sketch.fingerprints_and_edits(nothing).count() == 0
 
 
-# Personal data
-
-PLAIN = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
-    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
-    "card": r"[0-9]([\x20-]?[0-9])+",
-    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-}
-
-
-def luhn(digits):
-    doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
-    return sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
-
-
-def passes(kind, found):
-    digits = re.sub("[^0-9]", "", found)
-    if kind == "ip":
-        return all(int(part) <= 255 for part in found.split("."))
-    if kind == "card":
-        return 14 <= len(digits) <= 19 and luhn(digits)
-    return kind == "email" or 10 <= len(digits) <= 15
-
-
-def base_spans(text):
-    found = [(m.start(), k, m.end()) for k, kind in enumerate(PLAIN) for m in re.finditer(PLAIN[kind], text) if passes(kind, m.group())]
-    return [f"{list(PLAIN)[k]}:{a}:{b}" for a, k, b in sorted(found)]
-
-
-def test_base_spans_of_odd_texts(spark, docs, nothing, texts):
-    random.seed(9)
-    parts = ["a", "@", ".", "-", "b.c", "_", "+", "1", "25", "300", " ", "(", ")", "4111111111111111", "é", "😀", "+1 017 555 7713", "x@y.z", "10.0.0.1", "\n"]
-    odd = [(1000 + i, "".join(random.choice(parts) for _ in range(random.randint(1, 14)))) for i in range(1500)]
-    rows = [*odd, *texts, (3000, "x" * 30000 + "@"), (3001, "9" * 3000), (3002, "1." * 2000)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    found = collections.Counter((r["doc_id"], r["base_sha256"]) for r in pii.report(table).collect())
-    assert found == collections.Counter((i, sha(",".join(base_spans(t or "")))) for i, t in rows)
-    assert pii.report(nothing).count() == 0
-
-
-def test_contexts_find_unseen_identifiers_and_redaction_hides_all(spark):
-    rows = [(i, f"please write to user{i}x@mail{i}.org today") for i in range(6)]
-    rows += [(10, "please write to user4711-at-home today"), (11, "the years 1998 and 20000 were long"), (12, None)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
-    assert spans[10] == "email:16:32" and spans[11] == spans[12] == ""
-    hidden = {r["doc_id"]: r["text"] for r in pii.redact(table).collect()}
-    assert hidden[3] == "please write to <EMAIL> today" == hidden[10]
-    assert hidden[11] == rows[7][1] and hidden[12] is None
-
-
-def test_contexts_on_both_sides_of_candidates_of_all_shapes(spark):
-    rows = [(i, f"you can reach us at +1 017 555 77{i}{i} or +1 018 555 66{i}{i} during office hours") for i in range(9)]
-    rows += [(20 + i, f"Phone: +1 019 555 88{i}{i}") for i in range(9)]
-    rows += [(40 + i, f"please mail to user{i}x@mail{i}.org soon") for i in range(9)]
-    unknown = [
-        ("us at ", "5551234567"), ("us at ", "(555) 123-4567"), ("we said us at ", "555 123 4567"), ("Phone: ", "5552345678"),
-        ("us at 5551234567 or ", "5559876543"), ("in 1998 please mail to ", "jane.doe(at)corp.com"), ("mail to ", "jo at corp dot com"),
-        ("", "555 4321 987", " during office hours"),
-    ]
-    rows += [(100 + i, "".join(x)) for i, x in enumerate(unknown)]
-    spans = {r["doc_id"]: r["spans"].split(",") for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i, (left, value, *_) in enumerate(unknown):
-        kind = "email" if "corp" in value else "phone"
-        assert f"{kind}:{len(left)}:{len(left) + len(value)}" in spans[100 + i], (left, value, spans[100 + i])
-
-
-def test_contexts_are_followed_until_nothing_new_is_found(spark):
-    rows, stages = [], ["zero", "one", "two", "three", "four", "five", "six", "seven"]
-    for k, word in enumerate(stages):  # each leads to the next stage's numbers once its own are known
-        rows += [f"call {word} +1 017 555 {k}{i:03d}" for i in range(20)]
-        rows += [f"call {word} {k}000{i}99" for i in range(4) if k]
-        rows += [f"call {word} {k + 1}000{i}99" for i in range(4)]
-    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    spans = {r["doc_id"]: r["spans"] for r in pii.report(table).collect()}
-    assert all(spans[i].startswith("phone:") for i in range(len(rows)))
-
-
 # Jaccard
 
 

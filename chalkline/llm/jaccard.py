@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from chalkline.llm import blocks as B
 from chalkline.llm.components import components, saved
+from chalkline.operators.joins import join_small
 from chalkline.session import scratch_path
 
 WORDS = 5
@@ -19,8 +20,13 @@ LONGEST_SMALL = 48  # the boundary between small and large sets is sought up to
 SPLIT = 4096  # postings of one frequent shingle that a task gets at most
 SIDS = 2**20  # candidates up to which their numbers are broadcast: 8 MB
 
-_COUNTED, _SUMS = 0, 1
-_NAMED = "doc_id long, digest binary, n long, sid long, second long"
+_COUNTED, _SUMS, _NAMES = 0, 1, 2
+_NAME_FIELDS = ("doc_id", "digest", "n", "sid", "second")
+_FOUND = "kind int, home int, key long, times double, doc_id long, digest binary, n long, sid long, second long"
+_FOUND_ARROW = pa.schema(
+    [("kind", pa.int32()), ("home", pa.int32()), ("key", pa.int64()), ("times", pa.float64())]
+    + [("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sid", pa.int64()), ("second", pa.int64())]
+)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,71 +89,75 @@ def _sets(batches):
         yield hashes[B.gather(firsts[keep], n[keep])], B.offsets_of(n[keep]), sids[keep], seconds[keep]
 
 
-def _named(texts: DataFrame) -> DataFrame:
-    """doc_id, digest, n, sid, second of every row."""
+def _named_and_counted(texts: DataFrame) -> tuple[DataFrame, dict[str, np.ndarray], float]:
+    """Names of every row's set, counts of the most frequent shingles, and how many postings a posting meets on average.
 
-    def run(batches):
-        for batch in B.text_blocks(batches, "text", B.BLOCK_BYTES // 2):
-            hashes, firsts = shingle_sets(*B.text_bytes(batch.column("text")))
-            sids, seconds = set_names(hashes, firsts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("digest"), pa.array(np.diff(firsts)), pa.array(sids), pa.array(seconds)],
-                names=["doc_id", "digest", "n", "sid", "second"],
-            )
-
-    return texts.mapInArrow(run, _NAMED)
-
-
-def _frequent(texts: DataFrame) -> tuple[dict[str, np.ndarray], float]:
-    """Counts of the most frequent shingles, and how many postings a posting meets on average.
-
-    All shingles of all distinct sets are counted. The counts only order the shingles of a set, so that the
-    rare ones are looked up; any order that is the same for all sets finds the same links.
+    One reading of the texts makes the sets for both. All shingles of all distinct sets are counted. The counts only order
+    the shingles of a set, so that the rare ones are looked up; any order that is the same for all sets finds the
+    same links. Names pass the tasks that count, in blocks, beside the counts.
     """
     spark, count = texts.sparkSession, B.partitions(texts)
 
     def send(batches):
-        for hashes, _, _, _ in _sets(batches):
-            homes, keys = _spread(hashes, count)
+        for batch in B.text_blocks(batches, "text", B.BLOCK_BYTES // 2):
+            hashes, firsts = shingle_sets(*B.text_bytes(batch.column("text")))
+            sids, seconds = set_names(hashes, firsts)
+            n, every = np.diff(firsts), pa.array(np.arange(batch.num_rows))
+            named = B.pack(batch.column("doc_id").take(every), batch.column("digest").take(every), n, sids, seconds)
+            rows = [(int(sids.view(np.uint64)[0] % np.uint64(count)), b"", _NAMES, named)]
+            keep = _first_of_equal(sids)
+            keep = keep[n[keep] > 0]
+            homes, keys = _spread(hashes[B.gather(firsts[keep], n[keep])], count)
             order = np.lexsort((keys, homes))
             homes, keys = homes[order], keys[order]
             bounds = np.searchsorted(homes, np.arange(count + 1))
-            yield B.parcels(
-                [
-                    (home, b"", 0, B.pack(B.planes(np.diff(keys[bounds[home] : bounds[home + 1]], prepend=np.uint32(0)))))
-                    for home in np.flatnonzero(np.diff(bounds)).tolist()
-                ]
-            )
+            for home in np.flatnonzero(np.diff(bounds)).tolist():
+                rows.append((home, b"", _COUNTED, B.pack(B.planes(np.diff(keys[bounds[home] : bounds[home + 1]], prepend=np.uint32(0))))))
+            yield B.parcels(rows)
 
     def add(batches):
         home, parts = 0, []
         for batch in batches:
             home = batch.column("target")[0].as_py() if batch.num_rows else home
-            parts += [np.cumsum(B.from_planes(B.unpack(x)[0]), dtype=np.uint32) for x in batch.column("payload").to_pylist()]
+            for kind, payload in zip(batch.column("kind").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                if kind == _NAMES:
+                    yield _record(_NAMES, **dict(zip(_NAME_FIELDS, B.unpack(payload), strict=True)))
+                else:
+                    parts.append(np.cumsum(B.from_planes(B.unpack(payload)[0]), dtype=np.uint32))
         if not parts:
             return
         keys, counts = np.unique(np.concatenate(parts), return_counts=True)
         often = np.flatnonzero(counts >= FREQUENT_FROM)
         often = often[np.argsort(-counts[often], kind="stable")[:FREQUENT]]
-        kinds = np.concatenate([np.full(len(often), _COUNTED), [_SUMS]])
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(kinds, pa.int32()), pa.array(np.full(len(kinds), home, np.int32)),
-                pa.array(np.concatenate([keys[often].astype(np.int64), [int(counts.sum())]])),
-                pa.array(np.concatenate([counts[often].astype(np.float64), [float((counts.astype(np.float64) ** 2).sum())]])),
-            ],
-            names=["kind", "home", "key", "n"],
-        )
-
-    schema = "kind int, home int, key long, n double"
-    path = scratch_path(spark, "shingle-counts")
-    B.deliver(texts.mapInArrow(send, B.PARCEL), count).mapInArrow(add, schema).write.parquet(path)
-    table = spark.read.schema(schema).parquet(path)
-    top = table.where(f"kind = {_COUNTED}").orderBy(F.desc("n"), "home", "key").limit(FREQUENT).toArrow()
+        homes = np.full(len(often), home, np.int32)
+        yield _record(_COUNTED, home=homes, key=keys[often].astype(np.int64), times=counts[often].astype(np.float64))
+        squares = float((counts.astype(np.float64) ** 2).sum())
+        yield _record(_SUMS, home=np.array([home], np.int32), key=np.array([counts.sum()]), times=np.array([squares]))
+
+    path = scratch_path(spark, "names-and-counts")
+    B.deliver(texts.mapInArrow(send, B.PARCEL), count).mapInArrow(add, _FOUND).write.parquet(path)
+    table = spark.read.schema(_FOUND).parquet(path)
+    top = table.where(f"kind = {_COUNTED}").select("home", "key", "times").orderBy(F.desc("times"), "home", "key").limit(FREQUENT).toArrow()
     codes = top.column("home").to_numpy().astype(np.int64) << 32 | top.column("key").to_numpy()
     order = np.argsort(codes)
-    met = table.where(f"kind = {_SUMS}").agg(F.sum("n") / F.sum("key")).first()[0]
-    return {"codes": codes[order], "counts": top.column("n").to_numpy().astype(np.int64)[order]}, met or 1.0
+    met = table.where(f"kind = {_SUMS}").agg(F.sum("times") / F.sum("key")).first()[0]
+    frequent = {"codes": codes[order], "counts": top.column("times").to_numpy().astype(np.int64)[order]}
+    return table.where(f"kind = {_NAMES}").select(*_NAME_FIELDS), frequent, met or 1.0
+
+
+def _record(kind: int, **columns) -> pa.RecordBatch:
+    """Rows of the table of names and counts; columns that are not given are null."""
+    rows = len(next(iter(columns.values())))
+    arrays = []
+    for field in _FOUND_ARROW:
+        if field.name == "kind":
+            arrays.append(pa.array(np.full(rows, kind, np.int32)))
+        elif field.name in columns:
+            value = columns[field.name]
+            arrays.append((value if isinstance(value, pa.Array) else pa.array(value)).cast(field.type))
+        else:
+            arrays.append(pa.nulls(rows, field.type))
+    return pa.RecordBatch.from_arrays(arrays, schema=_FOUND_ARROW)
 
 
 def boundary(sizes: dict[int, int], met: float) -> int:
@@ -280,23 +290,23 @@ def _pairs(left, right):
     return F.array_sort(F.array(left, right))
 
 
-def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs of nodes whose sets are similar enough; each needed set is made again from its text."""
-    spark = texts.sparkSession
+def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs of nodes whose sets are similar enough; each needed set is made again from one of its texts.
+
+    While they are few, the ids of the rows with these sets go to the scan, and only their texts are read as words.
+    """
     nodes = saved(pairs.select(F.explode("pair").alias("node")).distinct(), "candidates")
-    wanted = None
+    of_node = named.select("doc_id", F.struct("sid", "second").alias("node")).join(nodes, "node", "left_semi")
+    wanted = of_node.groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct()
     if nodes.count() <= SIDS:
-        sids = nodes.select(F.col("node.sid").alias("sid")).toArrow().column("sid").to_numpy()
-        wanted = spark.sparkContext.broadcast(np.unique(sids))
+        texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
+    texts = texts.select("text")
 
     def make(batches):
         for hashes, firsts, sids, seconds in _sets(batches):
-            own = np.arange(len(sids)) if wanted is None else np.flatnonzero(np.isin(sids, wanted.value))
-            if len(own):
-                n = np.diff(firsts)[own]
-                data = hashes[B.gather(firsts[:-1][own], n)].view(np.uint8)
+            if len(sids):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(sids[own]), pa.array(seconds[own]), B.slices(data, 8 * B.offsets_of(n)).cast(pa.binary())],
+                    [pa.array(sids), pa.array(seconds), B.slices(hashes.view(np.uint8), 8 * firsts).cast(pa.binary())],
                     names=["sid", "second", "items"],
                 )
 
@@ -344,12 +354,8 @@ def _linked_rows(docs: DataFrame, doc_id: str, text: str, digest) -> DataFrame:
     """Rows as of ``linked_documents`` with ``digest`` and the label of their component; null for an empty set."""
     spark = docs.sparkSession
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), digest.alias("digest"), F.col(text).alias("text"))
-    path = scratch_path(spark, "set-names")
-    _named(texts).write.parquet(path)
-    named = spark.read.schema(_NAMED).parquet(path)
+    named, frequent, met = _named_and_counted(texts)
     bodies = texts.select("text")
-
-    frequent, met = _frequent(bodies)
     sizes = dict(
         named.where(f"n between 1 and {2 * LONGEST_SMALL}").select("n", "sid", "second").distinct().groupBy("n").count().collect()
     )
@@ -368,7 +374,7 @@ def _linked_rows(docs: DataFrame, doc_id: str, text: str, digest) -> DataFrame:
         .distinct()
     )
     first = saved(stars, "first-pairs")
-    links = saved(_verified(bodies, first), "first-links")
+    links = saved(_verified(texts, named, first), "first-links")
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     held = postings.join(label.withColumnRenamed("id", "node"), "node", "left").select(
@@ -386,15 +392,17 @@ def _linked_rows(docs: DataFrame, doc_id: str, text: str, digest) -> DataFrame:
     )
     second = saved(rest, "second-pairs")
     if not second.isEmpty():
-        links = links.unionByName(saved(_verified(bodies, second), "second-links"))
+        links = links.unionByName(saved(_verified(texts, named, second), "second-links"))
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
     groups = named.where("n > 0").groupBy("sid", "second").agg(F.min("doc_id").alias("least"))
     groups = groups.select(F.struct("sid", "second").alias("node"), "least")
-    groups = groups.join(label.withColumnRenamed("id", "node"), "node", "left")
-    groups = groups.select("node", "least", F.coalesce("label", "node").alias("label"))
-    lowest = groups.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_set = groups.join(lowest, "label").select("node", "label", "component_id")
+    groups = saved(groups.join(label.withColumnRenamed("id", "node"), "node", "left"), "labelled-sets")
+    # A component of very many sets is one label: few labels go to the sets, else adaptive execution splits the sets.
+    lowest = groups.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("component_id"))
+    linked = join_small(groups, lowest, "label").select("node", "label", "component_id")
+    alone = groups.where(F.col("label").isNull()).select("node", F.col("node").alias("label"), F.col("least").alias("component_id"))
+    by_set = linked.unionByName(alone)
     rows = named.withColumn("node", F.when(F.col("n") > 0, F.struct("sid", "second")))
     return rows.join(by_set, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "digest", "label"
@@ -410,10 +418,12 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     digest = F.unhex(F.sha2(F.col(text), 256))
     rows = _linked_rows(docs, doc_id, text, digest).where(F.col("label").isNotNull())
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
-    kept = rows.groupBy("label").agg(least).select(F.col("least.doc_id").alias("__kept"), F.col("least.digest").alias("__text"))
+    kept = rows.groupBy("label").agg(least).select(F.col("least.doc_id").alias("kept"), F.col("least.digest").alias("kept_text"))
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    marked = docs.where(worded).withColumn("__id", F.col(doc_id).cast("long")).withColumn("__digest", digest)
-    found = marked.join(kept, F.col("__id").eqNullSafe(F.col("__kept")) & (F.col("__digest") == F.col("__text")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("__id", "__digest").orderBy(F.xxhash64(*docs.columns)))
-    found = found.withColumn("__place", place).where("__place = 1").select(*docs.columns)
+    packed = docs.where(worded).select(
+        F.struct(*[docs[name] for name in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("id"), digest.alias("digest")
+    )
+    found = packed.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("digest") == F.col("kept_text")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64("row")))
+    found = found.withColumn("place", place).where("place = 1").select("row.*")
     return docs.where(~worded).unionByName(found)

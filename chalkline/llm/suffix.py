@@ -20,6 +20,7 @@ SORT_BYTES = 4 * 1024 * 1024  # of passages that are sorted at a time, or one an
 
 MANY_SPANS = 4096  # of an anchor, counted block by block, from which its passages are dealt out singly
 DEALT = 24  # first bytes by which suffixes are dealt out before they are merged
+_STEP = 1 << 15  # places whose hashes are worked out at a time, so that they stay in the processor's cache
 
 _TEXT, _SHARED, _COVERED = 0, 1, 2
 _NO_ID = np.int64(2**63 - 1)  # a null doc_id is smaller than none
@@ -40,6 +41,30 @@ class PrefixHashes:
         return (self.sums[starts + length] - self.sums[starts]) * self.inverse[starts]
 
 
+def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
+    """The hash, as of ``PrefixHashes``, of ``width`` bytes from every place; windows of 1, 2, 4, ... bytes are joined."""
+    part, whole, done, size = B.BYTE_CODE[data], None, 0, 1
+    places = len(data) - width + 1
+    while size <= width:
+        if width & size:
+            own = part[done : done + places]
+            whole = own if whole is None else whole + own * np.uint64(pow(int(B.BASE), done, 2**64))
+            done += size
+        part = part[:-size] + part[size:] * np.uint64(pow(int(B.BASE), size, 2**64))
+        size *= 2
+    return whole
+
+
+def _lowest(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The place of the lowest of each ``width`` adjoining hashes by their upper half, the leftmost of equal ones."""
+    least = hashes & np.uint64(0xFFFFFFFF00000000) | np.arange(len(hashes), dtype=np.uint64)
+    count, size = len(hashes) - width + 1, 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    return (np.minimum(least[:count], least[width - size : width - size + count]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def common_extension(hashes: PrefixHashes, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     """How many bytes the suffixes at a and b have in common, up to ``depth``, by binary search."""
     common = np.zeros(len(a), np.int64)
@@ -152,31 +177,34 @@ class _Block:
         count = len(data) - LENGTH + 1
         if count <= 0:
             return
-        places = len(data) - SEED + 1
-        hashes = PrefixHashes(data)
-        seed = B.mixed(hashes.of(np.arange(places), SEED))
-        least = seed & np.uint64(0xFFFFFFFF00000000) | np.arange(places, dtype=np.uint64)
-        width, wide = 1, LENGTH - SEED + 1
-        while 2 * width <= wide:
-            least = np.minimum(least[: len(least) - width], least[width:])
-            width *= 2
-        least = np.minimum(least[:count], least[wide - width : wide - width + count])
-        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        del least
-        inside = np.zeros(count + 1, np.int8)  # starts whose passage lies in one text
-        sizes = np.diff(offsets)
-        long_ = sizes >= LENGTH
-        inside[offsets[:-1][long_]] += 1
-        inside[offsets[1:][long_] - LENGTH + 1] -= 1
-        starts = np.flatnonzero(np.cumsum(inside[:-1]))
-        if not len(starts):
+        wide = LENGTH - SEED + 1
+        seed, anchor = np.empty(count + wide - 1, np.uint64), np.empty(count, np.int64)
+        for a in range(0, count, _STEP):
+            size = min(_STEP, count - a)
+            part = B.mixed(window_hashes(data[a : a + size + LENGTH - 1], SEED))
+            seed[a : a + len(part)] = part
+            anchor[a : a + size] = a + _lowest(part, wide)
+        change = np.zeros(count + 1, np.int8)
+        long_ = np.diff(offsets) >= LENGTH
+        change[offsets[:-1][long_]] += 1
+        change[offsets[1:][long_] - LENGTH + 1] -= 1
+        inside = np.cumsum(change[:-1], dtype=np.int8).view(bool)  # starts whose passage lies in one text
+        same = anchor[1:] == anchor[:-1]
+        same &= inside[1:]
+        same &= inside[:-1]
+        head, tail = inside.copy(), inside.copy()
+        head[1:] &= ~same
+        tail[:-1] &= ~same
+        self.first, self.last = np.flatnonzero(head), np.flatnonzero(tail)
+        if not len(self.first):
             return
-        anchor = anchor[starts]
-        heads = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-        self.first, self.last = starts[heads], starts[np.append(heads[1:], len(starts)) - 1]
-        self.key = seed[anchor[heads]]
-        self.owner = ids[np.searchsorted(offsets, self.first, side="right") - 1]
-        self.span = hashes.of(self.first, self.last - self.first + LENGTH)
+        self.key = seed[anchor[self.first]]
+        self.owner = np.repeat(ids, np.diff(np.searchsorted(self.first, offsets)))
+        span = (self.last - self.first).astype(np.uint64)
+        for at in (self.first, self.last):  # the first and the last passage make up the span
+            for part in (0, SEED, LENGTH - SEED):
+                span = B.mixed(span * B.BASE + seed[at + part])
+        self.span = span
 
     def singled(self, keep: np.ndarray) -> _Block:
         """A block of the same texts in which some anchors' passages each are an anchor of their own.
@@ -196,19 +224,26 @@ class _Block:
         block.key, block.owner = np.append(self.key[~hot], key), np.append(self.owner[~hot], np.repeat(self.owner[hot], size))
         return block
 
-    def of(self, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys, whether each has several documents, and the home of each."""
-        order = np.lexsort((self.owner, self.key))
+    def of(self, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct keys in order, whether each has several documents, the home of each, and each anchor's place among them."""
+        order = np.argsort(self.key)
         key, owner = self.key[order], self.owner[order]
-        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        ends = np.append(heads[1:], len(key)) - 1 if len(key) else heads
-        keys = key[heads]
-        return keys, owner[heads] != owner[ends], _homes(keys, count)
-
-    def span_counts(self, keys: np.ndarray) -> np.ndarray:
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[1:] != key[:-1]
+        number = np.cumsum(new) - 1
+        keys = key[new]
+        several = np.zeros(len(keys), dtype=bool)
+        several[number[1:][~new[1:] & (owner[1:] != owner[:-1])]] = True
+        place = np.empty(len(key), np.int64)
+        place[order] = number
+        return keys, several, _homes(keys, count), place
+
+    def span_counts(self, keys: np.ndarray, place: np.ndarray) -> np.ndarray:
         """How many distinct spans each of the distinct keys has."""
-        pairs = np.unique(B.mixed(self.span) ^ self.key, return_index=True)[1]
-        return np.bincount(np.searchsorted(keys, self.key[pairs]), minlength=len(keys))
+        counts = np.bincount(place, minlength=len(keys))
+        often = np.flatnonzero(counts[place] > 1)
+        pairs = often[np.unique(B.mixed(self.span[often]) ^ self.key[often], return_index=True)[1]]
+        return np.where(counts > 1, np.bincount(place[pairs], minlength=len(keys)), counts)
 
     def spans(self, keep: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct spans of some anchors, the key and least owner of each, and each anchor's span."""
@@ -233,13 +268,14 @@ def _by_home(homes: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:
         yield home, order[bounds[home] : bounds[home + 1]]
 
 
-def _blocks(batches) -> Iterator[tuple[bytes, _Block]]:
+def _blocks(batches) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray]]:
+    """Name, bytes, offsets and ids of each block of texts."""
     for batch in B.text_blocks(batches, "text", BLOCK_BYTES):
         data, offsets = B.text_bytes(batch.column("text"))
         ids = batch.column("doc_id").fill_null(int(_NO_ID)).to_numpy()
         name = hashlib.blake2b(np.ascontiguousarray(data), digest_size=12)
         name.update(ids.tobytes() + offsets.tobytes())
-        yield name.digest(), _Block(data, offsets, ids)
+        yield name.digest(), data, offsets, ids
 
 
 def _gathered(batches) -> Iterator[tuple[_Block, dict[int, bytes], dict[int, bytes]]]:
@@ -266,12 +302,11 @@ def _gathered(batches) -> Iterator[tuple[_Block, dict[int, bytes], dict[int, byt
 
 def _shared_anchors(block: _Block, answers: dict[int, bytes], count: int) -> tuple[_Block, np.ndarray]:
     """The block, passages of anchors with many spans singled, and its anchors that other documents have, too."""
-    keys, _, homes = block.of(count)
+    keys, _, homes, at = block.of(count)
     shared, many = np.zeros(len(keys), dtype=bool), np.zeros(len(keys), dtype=bool)
     for home, own in _by_home(homes, count):
         bits = np.unpackbits(np.frombuffer(answers[home], np.uint8), count=2 * len(own)).astype(bool)
         shared[own], many[own] = bits[: len(own)], bits[len(own) :]
-    at = np.searchsorted(keys, block.key)
     keep, hot = shared[at], shared[at] & many[at]
     if not hot.any():
         return block, np.flatnonzero(keep)
@@ -394,9 +429,10 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     table = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def ask(batches):
-        for name, block in _blocks(batches):
-            keys, several, homes = block.of(count)
-            spans = block.span_counts(keys)
+        for name, *texts in _blocks(batches):
+            block = _Block(*texts)
+            keys, several, homes, place = block.of(count)
+            spans = block.span_counts(keys, place)
             rows = []
             for home, own in _by_home(homes, count):
                 bits = np.packbits(several[own]).tobytes()
@@ -424,8 +460,8 @@ def drop_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             yield B.parcels([(_home(name, count), name, _SHARED, B.pack(here, answer))])
 
     def texts(batches):
-        for name, block in _blocks(batches):
-            payload = B.pack(block.data.tobytes(), block.offsets, block.ids)
+        for name, data, offsets, ids in _blocks(batches):
+            payload = B.pack(data.tobytes(), offsets, ids)
             yield B.parcels([(_home(name, count), name, _TEXT, payload)])
 
     def spans(batches):

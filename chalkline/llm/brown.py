@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chalkline.llm import blocks as B
-from chalkline.llm.words import KNOWN, asked, by_position, homes_of, met
+from chalkline.llm.words import ASKED, KNOWN, PLACES, answered, by_position, homes_of, met, once, placed
 from chalkline.session import scratch_path
 
 SUPPORT = 5  # training tokens from which a word is dealt to a learnt class
@@ -79,21 +79,26 @@ def _prepared(docs: DataFrame, doc_id: str, text: str, train: str) -> DataFrame:
     )
 
 
-def _vocabulary(rows: DataFrame) -> tuple[DataFrame, pa.Array, np.ndarray, np.ndarray]:
+def _read_once(rows: DataFrame) -> DataFrame:
+    """The words of all training texts and their places, cut once and written for all rounds."""
+
+    def keep(batch, firsts, codes, distinct):
+        data, offsets = B.text_bytes(distinct)
+        return data.tobytes(), B.narrow(np.diff(offsets))
+
+    return _written(once(rows.where("train"), "doc_id", "text", _cut, keep, _train_counts), "words")
+
+
+def _kept_words(kept: tuple) -> pa.LargeBinaryArray:
+    return B.slices(np.frombuffer(kept[0], np.uint8), B.offsets_of(kept[1]))
+
+
+def _vocabulary(texts: DataFrame) -> tuple[DataFrame, pa.Array, np.ndarray, np.ndarray]:
     """The words with SUPPORT and their counts by home, the most frequent, and the other words' tokens and kinds by open class.
 
     Every training word is counted; a partition returns its most frequent words and a sum per class.
     """
-    spark, count = rows.sparkSession, B.partitions(rows)
-
-    def ask(batches):
-        for batch in B.text_blocks(batches, "text"):
-            words, firsts = _cut(*B.text_bytes(batch.column("text")))
-            coded = words.dictionary_encode()
-            weights = _train_counts(batch, firsts, coded.indices.to_numpy(), len(coded.dictionary))
-            seen = np.flatnonzero(weights)
-            distinct = coded.dictionary.take(pa.array(seen))
-            yield B.parcels(asked(distinct, weights[seen], b"", homes_of(distinct, count), count))
+    spark, count = texts.sparkSession, B.partitions(texts)
 
     def counted(batches):
         home, parcels = 0, []
@@ -128,7 +133,7 @@ def _vocabulary(rows: DataFrame) -> tuple[DataFrame, pa.Array, np.ndarray, np.nd
 
     schema = "home int, payload binary, word binary, n long, open long, tokens long, kinds long"
     path = scratch_path(spark, "word-counts")
-    B.deliver(rows.where("train").mapInArrow(ask, B.PARCEL), count).mapInArrow(counted, schema).write.parquet(path)
+    B.deliver(texts.where(F.col("kind") == ASKED), count).mapInArrow(counted, schema).write.parquet(path)
     table = spark.read.schema(schema).parquet(path)
     top = table.where("word is not null").orderBy(F.col("n").desc(), "word").limit(WORDS).select("word").toArrow()
     words = pa.array(top.column("word").to_pylist(), pa.large_binary())
@@ -138,7 +143,7 @@ def _vocabulary(rows: DataFrame) -> tuple[DataFrame, pa.Array, np.ndarray, np.nd
     return table.where("payload is not null").select("home", "payload"), words, tokens, kinds
 
 
-def _bigrams(rows: DataFrame, words: pa.Array) -> np.ndarray:
+def _bigrams(texts: DataFrame, words: pa.Array) -> np.ndarray:
     """How often each symbol follows each in the training texts; a text's first word follows an end.
 
     A task adds up all its texts and sends its sums once; the result is bounded by the number of symbols.
@@ -148,11 +153,11 @@ def _bigrams(rows: DataFrame, words: pa.Array) -> np.ndarray:
 
     def add(batches):
         cells = np.zeros(size * size, np.int64)
-        for batch in B.text_blocks(batches, "text"):
-            found, firsts = _cut(*B.text_bytes(batch.column("text")))
-            coded = found.dictionary_encode()
-            stream, _ = _stream(firsts, _symbols(coded.dictionary, words)[coded.indices.to_numpy()])
-            cells += np.bincount(np.concatenate([[END], stream[:-1]]) * size + stream, minlength=size * size)
+        for batch in batches:
+            for payload in batch.column("payload").to_pylist():
+                kept, firsts, codes, _ = placed(payload)
+                stream, _ = _stream(firsts, _symbols(_kept_words(kept), words)[codes])
+                cells += np.bincount(np.concatenate([[END], stream[:-1]]) * size + stream, minlength=size * size)
         yield B.parcels([(i, b"", 0, B.pack(B.planes(cells[bounds[i] : bounds[i + 1]]))) for i in range(_MATRIX_PARTS)])
 
     def total(batches):
@@ -164,7 +169,7 @@ def _bigrams(rows: DataFrame, words: pa.Array) -> np.ndarray:
         for target, cells in sums.items():
             yield B.parcels([(target, b"", 0, B.pack(B.planes(cells)))])
 
-    sent = rows.where("train").mapInArrow(add, B.PARCEL).repartitionById(_MATRIX_PARTS, F.col("target"))
+    sent = texts.where(F.col("kind") == PLACES).mapInArrow(add, B.PARCEL).repartitionById(_MATRIX_PARTS, F.col("target"))
     cells = np.zeros(size * size, np.int64)
     for row in sent.mapInArrow(total, B.PARCEL).collect():
         cells[bounds[row.target] : bounds[row.target + 1]] = B.from_planes(B.unpack(row.payload)[0])
@@ -253,8 +258,8 @@ def _classes(distinct: pa.Array, held: list[bytes], learnt: int) -> tuple[np.nda
 
 def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and the sum of the counts of each; without counts, how often each is there."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
+    order = None if counts is None else np.argsort(keys)
+    keys = np.sort(keys) if counts is None else keys[order]
     heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     if counts is None:
         return keys[heads], np.diff(np.append(heads, len(keys)))
@@ -264,23 +269,17 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
 _CONTEXTS, _GRID = 0, 1
 
 
-def _neighbours(rows: DataFrame, known: DataFrame, learnt: int, contexts: bool = True) -> tuple[DataFrame, np.ndarray]:
+def _neighbours(texts: DataFrame, known: DataFrame, learnt: int, contexts: bool = True) -> tuple[DataFrame, np.ndarray]:
     """How often classes follow and precede each word with SUPPORT, by home, and how often each class follows each.
 
     A block sends its sums of a word once to the word's home. Keys are (word * 2 + side) * classes + class, side 0 is what follows.
     """
-    count, total = B.partitions(rows), 1 + learnt + OPEN
+    count, total = B.partitions(texts), 1 + learnt + OPEN
 
     def solve(distinct, summed, held):
         classes, supported = _classes(distinct, held, learnt)
         return classes + 256 * supported, np.ones(len(distinct), np.int64)
 
-    def keep(batch, firsts, codes, distinct):
-        if not contexts:
-            return None
-        data, offsets = B.text_bytes(distinct)
-        return data.tobytes(), B.narrow(np.diff(offsets))
-
     def finish(kept, firsts, codes, values, found):
         values = values[found[0]].astype(np.int64)
         classes, supported = values % 256, values >= 256
@@ -293,7 +292,7 @@ def _neighbours(rows: DataFrame, known: DataFrame, learnt: int, contexts: bool =
             used = np.flatnonzero(supported[codes])
             word, places = codes[used], places[used]
             keys, n = _summed(np.concatenate([2 * word * total + stream[places + 1], (2 * word + 1) * total + previous[places]]))
-            distinct = B.slices(np.frombuffer(kept[0], np.uint8), B.offsets_of(kept[1]))
+            distinct = _kept_words(kept)
             homes = np.where(supported, homes_of(distinct, count), -1)
             order = np.argsort(homes, kind="stable")
             bounds = np.searchsorted(homes[order], np.arange(count + 1))
@@ -335,7 +334,8 @@ def _neighbours(rows: DataFrame, known: DataFrame, learnt: int, contexts: bool =
             rows.append((here, b"", _CONTEXTS, payload))
         yield B.parcels(rows)
 
-    sent = by_position(rows.where("train"), "doc_id", "text", _cut, solve, keep, finish, B.PARCEL, known=known)
+    words, places = texts.where(F.col("kind") == ASKED), texts.where(F.col("kind") == PLACES)
+    sent = answered(words, places, solve, finish, B.PARCEL, known)
     table = _written(B.deliver(sent, count).mapInArrow(gather, B.PARCEL), "word-contexts")
     grid = np.zeros(total * total, np.int64)
     for row in table.where(F.col("kind") == _GRID).toLocalIterator():
@@ -425,12 +425,12 @@ def _totals(known: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(docs: DataFrame, train: str, doc_id: str = "doc_id", text: str = "text") -> Model:
     """A model of the texts whose column ``train`` is true.
 
-    All their words are counted. Exchange clustering of the most frequent ones starts the classes; then, in each
+    The texts are read once; all their words are counted. Exchange clustering of the most frequent ones starts the classes; then, in each
     round, every word with SUPPORT goes to the class that its neighbours' classes make likeliest, and the round
     of the highest likelihood is taken. Words are held by their homes; the driver gets class bigrams only.
     Emissions are counts in the class plus ADDED, transitions are smoothed by how many classes were seen to follow.
     """
-    rows = _prepared(docs, doc_id, text, train)
+    rows = _read_once(_prepared(docs, doc_id, text, train))
     table, words, open_tokens, open_kinds = _vocabulary(rows)
     classes = exchange(_bigrams(rows, words), len(words))
     learnt = int(classes.max()) - OPEN

@@ -66,6 +66,40 @@ def met(parcels: list[tuple[bytes, bytes]]) -> tuple[pa.Array, np.ndarray, np.nd
     return coded.dictionary, codes, summed, blocks
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], key: str, text: str, cut: Cut) -> Iterator[tuple]:
+    for batch in B.text_blocks(batches, text):
+        words, firsts = cut(*B.text_bytes(batch.column(text)))
+        coded = words.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary
+        ids = batch.column(key)
+        name = hashlib.blake2b(f"{ids[0]}/{ids[-1]}/{len(ids)}/".encode(), digest_size=12)
+        name.update(memoryview(np.ascontiguousarray(B.text_bytes(distinct)[0])))
+        yield batch, firsts, codes, distinct, name.digest()
+
+
+def _place(block: bytes, kept, firsts: np.ndarray, codes: np.ndarray, homes: np.ndarray, count: int) -> tuple:
+    return _home(block, count), block, PLACES, B.pack(kept, B.narrow(firsts), B.planes(codes), B.narrow(homes))
+
+
+def placed(payload: bytes) -> tuple:
+    """What the block kept, first word of each text, codes, and the home of each distinct word, of a PLACES parcel."""
+    kept, firsts, codes, homes = B.unpack(payload)
+    return kept, firsts.astype(np.int64), B.from_planes(codes).astype(np.int64), homes
+
+
+def once(table: DataFrame, key: str, text: str, cut: Cut, keep: Keep, weigh: Weigh | None = None) -> DataFrame:
+    """ASKED and PLACES parcels of all blocks from one reading, to be written where several rounds need them."""
+    count = B.partitions(table)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, firsts, codes, distinct, block in _blocks(batches, key, text, cut):
+            weights, homes = weigh(batch, firsts, codes, len(distinct)) if weigh else None, homes_of(distinct, count)
+            yield B.parcels(asked(distinct, weights, block, homes, count))
+            yield B.parcels([_place(block, keep(batch, firsts, codes, distinct), firsts, codes, homes, count)])
+
+    return table.mapInArrow(both, B.PARCEL)
+
+
 def by_position(
     table: DataFrame, key: str, text: str, cut: Cut, solve: Solve, keep: Keep, finish: Finish, schema: str, weigh: Weigh | None = None,
     known: DataFrame | None = None,
@@ -76,28 +110,26 @@ def by_position(
     It should be a scan of files: a block is known by its ids and words, and if a second reading dealt the
     rows to blocks otherwise, the job would fail rather than mix blocks up.
     """
-    count, informed = B.partitions(table), known is not None
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in B.text_blocks(batches, text):
-            words, firsts = cut(*B.text_bytes(batch.column(text)))
-            coded = words.dictionary_encode()
-            codes, distinct = coded.indices.to_numpy(), coded.dictionary
-            ids = batch.column(key)
-            name = hashlib.blake2b(f"{ids[0]}/{ids[-1]}/{len(ids)}/".encode(), digest_size=12)
-            name.update(memoryview(np.ascontiguousarray(B.text_bytes(distinct)[0])))
-            yield batch, firsts, codes, distinct, name.digest()
+    count = B.partitions(table)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, firsts, codes, distinct, block in blocks(batches):
+        for batch, firsts, codes, distinct, block in _blocks(batches, key, text, cut):
             weights = weigh(batch, firsts, codes, len(distinct)) if weigh else None
             yield B.parcels(asked(distinct, weights, block, homes_of(distinct, count), count))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, firsts, codes, distinct, block in blocks(batches):
+        for batch, firsts, codes, distinct, block in _blocks(batches, key, text, cut):
             kept = keep(batch, firsts, codes, distinct)
-            payload = B.pack(kept, B.narrow(firsts), B.planes(codes), B.narrow(homes_of(distinct, count)))
-            yield B.parcels([(_home(block, count), block, PLACES, payload)])
+            yield B.parcels([_place(block, kept, firsts, codes, homes_of(distinct, count), count)])
+
+    return answered(table.mapInArrow(ask, B.PARCEL), table.mapInArrow(places, B.PARCEL), solve, finish, schema, known)
+
+
+def answered(
+    sent: DataFrame, kept: DataFrame, solve: Solve, finish: Finish, schema: str, known: DataFrame | None = None
+) -> DataFrame:
+    """The rows that ``finish`` makes of each block of PLACES parcels in ``kept``, from the answers to ``sent``, the ASKED ones."""
+    count, informed = B.partitions(sent), known is not None
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, parcels, held = 0, [], []
@@ -136,10 +168,9 @@ def by_position(
                     answers[home] = found
         yield from _assembled(places, answers, finish)
 
-    sent = table.mapInArrow(ask, B.PARCEL)
     sent = sent.unionAll(known) if informed else sent
     answers = B.deliver(sent, count).mapInArrow(answer, B.PARCEL)
-    back = B.deliver(answers.unionAll(table.mapInArrow(places, B.PARCEL)), count)
+    back = B.deliver(answers.unionAll(kept), count)
     return back.sortWithinPartitions("block", "kind").mapInArrow(assemble, schema)
 
 
@@ -153,11 +184,11 @@ def _assembled(places: list[bytes], answers: dict[int, tuple], finish: Finish) -
     values = np.concatenate([B.from_planes(x[0]) for x in found]) if found else np.zeros(0, np.int64)
     lengths = np.concatenate([x[1].astype(np.int64) for x in found]) if found else np.zeros(0, np.int64)
     for payload in places:
-        kept, firsts, planes, homes = B.unpack(payload)
+        kept, firsts, codes, homes = placed(payload)
         if len(lengths) != len(homes):
             raise RuntimeError("a block has words without answers")
         # Answers come by home; codes count words in the order of the block.
         order = np.argsort(homes, kind="stable")
         starts, sizes = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         starts[order], sizes[order] = B.offsets_of(lengths)[:-1], lengths
-        yield finish(kept, firsts.astype(np.int64), B.from_planes(planes).astype(np.int64), values, (starts, sizes))
+        yield finish(kept, firsts, codes, values, (starts, sizes))

@@ -11,10 +11,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chalkline.llm import bpe, brown, exact, jaccard, packing, sketch, suffix
+from chalkline.llm import blocks as B
+from chalkline.llm import bpe, brown, exact, jaccard, packing, sketch, suffix, words
 
 tokenizers = pytest.importorskip("public_tokenizers")
 RANKS = tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -118,6 +120,28 @@ def test_every_word_with_support_gets_a_learnt_class(spark, monkeypatch, tmp_pat
         assert r["score"] == pytest.approx(want)
 
 
+def test_words_and_places_of_one_reading_give_the_answers_of_two(docs):
+    def keep(batch, firsts, codes, distinct):
+        return batch.column("doc_id").to_pylist(), len(distinct)
+
+    def solve(distinct, summed):
+        return np.array([len(word) for word in distinct.to_pylist()]), np.ones(len(distinct), np.int64)
+
+    def finish(kept, firsts, codes, values, found):
+        lengths = values[found[0]][codes] if len(codes) else codes
+        sums = [int(lengths[a:b].sum()) for a, b in itertools.pairwise(firsts.tolist())]
+        return pa.RecordBatch.from_arrays([pa.array(kept[0], pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "n"])
+
+    schema = "doc_id long, n long"
+    two = words.by_position(docs, "doc_id", "text", brown._cut, solve, keep, finish, schema).collect()
+    parcels = words.once(docs, "doc_id", "text", brown._cut, keep)
+    asked, places = (parcels.where(F.col("kind") == kind) for kind in (words.ASKED, words.PLACES))
+    one = words.answered(asked, places, solve, finish, schema).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(one) == docs.count()
+    sizes = {row.doc_id: len(re.sub(r"[\x20\x09-\x0D]", "", row.text or "").encode()) for row in docs.where("doc_id > 5").collect()}
+    assert {row.doc_id: row.n for row in one if row.doc_id in sizes} == sizes
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(1)
     kinds = rng.integers(0, 2, 21)
@@ -244,6 +268,43 @@ def test_no_task_gets_all_spans_of_one_anchor(spark, docs, texts, monkeypatch, t
     assert np.unique(keys, return_counts=True)[1].max() <= 8
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 24, 26, 27])
+def test_window_hashes_equal_those_from_prefixes(width):
+    data = np.random.default_rng(3).integers(97, 101, 500, dtype=np.uint8)
+    assert (suffix.window_hashes(data, width) == suffix.PrefixHashes(data).of(np.arange(501 - width), width)).all()
+    assert len(suffix.window_hashes(data[:width], width)) == 1
+
+
+@pytest.mark.parametrize("step", [1, 7, 1 << 15])
+def test_anchors_do_not_depend_on_the_step(step, monkeypatch):
+    """Every passage lies in the span of one anchor, the lowest hash in it, however many places are hashed at a time."""
+    sizes = [0, 49, 50, 51, 300, 0, 75]
+    data = np.random.default_rng(5).integers(97, 99, sum(sizes), dtype=np.uint8)
+    offsets, ids = B.offsets_of(np.array(sizes)), np.arange(len(sizes)) * 3
+    monkeypatch.setattr(suffix, "_STEP", step)
+    block = suffix._Block(data, offsets, ids)
+    hashes = B.mixed(suffix.PrefixHashes(data).of(np.arange(len(data) - suffix.SEED + 1), suffix.SEED))
+    expected = []
+    for text, (a, b) in enumerate(itertools.pairwise(offsets.tolist())):
+        for start in range(a, b - suffix.LENGTH + 1):
+            place = min(range(start, start + suffix.LENGTH - suffix.SEED + 1), key=lambda at: (hashes[at] >> np.uint64(32), at))
+            expected.append((start, int(hashes[place]), int(ids[text])))
+    found = [
+        (start, int(key), int(owner))
+        for first, last, key, owner in zip(block.first, block.last, block.key, block.owner, strict=True)
+        for start in range(first, last + 1)
+    ]
+    assert found == expected
+    keys, several, homes, place = block.of(4)
+    assert (keys[place] == block.key).all() and (np.diff(keys.astype(object)) > 0).all() and (homes < 4).all()
+    owners, spans = collections.defaultdict(set), collections.defaultdict(set)
+    for first, last, key, owner in zip(block.first, block.last, block.key, block.owner, strict=True):
+        owners[key].add(owner)
+        spans[key].add(data[first : last + suffix.LENGTH].tobytes())
+    assert several.tolist() == [len(owners[key]) > 1 for key in keys]
+    assert block.span_counts(keys, place).tolist() == [len(spans[key]) for key in keys]
+
+
 def test_suffixes_come_out_in_order():
     random.seed(3)
     text = ("".join(random.choice("ab") for _ in range(1500)) + "abab" * 100 + "a" * 300).encode()

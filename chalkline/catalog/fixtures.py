@@ -199,5 +199,50 @@ def quiz_answers(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quiz_topics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every benchmark item as the topic of a quiz; some are blank, some ask for what no book has."""
+    item = F.col("query_id")
+    levels = F.array(*[F.lit(name) for name in ("Easy", "Medium", "Hard", "Odd")])
+    return text_questions(spark, folder).select(
+        "query_id",
+        F.when(item % 10 == 8, " \n").otherwise(F.col("question")).alias("topic"),
+        "target_subject",
+        F.when(item % 10 == 6, "12").otherwise(F.col("target_class")).alias("target_class"),
+        F.get(levels, (item % 4).cast("int")).alias("difficulty"),
+        (item % 7 + 1).cast("int").alias("num_questions"),
+    )
+
+
+def quiz_writer(faulty: bool):
+    """Stands for a model: as many questions as a prompt asks for, out of the prompt's own text. A faulty one is
+    busy for a fifth of the prompts and says something else for another."""
+    request = F.get("messages", F.lit(1))["content"]
+    size = F.length(request)
+    letters = F.array(*[F.lit(letter) for letter in "ABCD"])
+    count = F.regexp_extract(request, "\nNumber of questions: ([0-9]+)\n", 1).cast("int")
+
+    def question(at: Column) -> Column:
+        return F.struct(
+            F.concat((at + 1).cast("string"), F.lit(". "), F.substr(request, at * 10 + 30, F.lit(20))).alias("question"),
+            F.transform(letters, lambda letter, i: F.concat(letter, F.lit(") "), F.substr(request, at + i * 7 + 40, F.lit(5)))).alias("options"),
+            F.get(letters, (size + at) % 4).alias("correct_answer"),
+        )
+
+    good = _reply_json(F.concat(F.lit("Here:\n"), F.to_json(F.transform(F.sequence(F.lit(0), count - 1), question))))
+    busy, other = F.lit('{"error": "busy"}'), _reply_json(F.lit("no quiz today"))
+    reply = F.when(size % 5 == 0, busy).when(size % 5 == 1, other).otherwise(good) if faulty else good
+    return lambda prompts: prompts.select("digest", reply.alias("reply"))
+
+
+def letter_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """One letter, in turn, for the first seven questions of every item's quiz; every third is left out."""
+    letter = F.get(F.array(*[F.lit(x) for x in "abcd"]), ((F.col("quiz_id") + F.col("q_idx")) % 4).cast("int"))
+    return (
+        table(spark, folder, "benchmark")
+        .select(F.col("item_id").alias("quiz_id"), F.explode(F.sequence(F.lit(0), F.lit(6))).alias("q_idx"))
+        .withColumn("answer", F.when(F.col("q_idx") % 3 != 2, letter))
+    )
+
+
 # A word in each script the language detection knows, one in a script it does not know, and none.
 SCRIPT_WORDS = ["नमस्ते", "வணக்கம்", "నమస్కారం", "ನಮಸ್ಕಾರ", "നമസ്കാരം", "নমস্কার", "привет", ""]

@@ -49,6 +49,11 @@ def _with(*names: str, select: str) -> str:
     return f"WITH {recursive}{parts}\n{select}"
 
 
+_TOPIC = {"topic": "topic", "class": "target_class", "subject": "target_subject"}
+_TOPIC_REQUEST = _fill(prompts.QUIZ_REQUEST, **_TOPIC, difficulty="difficulty", num_questions="num_questions", context="context")
+_TOPIC_MISSING = _fill(prompts.QUIZ_NOT_FOUND, **_TOPIC)
+
+
 def _clean(expression: str) -> str:
     fewer = f"regexp_replace({expression}, '\\n{{3,}}', chr(10)||chr(10), 'g')"
     return _strip(f"regexp_replace({fewer}, '[ \\t]+', ' ', 'g')")
@@ -219,6 +224,34 @@ _TABLES: dict[str, tuple[list[str], str]] = {
             WHERE (target_subject = 'All' OR starts_with(lower(subject), lower(target_subject)))
                 AND (target_class = 'All' OR class = target_class)""",
     ),
+    "quiz_topics": (
+        ["text_questions"],
+        """SELECT query_id AS quiz_id, CASE WHEN query_id % 10 = 8 THEN ' ' || chr(10) ELSE question END AS topic, target_subject,
+                CASE WHEN query_id % 10 = 6 THEN '12' ELSE target_class END AS target_class,
+                ['Easy', 'Medium', 'Hard', 'Odd'][query_id % 4 + 1] AS difficulty, CAST(query_id % 7 + 1 AS INTEGER) AS num_questions
+            FROM text_questions""",
+    ),
+    "topic_hits": (
+        ["text_net", "quiz_topics"],
+        """SELECT quiz_id, CAST(count(*) AS INTEGER) AS n_hits, string_agg(text, chr(10)||chr(10) ORDER BY k) AS context
+            FROM (SELECT quiz_id, text, row_number() OVER (PARTITION BY quiz_id ORDER BY place) AS k
+                FROM text_net JOIN index_rows USING (faiss_id) JOIN quiz_topics ON quiz_id = query_id
+                WHERE quiz_id % 10 <> 8 AND (target_subject = 'All' OR starts_with(lower(subject), lower(target_subject)))
+                    AND (target_class = 'All' OR class = target_class)) WHERE k <= 5 GROUP BY quiz_id""",
+    ),
+    "quiz_sent": (
+        ["topic_hits"],
+        f"""SELECT *, CASE WHEN n_hits IS NOT NULL THEN {_TOPIC_REQUEST} END AS request
+            FROM quiz_topics LEFT JOIN topic_hits USING (quiz_id)""",
+    ),
+    "quiz_library": (
+        ["quiz_sent"],
+        f"""SELECT quiz_id, topic, target_subject, target_class, difficulty, num_questions, coalesce(n_hits, 0) AS n_hits,
+                CASE WHEN request IS NULL THEN 0 WHEN length(request) % 5 < 2 THEN 2 ELSE 1 END::BIGINT AS n_asked,
+                request IS NOT NULL AS success, CASE WHEN quiz_id % 10 = 8 THEN {_text(prompts.QUIZ_BLANK_TOPIC)}
+                    WHEN request IS NULL THEN {_TOPIC_MISSING} END AS error,
+                CASE WHEN request IS NULL THEN 0 ELSE num_questions END AS n_questions FROM quiz_sent""",
+    ),
     # Vectors of the embeddings table.
     "corpus_chunks": (
         [],
@@ -627,6 +660,15 @@ def statements() -> dict[str, str]:
                 FROM quizzes LEFT JOIN (SELECT quiz_id, count(*) FILTER (is_correct) AS good, count(*) AS n
                     FROM grades GROUP BY quiz_id) USING (quiz_id) WHERE success""",
         ),
+        "quiz_library": _with("quiz_library", select="SELECT * FROM quiz_library"),
+        "quiz_report": _with(
+            "quiz_sent",
+            select="""SELECT quiz_id, topic, target_subject, target_class, difficulty, CAST(good AS INTEGER) AS correct_count,
+                    num_questions AS total_questions, round(good / num_questions * 100, 6) AS score
+                FROM (SELECT *, len(list_filter(range(num_questions),
+                        lambda k: k % 3 <> 2 AND (quiz_id + k) % 4 = (length(request) + k) % 4)) AS good
+                    FROM quiz_sent WHERE request IS NOT NULL)""",
+        ),
         "detect_language": f"""SELECT conv_id, turn, CASE {scripts} ELSE 'en' END AS language
             FROM (SELECT conv_id, turn, {said} AS said FROM conversations)""",
         "language_codes": f"""SELECT doc_id, coalesce({_case(SPEECH_CODES, "substr(CASE WHEN coalesce(code, '') = '' THEN 'en' ELSE code END, 1, 2)")},

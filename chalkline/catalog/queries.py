@@ -12,7 +12,8 @@ from chalkline.functions import language, responses, text, vectors
 from chalkline.operators import chunking, conversation, embedding, index, ingest, joins, prompts
 from chalkline.operators import quiz, retrieval, search, vector_blocks
 from chalkline.plans.incremental import update_library
-from chalkline.plans.library import ask, build_library
+from chalkline.plans.library import Library, ask, build_library
+from chalkline.plans import quizzes as quiz_plan
 from chalkline.session import scratch_path
 from chalkline.sources import tables
 from chalkline.sources import manifest as manifest_source
@@ -369,15 +370,18 @@ def embed_chunks(spark, folder):
     )
 
 
-@query
-def ask_questions(spark, folder):
-    """Pages to prompts: chunk, embed and index every document, then ask every benchmark item."""
-    library = build_library(
+def _library(spark: SparkSession, folder: str) -> Library:
+    return build_library(
         fx.cleaned_pages(spark, folder),
         scratch_path(spark, "library"),
         created_at=F.lit(CREATED_AT).cast("timestamp"),
     )
-    return _flat(ask(library, fx.text_questions(spark, folder)))
+
+
+@query
+def ask_questions(spark, folder):
+    """Pages to prompts: chunk, embed and index every document, then ask every benchmark item."""
+    return _flat(ask(_library(spark, folder), fx.text_questions(spark, folder)))
 
 
 # Prompts
@@ -595,6 +599,24 @@ def quiz_score(spark, folder):
     return quiz.score(_quizzes(spark, folder), _grades(spark, folder)).withColumn("score", F.round("score", 6))
 
 
+def _quiz_book(spark: SparkSession, folder: str) -> quiz_plan.QuizBook:
+    """Pages to quizzes: a model that fails for some prompts, and then another one for those only."""
+    found = quiz_plan.topic_prompts(_library(spark, folder), fx.quiz_topics(spark, folder))
+    book = quiz_plan.make_quizzes(found, scratch_path(spark, "quizzes"), fx.quiz_writer(faulty=True))
+    return quiz_plan.complete_quizzes(book, fx.quiz_writer(faulty=False))
+
+
+@query
+def quiz_library(spark, folder):
+    return _quiz_book(spark, folder).quizzes()
+
+
+@query
+def quiz_report(spark, folder):
+    found = quiz_plan.quiz_report(_quiz_book(spark, folder), fx.letter_answers(spark, folder))
+    return found.withColumn("score", F.round("score", 6))
+
+
 # Language and speech
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,6 +20,7 @@ FREQUENT = 2**18  # of the most frequent shingles, whose counts every task gets:
 FREQUENT_FROM = 8  # documents that a frequent shingle has at least
 LONGEST_SMALL = 48  # the boundary between small and large sets is sought up to here
 SPLIT = 4096  # postings of one frequent shingle that a task gets at most
+COMMON = 8  # a set with more than one in so many rows of a partition's share goes to the rows
 SIDS = 2**20  # candidates up to which their numbers are broadcast: 8 MB
 
 _COUNTED, _SUMS, _NAMES = 0, 1, 2
@@ -395,18 +398,35 @@ def _linked_rows(docs: DataFrame, doc_id: str, text: str, digest) -> DataFrame:
         links = links.unionByName(saved(_verified(texts, named, second), "second-links"))
         label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    groups = named.where("n > 0").groupBy("sid", "second").agg(F.min("doc_id").alias("least"))
-    groups = groups.select(F.struct("sid", "second").alias("node"), "least")
+    groups = named.where("n > 0").groupBy("sid", "second").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    groups = groups.select(F.struct("sid", "second").alias("node"), "least", "copies")
     groups = saved(groups.join(label.withColumnRenamed("id", "node"), "node", "left"), "labelled-sets")
     # A component of very many sets is one label: few labels go to the sets, else adaptive execution splits the sets.
     lowest = groups.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("least").alias("component_id"))
-    linked = join_small(groups, lowest, "label").select("node", "label", "component_id")
-    alone = groups.where(F.col("label").isNull()).select("node", F.col("node").alias("label"), F.col("least").alias("component_id"))
-    by_set = linked.unionByName(alone)
-    rows = named.withColumn("node", F.when(F.col("n") > 0, F.struct("sid", "second")))
-    return rows.join(by_set, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "digest", "label"
-    )
+    linked = join_small(groups, lowest, "label").select("node", "copies", "label", "component_id")
+    alone = groups.where(F.col("label").isNull())
+    alone = alone.select("node", "copies", F.col("node").alias("label"), F.col("least").alias("component_id"))
+    return _with_sets(named, saved(linked.unionByName(alone), "sets"))
+
+
+def _with_sets(named: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each row with the label and component of its set.
+
+    A set with more rows than an eighth (COMMON) of a partition's share is a hot key. There are fewer than COMMON of them
+    a partition, whatever the input, so they go to the rows. Rows without words have no set to look up.
+    """
+    rows = named.select("doc_id", "n", "digest", F.struct("sid", "second").alias("node"))
+    total = sets.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    common = F.col("copies") * (COMMON * B.partitions(named)) > total
+    often, seldom = (sets.where(chosen).select("node", "label", "component_id") for chosen in (common, ~common))
+    worded = rows.where("n > 0")
+    parts = [
+        worded.join(F.broadcast(often), "node"),
+        worded.join(F.broadcast(often.select("node")), "node", "left_anti").join(seldom, "node"),
+        rows.where("n = 0").withColumns({name: F.lit(None).cast(sets.schema[name].dataType) for name in ("label", "component_id")}),
+    ]
+    component = F.coalesce("component_id", "doc_id").alias("component_id")
+    return reduce(DataFrame.unionByName, (x.select("doc_id", F.col("n").alias("n_shingles"), component, "digest", "label") for x in parts))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -391,6 +391,17 @@ def test_no_link_between_short_sets_is_lost(spark, small, monkeypatch, tmp_path)
     assert ordered(found) == ordered(brute_components(rows))
 
 
+@pytest.mark.parametrize("common", [0, 8, 10**9])
+def test_rows_of_common_and_rare_sets_get_their_component(spark, common, monkeypatch, tmp_path):
+    monkeypatch.setattr(jaccard, "COMMON", common)
+    copies = [(i, "one text of six words here") for i in range(3, 120)] + [(None, "one text of six words here")]
+    few = [(i, f"text {i // 3} that three rows have alike") for i in range(200, 230)]
+    none = [(i, "") for i in range(300, 310)] + [(None, None), (2, " \n"), (320, None)]
+    spark.createDataFrame(copies + few + none, "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    found = [tuple(r) for r in jaccard.linked_documents(spark.read.parquet(str(tmp_path / "d"))).collect()]
+    assert ordered(found) == ordered(brute_components(copies + few + none))
+
+
 def test_one_of_each_keeps_rows_without_words(docs, texts):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns

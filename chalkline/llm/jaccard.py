@@ -21,6 +21,7 @@ FREQUENT_FROM = 8  # documents that a frequent shingle has at least
 LONGEST_SMALL = 48  # the boundary between small and large sets is sought up to here
 SPLIT = 4096  # postings of one frequent shingle that a task gets at most
 COMMON = 8  # a set with more than one in so many rows of a partition's share goes to the rows
+SET_BYTES = 2 * 1024 * 1024  # text whose sets a task makes at a time, in some twenty arrays of a number per word
 SIDS = 2**20  # candidates up to which their numbers are broadcast: 8 MB
 
 _COUNTED, _SUMS, _NAMES = 0, 1, 2
@@ -83,7 +84,7 @@ def _first_of_equal(sids: np.ndarray) -> np.ndarray:
 
 def _sets(batches):
     """Blocks of texts as sets, equal sets of a block once: hashes, starts, sid, second name."""
-    for batch in B.text_blocks(batches, "text", B.BLOCK_BYTES // 2):
+    for batch in B.text_blocks(batches, "text", SET_BYTES):
         hashes, firsts = shingle_sets(*B.text_bytes(batch.column("text")))
         sids, seconds = set_names(hashes, firsts)
         n = np.diff(firsts)
@@ -102,7 +103,7 @@ def _named_and_counted(texts: DataFrame) -> tuple[DataFrame, dict[str, np.ndarra
     spark, count = texts.sparkSession, B.partitions(texts)
 
     def send(batches):
-        for batch in B.text_blocks(batches, "text", B.BLOCK_BYTES // 2):
+        for batch in B.text_blocks(batches, "text", SET_BYTES):
             hashes, firsts = shingle_sets(*B.text_bytes(batch.column("text")))
             sids, seconds = set_names(hashes, firsts)
             n, every = np.diff(firsts), pa.array(np.arange(batch.num_rows))

@@ -300,8 +300,8 @@ def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame
     While they are few, the ids of the rows with these sets go to the scan, and only their texts are read as words.
     """
     nodes = saved(pairs.select(F.explode("pair").alias("node")).distinct(), "candidates")
-    of_node = named.select("doc_id", F.struct("sid", "second").alias("node")).join(nodes, "node", "left_semi")
-    wanted = of_node.groupBy("node").agg(F.min("doc_id").alias("wanted")).select("wanted").distinct()
+    of_node = named.groupBy(F.struct("sid", "second").alias("node")).agg(F.min("doc_id").alias("wanted"))
+    wanted = of_node.join(nodes, "node", "left_semi").select("wanted").distinct()
     if nodes.count() <= SIDS:
         texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
     texts = texts.select("text")

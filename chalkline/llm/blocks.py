@@ -110,11 +110,17 @@ def slices(data: np.ndarray, offsets: np.ndarray) -> pa.LargeBinaryArray:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
 
 
+def looked_up(table: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """``table[data]`` for a table of 256 single bytes. Indexing would make an 8-byte index of every byte first."""
+    found = data.tobytes().translate(table.view(np.uint8).tobytes())
+    return np.frombuffer(found, table.dtype)
+
+
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     """The words ``[^\\x20\\x09-\\x0D]+`` of all texts in order, and where each text's words start."""
     if lower:
-        data = LOWER[data]
-    return runs_of(data, offsets, ~WHITE[data])
+        data = looked_up(LOWER, data)
+    return runs_of(data, offsets, looked_up(~WHITE, data))
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
@@ -124,13 +130,16 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray) -> tuple[p
     heads = offsets[:-1][np.diff(offsets) > 0]
     first[heads] = solid[heads]
     starts = np.flatnonzero(first)
-    kept = np.append(np.cumsum(solid, dtype=np.int64)[starts] - 1, np.count_nonzero(solid))
+    # A run ends at the last solid byte before another run or a byte that is not solid.
+    last = solid.copy()
+    last[:-1] &= first[1:] | ~solid[1:]
+    kept = offsets_of(np.flatnonzero(last) - starts + 1)
     return slices(data[solid], kept), np.searchsorted(starts, offsets)
 
 
 def letter_runs(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     """The runs of ASCII letters, in lower case if asked, and bytes of characters beyond ASCII, as ``runs_of``."""
-    return runs_of(LOWER[data] if lower else data, offsets, LETTER[data])
+    return runs_of(looked_up(LOWER, data) if lower else data, offsets, looked_up(LETTER, data))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

@@ -16,7 +16,8 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,10 @@ SEPARATORS = ["\n\n", "\n", ". ", " "]
 
 SEGMENTS_PER_BLOCK = 1024
 
+# What a task turns into Python objects at a time, of the larger Arrow batch it is given.
+PART_BYTES = 4 * 1024 * 1024
+PART_ROWS = 1024
+
 
 @dataclass(frozen=True)
 class Cutter:
@@ -81,14 +86,14 @@ def _running(lengths: list[int]) -> np.ndarray:
 class Segment:
     """One segment of a chapter, cut into pieces. All but a chapter's first follow a page break."""
 
-    def __init__(self, cutter: Cutter, text: str, leading: bool) -> None:
+    def __init__(self, cutter: Cutter, text: str, leading: bool, later: list[int] | None = None) -> None:
+        """``later`` are the lengths of the pieces after the first paragraph, if they are known."""
         mark = cutter.separators[0]
         first, *others = text.split(mark)
-        pieces = cutter.fine(first if leading else mark + first)
-        for other in others:
-            pieces += cutter.fine(mark + other)
-        self.cutter, self.text = cutter, text if leading else mark + text
-        self.lengths = [len(piece) for piece in pieces]
+        if later is None:
+            later = [len(piece) for other in others for piece in cutter.fine(mark + other)]
+        self.cutter, self.text, self.later = cutter, text if leading else mark + text, later
+        self.lengths = [len(piece) for piece in cutter.fine(first if leading else mark + first)] + later
         self.ends = _running(self.lengths)
         self.overflow, self.following = cutter.steps(self.ends)
 
@@ -153,7 +158,8 @@ class Span:
 
     @classmethod
     def of(cls, cutter: Cutter, text: str) -> Span:
-        inner, first = Segment(cutter, text, leading=False), Segment(cutter, text, leading=True)
+        inner = Segment(cutter, text, leading=False)
+        first = Segment(cutter, text, leading=True, later=inner.later)
         near = min(int(np.searchsorted(inner.ends, cutter.size, side="right")), len(inner.lengths))
         full = bool(inner.ends[near] > cutter.size)
         exits = inner.exits(range(near))
@@ -334,8 +340,34 @@ _PIECE = T.StructType(
 )
 
 
-def _frame(rows: list[dict], schema: T.StructType) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=schema.fieldNames())
+def _arrow(kind: T.DataType) -> pa.DataType:
+    if isinstance(kind, T.ArrayType):
+        return pa.list_(_arrow(kind.elementType))
+    if isinstance(kind, T.StructType):
+        return pa.struct([(field.name, _arrow(field.dataType)) for field in kind])
+    return {"string": pa.string(), "integer": pa.int32(), "boolean": pa.bool_()}[kind.typeName()]
+
+
+def _frame(rows: list[dict], schema: T.StructType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([(field.name, _arrow(field.dataType)) for field in schema]))
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The rows of all batches in order, at most PART_BYTES of text (or one row) and PART_ROWS rows at a time.
+
+    Batches come large, and Python objects take several times the bytes of their Arrow columns.
+    """
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = _running(sizes), 0
+        while at < batch.num_rows:
+            stop = int(np.searchsorted(ends, ends[at] + PART_BYTES, side="right")) - 1
+            stop = min(max(stop, at + 1), at + PART_ROWS)
+            yield batch.slice(at, stop - at).to_pylist()
+            at = stop
 
 
 def _keys(row: dict, *more: str) -> dict:
@@ -343,9 +375,8 @@ def _keys(row: dict, *more: str) -> dict:
 
 
 def _spans(cutter: Cutter):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch.to_dict("records")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _parts(batches):
             spans = [_keys(row, "segment") | Span.of(cutter, row["text"]).row() for row in rows]
             yield _frame(spans, _SEGMENT_SPAN)
 
@@ -355,11 +386,11 @@ def _spans(cutter: Cutter):
 def _blocks(cutter: Cutter):
     """Spans arrive whole block by whole block, in segment order."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, span = None, None
-        for batch in batches:
+        for rows in _parts(batches):
             done = []
-            for row in batch.to_dict("records"):
+            for row in rows:
                 at = _keys(row, "block")
                 if at == key:
                     span = span.then(Span.from_row(row), cutter)
@@ -377,11 +408,11 @@ def _blocks(cutter: Cutter):
 def _starts(cutter: Cutter):
     """Blocks arrive whole chapter by whole chapter, in order; what is kept is one open chunk."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chapter, stitcher, held = None, Stitcher(cutter), None
-        for batch in batches:
+        for rows in _parts(batches):
             done = []
-            for row in batch.to_dict("records"):
+            for row in rows:
                 begins = _keys(row) != chapter
                 if held is not None:
                     done.append(held | {"ends": begins})
@@ -401,11 +432,11 @@ def _starts(cutter: Cutter):
 def _entries(cutter: Cutter):
     """Spans arrive whole block by whole block, in segment order, each with its block's start."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, stitcher, held, ends = None, Stitcher(cutter), None, False
-        for batch in batches:
+        for rows in _parts(batches):
             done = []
-            for row in batch.to_dict("records"):
+            for row in rows:
                 fresh = _keys(row, "block") != block
                 if held is not None:
                     if fresh and ends:
@@ -419,34 +450,32 @@ def _entries(cutter: Cutter):
                 entry, first, crossing = stitcher.step(Span.from_row(row))
                 held = _keys(row, "segment") | {"leading": leading, "entry": entry}
                 held |= {"first_sequence": first, "crossing": crossing}
-            yield _typed_entries(done)
+            yield _frame(done, _ENTRY)
         if held is not None:
             if ends:
                 held["crossing"] += stitcher.finish()
-            yield _typed_entries([held])
+            yield _frame([held], _ENTRY)
 
     return run
 
 
-def _typed_entries(rows: list[dict]) -> pd.DataFrame:
-    frame = _frame(rows, _ENTRY)
-    frame["entry"] = frame["entry"].astype("Int32")
-    return frame
-
-
 def _chunks(cutter: Cutter):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.to_dict("records"):
-                key = {name: row[name] for name in CHAPTER_KEYS}
-                rows += [key | dict(chunk) for chunk in row["crossing"]]
-                if not pd.isna(row["entry"]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _parts(batches):
+            owners, sequence, content = [], [], []
+            for at, row in enumerate(rows):
+                for chunk in row["crossing"]:
+                    sequence.append(chunk["chunk_sequence"])
+                    content.append(chunk["content"])
+                if row["entry"] is not None:
                     segment = Segment(cutter, row["text"], row["leading"])
-                    first = int(row["first_sequence"])
-                    for at, chunk in enumerate(segment.walk(int(row["entry"])), first):
-                        rows.append(key | {"chunk_sequence": at, "content": chunk})
-            yield _frame(rows, _PIECE)
+                    content += segment.walk(row["entry"])
+                    made = len(content) - len(sequence)
+                    sequence += range(row["first_sequence"], row["first_sequence"] + made)
+                owners += [at] * (len(content) - len(owners))
+            keys = [pa.array([row[name] for row in rows], pa.string()).take(pa.array(owners, pa.int32())) for name in CHAPTER_KEYS]
+            columns = [*keys, pa.array(sequence, pa.int32()), pa.array(content, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=_PIECE.fieldNames())
 
     return run
 
@@ -475,19 +504,19 @@ def split_chapters(
     named = pages.withColumns({name: F.coalesce(F.col(name), F.lit(_MISSING)) for name in CHAPTER_KEYS})
     segments = chapter_segments(named, pages_per_segment)
     block_keys = [*CHAPTER_KEYS, "block"]
-    spans = segments.select(*CHAPTER_KEYS, "segment", "text").mapInPandas(_spans(cutter), _SEGMENT_SPAN)
+    spans = segments.select(*CHAPTER_KEYS, "segment", "text").mapInArrow(_spans(cutter), _SEGMENT_SPAN)
     spans = spans.withColumn("block", F.floor(F.col("segment") / segments_per_block).cast("int"))
     # As in the segments: with nothing left to infer, both uses of the spans share one shuffle.
     spans = with_values(spans, block_keys).repartition(*block_keys)
-    blocks = spans.sortWithinPartitions(*block_keys, "segment").mapInPandas(_blocks(cutter), _BLOCK_SPAN)
-    starts = _in_order(blocks, CHAPTER_KEYS, "block").mapInPandas(_starts(cutter), _START)
-    entries = _in_order(spans.join(starts, block_keys), block_keys, "segment").mapInPandas(
+    blocks = spans.sortWithinPartitions(*block_keys, "segment").mapInArrow(_blocks(cutter), _BLOCK_SPAN)
+    starts = _in_order(blocks, CHAPTER_KEYS, "block").mapInArrow(_starts(cutter), _START)
+    entries = _in_order(spans.join(starts, block_keys), block_keys, "segment").mapInArrow(
         _entries(cutter), _ENTRY
     )
     return (
         segments.select(*CHAPTER_KEYS, "segment", "text")
         .join(entries, [*CHAPTER_KEYS, "segment"])
-        .mapInPandas(_chunks(cutter), _PIECE)
+        .mapInArrow(_chunks(cutter), _PIECE)
         .withColumns({name: F.when(F.col(name) != _MISSING, F.col(name)) for name in CHAPTER_KEYS})
     )
 

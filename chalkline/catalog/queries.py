@@ -361,6 +361,8 @@ def embed_chunks(spark, folder):
     return (
         embedding.embed(chunks)
         .select("chunk_id", F.size("embedding").alias("dim"), filled)
+        # Zeros add nothing; the first position stays, so that a vector of zeros has its row.
+        .where((F.col("x") != 0) | (F.col("axis") == 0))
         .groupBy("chunk_id", "dim")
         .agg(
             F.count_if(F.col("x") > 0).alias("filled"),

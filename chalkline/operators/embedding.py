@@ -45,11 +45,13 @@ class HashedWords:
         self.name, self.dimension = name, dimension
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension), np.float32)
-        for row, text in enumerate(texts):
-            for word in self._WORD.findall(text.lower()):
-                out[row, _bucket(word, self.dimension)] += 1
-        return out
+        places = [
+            row * self.dimension + _bucket(word, self.dimension)
+            for row, text in enumerate(texts)
+            for word in self._WORD.findall(text.lower())
+        ]
+        counts = np.bincount(np.array(places, np.int64), minlength=len(texts) * self.dimension)
+        return counts.reshape(len(texts), self.dimension).astype(np.float32)
 
 
 @lru_cache(maxsize=8)

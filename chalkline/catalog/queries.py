@@ -245,7 +245,7 @@ def library_rebuild(spark, folder):
     rows = []
     for pages in (first, second, second):
         made = update_library(ingest.clean_pages(pages), root, created_at=F.lit(CREATED_AT).cast("timestamp"))
-        counts = made.library.index().agg(F.count_distinct("text")).first()[0]
+        counts = made.library.index().agg(F.count_distinct(index.content_digest(F.col("text")))).first()[0]
         rows.append((made.version, made.n_chunks, counts, made.n_encoded, made.library.vectors().count()))
     return spark.createDataFrame(rows, "version int, n_chunks long, n_contents long, n_encoded long, n_vectors long")
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,10 +24,16 @@ SPLIT = 4096  # postings of one frequent shingle that a task gets at most
 COMMON = 8  # a set with more than one in so many rows of a partition's share goes to the rows
 SET_BYTES = 2 * 1024 * 1024  # text whose sets a task makes at a time, in some twenty arrays of a number per word
 SIDS = 2**20  # candidates up to which their numbers are broadcast: 8 MB
+ID_BITS = 2**27  # beyond that, bits that stand for their ids at most: 16 MB
+KEY = np.uint64(2**48 - 1)  # the bits of a key that are kept; keys that agree by chance only make candidates
+GATHERED = 2**21  # shingles, and POSTINGS postings, that a task gathers before it deals them out: 16 MB
+POSTINGS = 2**19
 
 _COUNTED, _SUMS, _NAMES = 0, 1, 2
+_TEXT, _SET = b"t", b"s"
 _NAME_FIELDS = ("doc_id", "digest", "n", "sid", "second")
 _FOUND = "kind int, home int, key long, times double, doc_id long, digest binary, n long, sid long, second long"
+_POSTED = "key long, sid long, second long, n int, pos int, many boolean"
 _FOUND_ARROW = pa.schema(
     [("kind", pa.int32()), ("home", pa.int32()), ("key", pa.int64()), ("times", pa.float64())]
     + [("doc_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("sid", pa.int64()), ("second", pa.int64())]
@@ -60,12 +67,12 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def set_names(hashes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit number and a second hash of each set; together they name it."""
+    """A 64-bit number and a second hash of 32 bits of each set; together they name it."""
     names = []
     for salt in (0x51ED270B, 0x2545F491):
         sums = np.concatenate([[np.uint64(0)], np.cumsum(B.mixed(hashes ^ np.uint64(salt)), dtype=np.uint64)])
         names.append(B.mixed(sums[firsts[1:]] - sums[firsts[:-1]]))
-    return names[0].view(np.int64), names[1].view(np.int64)
+    return names[0].view(np.int64), (names[1] >> np.uint64(32)).view(np.int64)
 
 
 def _prefix(n: np.ndarray) -> np.ndarray:
@@ -102,22 +109,39 @@ def _named_and_counted(texts: DataFrame) -> tuple[DataFrame, dict[str, np.ndarra
     """
     spark, count = texts.sparkSession, B.partitions(texts)
 
+    def name(batch):
+        """The parcel of a block's names, and the home and key of each shingle of its distinct sets as one number."""
+        hashes, firsts = shingle_sets(*B.text_bytes(batch.column("text")))
+        sids, seconds = set_names(hashes, firsts)
+        n, every = np.diff(firsts), pa.array(np.arange(batch.num_rows))
+        named = B.pack(batch.column("doc_id").take(every), batch.column("digest").take(every), n, sids, seconds)
+        keep = _first_of_equal(sids)
+        keep = keep[n[keep] > 0]
+        homes, keys = _spread(hashes[B.gather(firsts[keep], n[keep])], count)
+        codes = homes.astype(np.uint64) << np.uint64(32) | keys
+        return B.parcels([(int(sids.view(np.uint64)[0] % np.uint64(count)), b"", _NAMES, named)]), codes
+
+    def deal(gathered):
+        codes = np.concatenate(gathered)
+        codes.sort()
+        keys = (codes & np.uint64(2**32 - 1)).astype(np.uint32)
+        bounds = np.searchsorted(codes >> np.uint64(32), np.arange(count + 1, dtype=np.uint64))
+        rows = []
+        for home in np.flatnonzero(np.diff(bounds)).tolist():
+            rows.append((home, b"", _COUNTED, B.pack(B.planes(np.diff(keys[bounds[home] : bounds[home + 1]], prepend=np.uint32(0))))))
+        return B.parcels(rows)
+
     def send(batches):
+        gathered = []
         for batch in B.text_blocks(batches, "text", SET_BYTES):
-            hashes, firsts = shingle_sets(*B.text_bytes(batch.column("text")))
-            sids, seconds = set_names(hashes, firsts)
-            n, every = np.diff(firsts), pa.array(np.arange(batch.num_rows))
-            named = B.pack(batch.column("doc_id").take(every), batch.column("digest").take(every), n, sids, seconds)
-            rows = [(int(sids.view(np.uint64)[0] % np.uint64(count)), b"", _NAMES, named)]
-            keep = _first_of_equal(sids)
-            keep = keep[n[keep] > 0]
-            homes, keys = _spread(hashes[B.gather(firsts[keep], n[keep])], count)
-            order = np.lexsort((keys, homes))
-            homes, keys = homes[order], keys[order]
-            bounds = np.searchsorted(homes, np.arange(count + 1))
-            for home in np.flatnonzero(np.diff(bounds)).tolist():
-                rows.append((home, b"", _COUNTED, B.pack(B.planes(np.diff(keys[bounds[home] : bounds[home + 1]], prepend=np.uint32(0))))))
-            yield B.parcels(rows)
+            names, codes = name(batch)
+            yield names
+            gathered.append(codes)
+            if sum(map(len, gathered)) >= GATHERED:
+                yield deal(gathered)
+                gathered = []
+        if gathered:
+            yield deal(gathered)
 
     def add(batches):
         home, parts = 0, []
@@ -185,9 +209,9 @@ def boundary(sizes: dict[int, int], met: float) -> int:
 
 
 def _postings(texts: DataFrame, frequent, small: int, table_path: str) -> None:
-    """Writes key, sid, second, n, pos of the postings whose key another set of their task has as well.
+    """Writes key, sid, second, n, pos, many of the postings whose key another set of their task has as well.
 
-    Small sets post the pairs of their prefix, larger ones its elements; the sets near the boundary do both.
+    ``many`` is false where a key has two sets in all. Small sets post the pairs of their prefix, larger ones its elements; the sets near the boundary do both.
     A shingle with more postings than SPLIT is dealt over several tasks, which then pass all of it on.
     """
     spark, count = texts.sparkSession, B.partitions(texts)
@@ -204,52 +228,81 @@ def _postings(texts: DataFrame, frequent, small: int, table_path: str) -> None:
         order = np.lexsort((hashes, counts, owner))
         return hashes[order], counts[order]
 
+    def post(hashes, firsts, sids):
+        """Homes, keys, owners, places of the postings of some sets, and whether their key is dealt over tasks."""
+        n = np.diff(firsts)
+        hashes, counts = ranked(hashes, np.repeat(np.arange(len(n)), n), count)
+        keys, owners, places, often = [], [], [], []
+        single = np.flatnonzero((n >= 3) & (100 * n > PERCENT * small))
+        p = _prefix(n[single])
+        at = B.gather(firsts[:-1][single], p)
+        keys.append(B.mixed(hashes[at]))
+        owners.append(np.repeat(single, p))
+        places.append(B.gather(np.zeros(len(p), np.int64), p))
+        often.append(counts[at])
+        for size in range(3, small + 1):
+            own = np.flatnonzero(n == size)
+            if not len(own):
+                continue
+            left, right = np.triu_indices(int(_prefix(np.int64(size))) + 1, 1)
+            begin = firsts[:-1][own][:, None]
+            keys.append(B.mixed(B.mixed(hashes[begin + left]) * np.uint64(3) + hashes[begin + right]).ravel())
+            owners.append(np.repeat(own, len(left)))
+            places.append(np.tile(left, len(own)))
+            often.append(np.zeros(len(own) * len(left), np.int64))
+        keys, owners, places, often = (np.concatenate(x) for x in (keys, owners, places, often))
+        keys &= KEY
+        salts = B.mixed(sids.view(np.uint64))[owners] % (1 + often // SPLIT).astype(np.uint64)
+        homes = (B.mixed(keys + salts) % np.uint64(count)).astype(np.int32)
+        return homes, keys, owners.astype(np.int32), places.astype(np.int32), often >= SPLIT
+
+    def deal(posted, names):
+        homes, keys, owners, places, spread = (np.concatenate(x) for x in zip(*posted, strict=True))
+        sids, seconds, n = (np.concatenate(x) for x in zip(*names, strict=True))
+        # In the order of their names, which are most of a parcel, so that these can be sent as differences.
+        order = np.argsort(sids.view(np.uint64))
+        sids, seconds, n = sids.view(np.uint64)[order], seconds[order], n[order]
+        ranks = np.empty(len(order), np.int32)
+        ranks[order] = np.arange(len(order), dtype=np.int32)
+        owners = ranks[owners]
+        order = np.lexsort((keys, homes))
+        homes, keys, owners, places, spread = (x[order] for x in (homes, keys, owners, places, spread))
+        bounds = np.searchsorted(homes, np.arange(count + 1))
+        rows = []
+        for home in np.flatnonzero(np.diff(bounds)).tolist():
+            cut = slice(bounds[home], bounds[home + 1])
+            used, local = np.unique(owners[cut], return_inverse=True)
+            used = used.astype(np.int64)
+            payload = B.pack(
+                B.planes(np.diff(keys[cut], prepend=np.uint64(0))), B.planes(local), B.planes(places[cut]), np.packbits(spread[cut]).tobytes(),
+                B.planes(np.diff(sids[used], prepend=np.uint64(0))), B.planes(seconds[used]), B.planes(n[used]),
+            )
+            rows.append((home, b"", 0, payload))
+        return B.parcels(rows)
+
     def send(batches):
+        posted, names, held, sets = [], [], 0, 0
         for hashes, firsts, sids, seconds in _sets(batches):
-            n = np.diff(firsts)
-            hashes, counts = ranked(hashes, np.repeat(np.arange(len(n)), n), count)
-            keys, owners, places, often = [], [], [], []
-            single = np.flatnonzero((n >= 3) & (100 * n > PERCENT * small))
-            p = _prefix(n[single])
-            at = B.gather(firsts[:-1][single], p)
-            keys.append(B.mixed(hashes[at]))
-            owners.append(np.repeat(single, p))
-            places.append(B.gather(np.zeros(len(p), np.int64), p))
-            often.append(counts[at])
-            for size in range(3, small + 1):
-                own = np.flatnonzero(n == size)
-                if not len(own):
-                    continue
-                left, right = np.triu_indices(int(_prefix(np.int64(size))) + 1, 1)
-                begin = firsts[:-1][own][:, None]
-                keys.append(B.mixed(B.mixed(hashes[begin + left]) * np.uint64(3) + hashes[begin + right]).ravel())
-                owners.append(np.repeat(own, len(left)))
-                places.append(np.tile(left, len(own)))
-                often.append(np.zeros(len(own) * len(left), np.int64))
-            keys, owners, places, often = (np.concatenate(x) for x in (keys, owners, places, often))
-            salts = B.mixed(sids.view(np.uint64))[owners] % (1 + often // SPLIT).astype(np.uint64)
-            homes = (B.mixed(keys + salts) % np.uint64(count)).astype(np.int64)
-            order = np.lexsort((keys, homes))
-            keys, owners, places, homes, often = (x[order] for x in (keys, owners, places, homes, often))
-            bounds = np.searchsorted(homes, np.arange(count + 1))
-            rows = []
-            for home in np.flatnonzero(np.diff(bounds)).tolist():
-                cut = slice(bounds[home], bounds[home + 1])
-                used, local = np.unique(owners[cut], return_inverse=True)
-                payload = B.pack(
-                    keys[cut], B.planes(local), B.planes(places[cut]), often[cut] > SPLIT,
-                    sids[used], seconds[used], B.narrow(n[used]),
-                )
-                rows.append((home, b"", 0, payload))
-            yield B.parcels(rows)
+            homes, keys, owners, places, spread = post(hashes, firsts, sids)
+            posted.append((homes, keys, owners + np.int32(sets), places, spread))
+            names.append((sids, seconds, np.diff(firsts)))
+            held, sets = held + len(keys), sets + len(sids)
+            if held >= POSTINGS:
+                yield deal(posted, names)
+                posted, names, held, sets = [], [], 0, 0
+        if posted:
+            yield deal(posted, names)
 
     def meet(batches):
         columns = [[] for _ in range(6)]
         for batch in batches:
             for payload in batch.column("payload").to_pylist():
                 keys, local, places, spread, sids, seconds, n = B.unpack(payload)
-                local = B.from_planes(local).astype(np.int64)
-                parts = (keys, sids[local], seconds[local], n[local].astype(np.int32), B.from_planes(places).astype(np.int32), spread)
+                keys, local = np.cumsum(B.from_planes(keys), dtype=np.uint64), B.from_planes(local).astype(np.int64)
+                sids = np.cumsum(B.from_planes(sids), dtype=np.uint64).view(np.int64)
+                seconds, n = B.from_planes(seconds).astype(np.int64), B.from_planes(n).astype(np.int32)
+                spread = np.unpackbits(np.frombuffer(spread, np.uint8), count=len(keys)).astype(bool)
+                parts = (keys, sids[local], seconds[local], n[local], B.from_planes(places).astype(np.int32), spread)
                 for column, part in zip(columns, parts, strict=True):
                     column.append(part)
         if not columns[0]:
@@ -261,21 +314,21 @@ def _postings(texts: DataFrame, frequent, small: int, table_path: str) -> None:
         fresh = np.ones(len(keys), dtype=bool)  # copies of one set, sent by several tasks, are one posting
         fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1]) | (seconds[1:] != seconds[:-1])
         keys, sids, seconds, order = keys[fresh], sids[fresh], seconds[fresh], order[fresh]
-        same = keys[1:] == keys[:-1]
-        shared_key = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | spread[order]
-        keep = np.flatnonzero(shared_key)
+        lengths = np.diff(np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])))
+        size, spread = np.repeat(lengths, lengths), spread[order]
+        keep, many = np.flatnonzero((size > 1) | spread), (size > 2) | spread
         for a in range(0, len(keep), 100_000):
             part = keep[a : a + 100_000]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(keys[part].view(np.int64)), pa.array(sids[part]), pa.array(seconds[part]),
-                    pa.array(n[order[part]]), pa.array(places[order[part]]),
+                    pa.array(n[order[part]]), pa.array(places[order[part]]), pa.array(many[part]),
                 ],
-                names=["key", "sid", "second", "n", "pos"],
+                names=["key", "sid", "second", "n", "pos", "many"],
             )
 
     sent = B.deliver(texts.mapInArrow(send, B.PARCEL), count)
-    sent.mapInArrow(meet, "key long, sid long, second long, n int, pos int").write.parquet(table_path)
+    sent.mapInArrow(meet, _POSTED).write.parquet(table_path)
 
 
 def _may_link(a: str, b: str, first: bool = False):
@@ -297,44 +350,108 @@ def _pairs(left, right):
 def _verified(texts: DataFrame, named: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs of nodes whose sets are similar enough; each needed set is made again from one of its texts.
 
-    While they are few, the ids of the rows with these sets go to the scan, and only their texts are read as words.
+    The ids of the rows with these sets go to the scan, or bits for them where they are many, and only their texts are
+    read as words. Texts are shuffled compressed, which takes less than their hashes, and cut again where pairs meet.
     """
     nodes = saved(pairs.select(F.explode("pair").alias("node")).distinct(), "candidates")
     of_node = named.groupBy(F.struct("sid", "second").alias("node")).agg(F.min("doc_id").alias("wanted"))
     wanted = of_node.join(nodes, "node", "left_semi").select("wanted").distinct()
-    if nodes.count() <= SIDS:
-        texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    texts = texts.select("text")
+    count, bits = nodes.count(), None
+    if count <= SIDS:
+        texts = texts.join(F.broadcast(wanted), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    else:
+        bits = texts.sparkSession.sparkContext.broadcast(_id_bits(wanted, count))
+        texts = texts.select("text", _id_place("doc_id", 8 * len(bits.value)).alias("place"))
 
     def make(batches):
-        for hashes, firsts, sids, seconds in _sets(batches):
-            if len(sids):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(sids), pa.array(seconds), B.slices(hashes.view(np.uint8), 8 * firsts).cast(pa.binary())],
-                    names=["sid", "second", "items"],
-                )
-
-    made = texts.mapInArrow(make, "sid long, second long, items binary")
-    made = made.groupBy(F.struct("sid", "second").alias("node")).agg(F.first("items").alias("items"))
+        for batch in batches:
+            if bits is not None:
+                place = batch.column("place").to_numpy()
+                batch = batch.filter(pa.array(bits.value[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0))
+            for block in B.text_blocks([batch], "text", SET_BYTES):
+                sids, seconds, bodies = _bodies(*B.text_bytes(block.column("text")))
+                columns = [pa.array(sids), pa.array(seconds), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["sid", "second", "body"])
+
+    made = texts.mapInArrow(make, "sid long, second long, body binary")
+    made = made.groupBy(F.struct("sid", "second").alias("node")).agg(F.first("body").alias("body"))
     made = saved(made.join(nodes, "node", "left_semi"), "candidate-sets")
     sides = pairs.select(F.col("pair")[0].alias("a"), F.col("pair")[1].alias("b"))
-    sides = sides.join(made.select(F.col("node").alias("a"), F.col("items").alias("a_items")), "a")
-    sides = sides.join(made.select(F.col("node").alias("b"), F.col("items").alias("b_items")), "b")
+    sides = sides.join(made.select(F.col("node").alias("a"), F.col("body").alias("a_body")), "a")
+    sides = sides.join(made.select(F.col("node").alias("b"), F.col("body").alias("b_body")), "b")
 
     def compare(batches):
         for batch in batches:
-            links = []
-            for left, right in zip(batch.column("a_items"), batch.column("b_items"), strict=True):
-                x, y = (np.frombuffer(side.as_buffer(), np.uint64) for side in (left, right))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                links.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            kept = pa.array(links, pa.bool_())
+            links, some, held = [], [], 0
+            for pair in zip(batch.column("a_body").to_pylist(), batch.column("b_body").to_pylist(), strict=True):
+                some.append(pair)
+                held += sum(map(_body_size, pair))
+                if held >= SET_BYTES:
+                    links += _similar(some)
+                    some, held = [], 0
+            kept = pa.array(links + _similar(some), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"]
             )
 
     node = "struct<sid:bigint,second:bigint>"
-    return sides.select("a", "b", "a_items", "b_items").mapInArrow(compare, f"a {node}, b {node}")
+    return sides.select("a", "b", "a_body", "b_body").mapInArrow(compare, f"a {node}, b {node}")
+
+
+def _id_place(doc_id: str, bits: int):
+    """The bit that stands for an id."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(bits))
+
+
+def _id_bits(wanted: DataFrame, count: int) -> np.ndarray:
+    """Bits that are set for all ids of ``wanted``, and by chance for few others: 16 or more an id, or ID_BITS in all."""
+    bits = min(ID_BITS, max(2**15, 1 << (16 * count - 1).bit_length()))
+    place = _id_place("wanted", bits) + 1  # Spark counts bits from 1, and its buckets of them too
+    parts = wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("part"))
+    found = np.zeros((bits // 2**15, 2**12), np.uint8)
+    for row in parts.toLocalIterator():
+        found[row["bucket"] - 1] = np.frombuffer(row["part"], np.uint8)
+    return found.ravel()
+
+
+def _bodies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The names of distinct sets of some texts, and what they can be made from again.
+
+    That is a compressed text, or the set itself if that is smaller or less than half as long as the text.
+    """
+    hashes, firsts = shingle_sets(data, offsets)
+    sids, seconds = set_names(hashes, firsts)
+    n = np.diff(firsts)
+    keep = _first_of_equal(sids)
+    keep = keep[n[keep] > 0]
+    bodies, compressor = [], zstandard.ZstdCompressor(level=3)
+    for i in keep.tolist():
+        text = data[offsets[i] : offsets[i + 1]]
+        body = compressor.compress(text.tobytes()) if len(text) <= 16 * n[i] else None
+        if body is None or len(body) >= 8 * n[i]:
+            bodies.append(hashes[firsts[i] : firsts[i + 1]].tobytes() + _SET)
+        else:
+            bodies.append(body + _TEXT)
+    return sids[keep], seconds[keep], bodies
+
+
+def _body_size(body: bytes) -> int:
+    return zstandard.frame_content_size(body) if body[-1:] == _TEXT else len(body)
+
+
+def _similar(pairs: list[tuple[bytes, bytes]]) -> list[bool]:
+    """Whether the sets of two bodies link, for each pair."""
+    sets = {body: np.frombuffer(body, np.uint64, len(body) // 8) for pair in pairs for body in pair if body[-1:] == _SET}
+    bodies = list({body: None for pair in pairs for body in pair if body[-1:] == _TEXT})
+    texts = [zstandard.ZstdDecompressor().decompress(memoryview(body)[:-1]) for body in bodies]
+    hashes, firsts = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), B.offsets_of([len(x) for x in texts]))
+    sets |= {body: hashes[firsts[i] : firsts[i + 1]] for i, body in enumerate(bodies)}
+    links = []
+    for left, right in pairs:
+        x, y = sets[left], sets[right]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        links.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+    return links
 
 
 def linked_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,8 +482,8 @@ def _linked_rows(docs: DataFrame, doc_id: str, text: str, digest) -> DataFrame:
     )
     path = scratch_path(spark, "postings")
     _postings(bodies, frequent, boundary(sizes, met), path)
-    postings = spark.read.schema("key long, sid long, second long, n int, pos int").parquet(path)
-    postings = postings.select("key", F.struct("sid", "second").alias("node"), "n", "pos")
+    postings = spark.read.schema(_POSTED).parquet(path)
+    postings = postings.select("key", F.struct("sid", "second").alias("node"), "n", "pos", "many")
 
     lead = F.min(F.struct("pos", "n", "node")).alias("lead")
     leaders = postings.groupBy("key").agg(lead, F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("k"), "lead")
@@ -381,7 +498,8 @@ def _linked_rows(docs: DataFrame, doc_id: str, text: str, digest) -> DataFrame:
     links = saved(_verified(texts, named, first), "first-links")
     label = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
-    held = postings.join(label.withColumnRenamed("id", "node"), "node", "left").select(
+    # The two sets of a shorter list have been compared, or may not link.
+    held = postings.where("many").join(label.withColumnRenamed("id", "node"), "node", "left").select(
         "key", "node", "n", "pos", F.coalesce("label", "node").alias("label")
     )
     mixed = held.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
@@ -439,12 +557,16 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     digest = F.unhex(F.sha2(F.col(text), 256))
     rows = _linked_rows(docs, doc_id, text, digest).where(F.col("label").isNotNull())
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("least")
-    kept = rows.groupBy("label").agg(least).select(F.col("least.doc_id").alias("kept"), F.col("least.digest").alias("kept_text"))
+    zero = F.lit(0).cast("long")
+    keys = ["none", "id", "digest"]  # the same for the join and the window, so that texts are shuffled once
+    kept = rows.groupBy("label").agg(least).select("least.none", F.coalesce("least.doc_id", zero).alias("id"), "least.digest")
     worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs[doc_id].cast("long")
     packed = docs.where(worded).select(
-        F.struct(*[docs[name] for name in docs.columns]).alias("row"), docs[doc_id].cast("long").alias("id"), digest.alias("digest")
-    )
-    found = packed.join(kept, F.col("id").eqNullSafe(F.col("kept")) & (F.col("digest") == F.col("kept_text")), "left_semi")
-    place = F.row_number().over(Window.partitionBy("id", "digest").orderBy(F.xxhash64("row")))
+        F.struct(*[docs[name] for name in docs.columns]).alias("row"),
+        own.isNull().alias("none"), F.coalesce(own, zero).alias("id"), digest.alias("digest"),
+    )
+    found = packed.join(kept, keys, "left_semi")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64("row")))
     found = found.withColumn("place", place).where("place = 1").select("row.*")
     return docs.where(~worded).unionByName(found)

@@ -416,3 +416,59 @@ def test_one_of_each_keeps_one_row_of_a_group(spark, tmp_path):
     kept = jaccard.one_of_each(spark.read.parquet(str(tmp_path / "d"))).collect()
     want = [(1, same), (1, other), (None, "only null ids here"), (3, ""), (3, ""), (None, None)]
     assert ordered(tuple(r) for r in kept) == ordered(want)
+
+
+def _saved_tables(monkeypatch):
+    """What the operator saves from now on: the first table of each name."""
+    found, save = {}, jaccard.saved
+
+    def saved(table, name):
+        table = save(table, name)
+        found.setdefault(name, table)
+        return table
+
+    monkeypatch.setattr(jaccard, "saved", saved)
+    return found
+
+
+def _near_copies(spark, path):
+    """Texts that are alike, texts that share but some words, and rows that repeat an id, a text or both."""
+    random.seed(41)
+    make = lambda n: [random.choice("abcdefgh") * random.randint(1, 3) + str(random.randrange(900)) for _ in range(n)]
+    rows = []
+    for _ in range(30):
+        base = make(80)
+        rows += [" ".join(base), " ".join([*base[:79], "changed"]), " ".join(base[:30] + make(50)), " ".join(make(80))]
+    rows += ["tic tac toe tic tac " * 900 + "end", "tic tac toe tic tac " * 800 + "end"]
+    table = list(enumerate(rows)) + [(None, rows[0]), (None, rows[3]), (3, rows[3]), (3, rows[7]), (500, rows[4])]
+    spark.createDataFrame(table, "doc_id long, text string").repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("sids", [0, 2**20])
+def test_what_is_shipped_to_verify_links_is_smaller_than_the_texts(spark, sids, monkeypatch, tmp_path):
+    docs, found = _near_copies(spark, str(tmp_path / "d")), _saved_tables(monkeypatch)
+    monkeypatch.setattr(jaccard, "SIDS", sids)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert ordered(tuple(r) for r in jaccard.linked_documents(docs).collect()) == ordered(brute_components(rows))
+    sizes = [len(r[-1]) for r in found["candidate-sets"].collect()]
+    assert len(sizes) > 60 and sum(sizes) < sum(len(text) for _, text in rows[:4]) / 4 * len(sizes)
+
+
+def test_lists_of_two_sets_are_not_met_again(spark, monkeypatch, tmp_path):
+    docs, found = _near_copies(spark, str(tmp_path / "d")), _saved_tables(monkeypatch)
+    monkeypatch.setattr(jaccard, "FREQUENT_FROM", 100)
+    jaccard.linked_documents(docs).count()
+    assert found["mixed-lists"].groupBy("key").count().where("count < 3").isEmpty()
+
+
+def test_one_of_each_shuffles_texts_once(spark, tmp_path):
+    docs = _near_copies(spark, str(tmp_path / "d"))
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard.one_of_each(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "digest" in line]
+    assert len(dealt) == 2, plan  # the rows with their texts, and the ids and digests of those to keep

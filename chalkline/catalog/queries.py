@@ -14,7 +14,7 @@ from chalkline.operators import quiz, retrieval, search, vector_blocks
 from chalkline.plans.incremental import update_library
 from chalkline.plans.library import Library, ask, build_library
 from chalkline.plans import quizzes as quiz_plan
-from chalkline.session import scratch_path
+from chalkline.session import scratch_path, sparing_disk
 from chalkline.sources import tables
 from chalkline.sources import manifest as manifest_source
 
@@ -243,10 +243,11 @@ def library_rebuild(spark, folder):
     revised = F.when(F.col("page_num") % 7 == 3, F.concat("page_text", F.lit(" Revised."))).otherwise(F.col("page_text"))
     second = first.withColumn("page_text", revised)
     rows = []
-    for pages in (first, second, second):
-        made = update_library(ingest.clean_pages(pages), root, created_at=F.lit(CREATED_AT).cast("timestamp"))
-        counts = made.library.index().agg(F.count_distinct(index.content_digest(F.col("text")))).first()[0]
-        rows.append((made.version, made.n_chunks, counts, made.n_encoded, made.library.vectors().count()))
+    with sparing_disk(spark):
+        for pages in (first, second, second):
+            made = update_library(ingest.clean_pages(pages), root, created_at=F.lit(CREATED_AT).cast("timestamp"))
+            counts = made.library.index().agg(F.count_distinct(index.content_digest(F.col("text")))).first()[0]
+            rows.append((made.version, made.n_chunks, counts, made.n_encoded, made.library.vectors().count()))
     return spark.createDataFrame(rows, "version int, n_chunks long, n_contents long, n_encoded long, n_vectors long")
 
 

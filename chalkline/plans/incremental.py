@@ -18,6 +18,7 @@ from chalkline.operators.embedding import HashedWords, ModelFactory, embed
 from chalkline.operators.index import content_digest, index_table, manifest
 from chalkline.operators.joins import join_small
 from chalkline.plans.library import Library
+from chalkline.session import sparing_disk
 from chalkline.sources.manifest import read_manifests, write_manifest
 from chalkline.sources.tables import write_chunks, write_table
 
@@ -88,30 +89,31 @@ def update_library(
 
     Pages are chunked and indexed anew, which is cheap beside the model; vectors are taken over by the content they
     belong to, whatever the chunk's id has become, as far as an earlier version has them by the same model and
-    normalization.
+    normalization. Every version keeps all of its tables, so most of the disk is theirs.
     """
     spark = pages.sparkSession
-    versions = _versions(spark, root)
-    version = versions[-1]["version"] + 1 if versions else 1
-    library = Library(spark, f"{root}/v{version}")
-    write_chunks(chunk_table(pages), library.path("chunks"))
-    write_table(index_table(library.chunks()), library.path("index"))
-    index = library.index()
-
-    def batch(number: int) -> str:
-        return f"{root}/encoded/v{number}"
-
-    same = [v["version"] for v in versions if (v["embedding_model"], v["normalize_embeddings"]) == (model_name, normalize)]
-    known = spark.read.schema(_ENCODED).parquet(*map(batch, same)) if same else None
-    encoded = embed(new_texts(index, known), "digest", "text", factory, model_name, normalize)
-    write_table(encoded, batch(version))
-    encoded = spark.read.schema(_ENCODED).parquet(*map(batch, [*same, version]))
-    ids = index.select("faiss_id", content_digest(F.col("text")).alias("digest"))
-    write_table(ids.join(encoded, "digest").select("faiss_id", "embedding"), library.path("vectors"))
-    write_table(ids, library.path("contents"))
-    described = manifest(
-        library.vectors(), model_name, catalog, schema, source_table, normalize, created_at,
-        index_file="vectors", chunks_file="index",
-    )
-    write_manifest(described, library.path("manifest"))
-    return Update(library, version, index.count(), spark.read.schema(_ENCODED).parquet(batch(version)).count())
+    with sparing_disk(spark):
+        versions = _versions(spark, root)
+        version = versions[-1]["version"] + 1 if versions else 1
+        library = Library(spark, f"{root}/v{version}")
+
+        def batch(number: int) -> str:
+            return f"{root}/encoded/v{number}"
+
+        write_chunks(chunk_table(pages), library.path("chunks"))
+        write_table(index_table(library.chunks()), library.path("index"))
+        index = library.index()
+        same = [v["version"] for v in versions if (v["embedding_model"], v["normalize_embeddings"]) == (model_name, normalize)]
+        known = spark.read.schema(_ENCODED).parquet(*map(batch, same)) if same else None
+        encoded = embed(new_texts(index, known), "digest", "text", factory, model_name, normalize)
+        write_table(encoded, batch(version))
+        encoded = spark.read.schema(_ENCODED).parquet(*map(batch, [*same, version]))
+        ids = index.select("faiss_id", content_digest(F.col("text")).alias("digest"))
+        write_table(ids.join(encoded, "digest").select("faiss_id", "embedding"), library.path("vectors"))
+        write_table(ids, library.path("contents"))
+        described = manifest(
+            library.vectors(), model_name, catalog, schema, source_table, normalize, created_at,
+            index_file="vectors", chunks_file="index",
+        )
+        write_manifest(described, library.path("manifest"))
+        return Update(library, version, index.count(), spark.read.schema(_ENCODED).parquet(batch(version)).count())

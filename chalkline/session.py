@@ -5,6 +5,8 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -18,6 +20,13 @@ RUNTIME_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Settings of a build that keeps much on disk, for as long as it runs, and only where the session leaves them unset.
+DISK_DEFAULTS = {
+    "spark.sql.parquet.compression.codec": "zstd",
+    # The shuffles of a job go when the job ends. They would stay until the driver happens to collect its garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+}
+
 
 def build_session(master: str = "local[*]", app_name: str = "chalkline", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -29,14 +38,31 @@ def build_session(master: str = "local[*]", app_name: str = "chalkline", **conf:
 
 def tune(spark: SparkSession) -> SparkSession:
     """Fill in the runtime settings that the given session does not name itself."""
-    named = {key for key, _ in spark.sparkContext.getConf().getAll()} | set(spark.conf.getAll)
-    for key, value in RUNTIME_DEFAULTS.items():
-        if key not in named:
-            spark.conf.set(key, value)
+    _set_unnamed(spark, RUNTIME_DEFAULTS)
     _ship_package(spark)
     return spark
 
 
+def _set_unnamed(spark: SparkSession, defaults: dict[str, str]) -> list[str]:
+    """The keys that the session did not name, and that are set now."""
+    named = {key for key, _ in spark.sparkContext.getConf().getAll()} | set(spark.conf.getAll)
+    unnamed = [key for key in defaults if key not in named]
+    for key in unnamed:
+        spark.conf.set(key, defaults[key])
+    return unnamed
+
+
+@contextmanager
+def sparing_disk(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside take less disk, and shuffles stay no longer than the job they belong to."""
+    unnamed = _set_unnamed(spark, DISK_DEFAULTS)
+    try:
+        yield
+    finally:
+        for key in unnamed:
+            spark.conf.unset(key)
+
+
 def _ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per application."""
     context = spark.sparkContext

@@ -1,4 +1,8 @@
+import time
+from pathlib import Path
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +103,29 @@ def test_empty_table_of_pages(spark, tmp_path):
     assert (made.version, made.n_chunks, made.n_encoded) == (1, 0, 0)
 
 
+def test_a_build_leaves_no_shuffles_and_stores_small_files(spark, tmp_path):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        names = {file.getName() for file in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles())}
+        return {name for name in names if name.startswith("shuffle_")}
+
+    earlier, settings = shuffles(), dict(spark.conf.getAll)
+    texts = [f"Text {n} of this book. " * 9 for n in range(40)]
+    for _ in range(2):
+        made = update_library(pages_of(spark, texts), str(tmp_path))
+    until = time.time() + 20  # executors are told to remove the files, and not waited for
+    while shuffles() - earlier and time.time() < until:
+        time.sleep(0.1)
+    left = shuffles() - earlier
+    assert not left, left
+    assert dict(spark.conf.getAll) == settings
+    for name in ("chunks", "index", "vectors", "contents"):
+        for file in Path(made.library.path(name)).rglob("*.parquet"):
+            groups = pq.ParquetFile(file).metadata
+            assert {groups.row_group(at).column(0).compression for at in range(groups.num_row_groups)} <= {"ZSTD"}, name
+
+
 def test_stale_vectors_are_made_anew(spark, tmp_path):
     library = build_library(pages_of(spark, ["apples and pears", "rivers"]), str(tmp_path))
     assert build_vectors(library) is False
